@@ -11,3 +11,24 @@ def motion_level(diff: Column) -> Column:
     return (
         F.when(diff < 2, "static").when(diff < 8, "minimal").when(diff < 20, "moderate").when(diff < 40, "high").otherwise("extreme")
     )
+
+
+def content_mix_class() -> Column:
+    """anime / live action / CGI class of a frame, null when no rule fits."""
+    edge, bright = F.col("edge_density"), F.col("brightness")
+    return (
+        F.when((edge < 0.2) & (F.col("contrast") > 150), "anime")
+        .when((edge > 0.25) & (bright > 80) & (bright < 200), "live_action")
+        .when((edge < 0.15) & (F.col("sharpness") > 60), "cgi")
+    )
+
+
+def scene_type(quality: Column, motion: Column, face_ratio: Column, has_faces: Column) -> Column:
+    """scene class from quality, faces and motion."""
+    return (
+        F.when(quality < 0.3, "low_quality")
+        .when(has_faces & (face_ratio > 0.6), "dialog")
+        .when(motion > 0.5, "action")
+        .when(motion < 0.15, "static")
+        .otherwise("unknown")
+    )

@@ -80,6 +80,40 @@ def job_frames(lineitem: DataFrame) -> DataFrame:
     return number_rows(raw, order, "frame_no")
 
 
+def metrics(lineitem: DataFrame) -> DataFrame:
+    """Per-frame measurements of a video (one per supplier), scaled to the usual ranges."""
+    q, d, tx, ln = (F.col(f"l_{c}") for c in ("quantity", "discount", "tax", "linenumber"))
+    return lineitem.select(
+        F.col("l_suppkey").alias("video_id"),
+        F.col("l_orderkey").alias("ok"),
+        ln.alias("ln"),
+        F.col("l_partkey").alias("pk"),
+        F.col("l_returnflag").alias("rf"),
+        F.col("l_linestatus").alias("ls"),
+        (q * 5.1).alias("brightness"),
+        (F.col("l_extendedprice") / 419).alias("contrast"),
+        (d * 997).alias("sharpness"),
+        (tx * 9.7).alias("noise"),
+        ((F.col("l_partkey") % 97) / 97.0).alias("edge_density"),
+        F.greatest(ln - 4, F.lit(0)).alias("face_count"),
+        (q / 1.7 + 20).alias("psnr"),
+        (d * 1.9 + 0.8).alias("ssim"),
+        (tx * 1190).alias("vmaf"),
+        (q * 1.99).alias("score"),
+        F.array_compact(
+            F.array(
+                F.when(d < 0.025, "blur"),
+                F.when(tx > 0.065, "noise"),
+                F.when(ln == 1, "blocking"),
+                F.when((ln == 2) & (F.col("l_returnflag") == "R"), "interlacing"),
+                F.when(ln == 3, "banding"),
+                F.when(F.col("l_partkey") % 10 == 0, "duplicate"),
+                F.when(q == 1, "black_frame"),
+            )
+        ).alias("issues"),
+    )
+
+
 VIEWS_SQL = {
     "frames": """frames AS (SELECT user_id AS video_id, event_id, ts, event_type, value,
       CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
@@ -87,6 +121,13 @@ VIEWS_SQL = {
     "rws": """rws AS (SELECT l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
       l_quantity AS q, l_extendedprice AS ext, l_discount AS d, l_tax AS tx, l_returnflag AS rf,
       l_linestatus AS ls, l_shipdate AS sd FROM lineitem)""",
+    "met": """met AS (SELECT l_suppkey AS video_id, l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk, l_returnflag AS rf, l_linestatus AS ls,
+      l_quantity * 5.1e0 AS brightness, l_extendedprice / 419 AS contrast, l_discount * 997 AS sharpness, l_tax * 9.7e0 AS noise,
+      (l_partkey % 97) / 97.0e0 AS edge_density, greatest(l_linenumber - 4, 0) AS face_count, l_quantity / 1.7e0 + 20 AS psnr,
+      l_discount * 1.9e0 + 0.8e0 AS ssim, l_tax * 1190 AS vmaf, l_quantity * 1.99e0 AS score,
+      l_discount < 0.025e0 AS i_blur, l_tax > 0.065e0 AS i_noise, l_linenumber = 1 AS i_blocking,
+      l_linenumber = 2 AND l_returnflag = 'R' AS i_interlacing, l_linenumber = 3 AS i_banding, l_partkey % 10 = 0 AS i_duplicate,
+      l_quantity = 1 AS i_black_frame FROM lineitem)""",
     "jobs": """jobs AS (SELECT o_orderkey AS job_id, o_custkey AS owner, o_orderstatus AS state,
       o_orderpriority AS priority, o_totalprice AS size_mb, o_orderdate AS created_at FROM orders)""",
     "job_frames": """job_frames AS (SELECT l_orderkey AS job_id, l_linenumber AS line, l_partkey AS pk,

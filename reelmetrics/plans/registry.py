@@ -32,6 +32,10 @@ class Tables:
     def rows(self) -> DataFrame:
         return bindings.rows(self.lineitem)
 
+    @cached_property
+    def met(self) -> DataFrame:
+        return bindings.metrics(self.lineitem)
+
     @cached_property
     def jobs(self) -> DataFrame:
         return bindings.jobs(self.orders)
