@@ -177,7 +177,7 @@ def _(t):
     return rounded(ru.film_colour_profile(stock_samples(t), V), *STOCK_COLS, "fading_severity")
 
 
-DEGR = """WITH h AS (SELECT sk AS video_id, rf || CAST(ln AS VARCHAR) AS type, tx * 9.1e0 AS severity, 0.7e0 + d * 2.9e0 AS confidence FROM rws WHERE tx > 0.015e0),
+DEGR = """WITH h AS (SELECT sk AS video_id, rf || CAST(ln AS VARCHAR) AS type, tx * 9.1e0 AS severity, 0.7e0 + d / 0.347e0 AS confidence FROM rws WHERE tx > 0.015e0),
  n AS (SELECT sk AS video_id, count(*) // 8 AS analyzed_frames FROM rws GROUP BY 1),
  a AS (SELECT h.video_id, type, avg(severity) AS severity, avg(confidence) AS c, count(*) AS instances FROM h GROUP BY 1, 2),
  r AS (SELECT a.video_id, type, severity, c * (instances / greatest(analyzed_frames, 1)) AS confidence, instances / greatest(analyzed_frames, 1) AS occurrence_rate, instances FROM a JOIN n USING (video_id) WHERE instances / greatest(analyzed_frames, 1) > 0.1e0 OR severity > 0.5e0)"""
@@ -185,14 +185,14 @@ DEGR = """WITH h AS (SELECT sk AS video_id, rf || CAST(ln AS VARCHAR) AS type, t
 
 def degradations(t):
     hits = t.rows.where("tx > 0.015").select(
-        C("sk").alias("video_id"), F.concat("rf", C("ln").cast("string")).alias("type"), (C("tx") * 9.1).alias("severity"), (C("d") * 2.9 + 0.7).alias("confidence"))
+        C("sk").alias("video_id"), F.concat("rf", C("ln").cast("string")).alias("type"), (C("tx") * 9.1).alias("severity"), (C("d") / 0.347 + 0.7).alias("confidence"))
     n = t.rows.groupBy(C("sk").alias("video_id")).agg(F.floor(F.count(F.lit(1)) / 8).alias("analyzed_frames"))
     return ru.degradation_rollup(hits, n, V)
 
 
-@query("A15_degradation_rollup", DEGR + " SELECT video_id, type, round(severity, 6) AS severity, round(confidence, 4) AS confidence, round(occurrence_rate, 6) AS occurrence_rate, instances FROM r")
+@query("A15_degradation_rollup", DEGR + " SELECT video_id, type, round(severity, 6) AS severity, round(confidence, 6) AS confidence, round(occurrence_rate, 6) AS occurrence_rate, instances FROM r")
 def _(t):
-    return rounded(rounded(degradations(t), "severity", "occurrence_rate"), "confidence", digits=4)
+    return rounded(rounded(degradations(t), "severity", "occurrence_rate"), "confidence")
 
 
 @query("A15_degradation_verdict", DEGR + """, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY severity DESC, type) AS rn FROM r WHERE severity > 0.3e0 AND confidence > 0.5e0)
