@@ -181,6 +181,33 @@ def neighbours(
     return out.select(*[c for c in df.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
+def surrounding(df: DataFrame, seq: Seq, value: Column, prev_name: str, next_name: str) -> DataFrame:
+    """Last non-null value up to and including the row, and the next one after it."""
+    blocked = with_block(df.withColumn("_v", value), seq)
+    order = seq.window()
+    out = blocked.select(
+        "*",
+        F.last("_v", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("_p"),
+        F.first("_v", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_n"),
+    )
+    if seq.width is not None:
+        known = F.when(F.col("_v").isNotNull(), _order_struct(seq))
+        edges = blocked.groupBy(*seq.keys, BLOCK).agg(
+            F.max_by("_v", known).alias("_ep"), F.min_by("_v", known).alias("_en")
+        )
+        by_block = W.partitionBy(*seq.keys).orderBy(BLOCK)
+        edges = edges.select(
+            *seq.keys,
+            BLOCK,
+            F.last("_ep", ignorenulls=True).over(by_block.rowsBetween(W.unboundedPreceding, -1)).alias("_cp"),
+            F.first("_en", ignorenulls=True).over(by_block.rowsBetween(1, W.unboundedFollowing)).alias("_cn"),
+        )
+        out = out.join(edges, [*seq.keys, BLOCK], "left").withColumns(
+            {"_p": F.coalesce("_p", "_cp"), "_n": F.coalesce("_n", "_cn")}
+        )
+    return out.select(*df.columns, F.col("_p").alias(prev_name), F.col("_n").alias(next_name))
+
+
 def adjacent(df: DataFrame, seq: Seq, cols: Mapping[str, Column | str], direction: int = -1) -> DataFrame:
     """One-sided :func:`neighbours`: previous (``-1``) or next (``+1``) row."""
     return neighbours(df, seq, cols, None) if direction < 0 else neighbours(df, seq, None, cols)

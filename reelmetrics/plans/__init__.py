@@ -4,3 +4,4 @@ from .registry import ORACLES, QUERIES  # noqa: F401
 from . import windows  # noqa: F401, E402
 from . import rollup_queries  # noqa: F401, E402
 from . import rule_queries  # noqa: F401, E402
+from . import join_queries  # noqa: F401, E402

@@ -81,9 +81,9 @@ def _(t):
 
 
 EXPO = "CASE WHEN q * 5.1e0 - 4 < 5 THEN 0 ELSE greatest(0, CASE WHEN d > 0.05e0 OR tx > 0.05e0 THEN (1 - abs(q * 5.1e0 - 4 - 128) / 128) * 100 * 0.8e0 ELSE (1 - abs(q * 5.1e0 - 4 - 128) / 128) * 100 END) END"
-over_rows("F8_frame_score", f"""round(d * 991 * 0.3e0 + tx * 1200 * 0.25e0 + ({EXPO}) * 0.25e0 + (q + ln * 10 + tx * 97) / 3 * 0.2e0, 6) AS score,
+over_rows("F8_frame_score", f"""round(d / 0.00101e0 * 0.3e0 + tx / 0.00083e0 * 0.25e0 + ({EXPO}) * 0.25e0 + (q + ln * 10 + tx / 0.0103e0) / 3 * 0.2e0, 6) AS score,
  {join_words(("d * 1500 < 100", "'blur'"), ("tx * 300 > 15", "'noise'"), ("q * 5.1e0 - 4 > 250", "'overexposed'"), ("q * 5.1e0 - 4 < 20", "'underexposed'"), ("q * 5.1e0 - 4 < 5", "'black_frame'"), ("ln = 1", "'blocking'"), ("ln = 2", "'banding'"), ("rf = 'R'", "'interlacing'"), ("ls = 'F'", "'duplicate'"))} AS issues""",
-          lambda: [r6(R.frame_score(C("d") * 991, C("tx") * 1200, R.exposure_score(C("q") * 5.1 - 4, C("d"), C("tx")), C("q"), C("ln") * 10.0, C("tx") * 97)).alias("score"),
+          lambda: [r6(R.frame_score(C("d") / 0.00101, C("tx") / 0.00083, R.exposure_score(C("q") * 5.1 - 4, C("d"), C("tx")), C("q"), C("ln") * 10.0, C("tx") / 0.0103)).alias("score"),
                    names(R.frame_issues(C("d") * 1500, C("tx") * 300, C("q") * 5.1 - 4, C("ln") == 1, C("ln") == 2, C("rf") == "R", C("ls") == "F")).alias("issues")])
 over_rows("F9_exposure_score", f"round({EXPO}, 6) AS exposure", lambda: [r6(R.exposure_score(C("q") * 5.1 - 4, C("d"), C("tx"))).alias("exposure")])
 
@@ -218,10 +218,10 @@ def _(t):
 @query("F26_hardware_plan", """WITH m AS (SELECT ok, ln, pk, CAST(q * 32 AS BIGINT) AS w, CAST(q * 18 AS BIGINT) AS h, pk AS fr, CASE WHEN ln % 2 = 0 THEN 4 ELSE 2 END AS sc0, CASE WHEN ls = 'F' THEN 'realesrgan-x2plus' ELSE 'custom' END AS mo, rf <> 'R' AS gpu, sk * 160 AS vt, sk * 100 AS vf FROM rws),
  s AS (SELECT *, CASE WHEN NOT gpu AND sc0 = 4 THEN 2 ELSE sc0 END AS sc FROM m), t AS (SELECT *, CASE WHEN NOT gpu THEN 0 WHEN vf < 2000 THEN 256 WHEN vf < 4000 THEN 384 WHEN vf < 8000 AND w * sc * h * sc / 1e6 > 2 THEN 512 ELSE 0 END AS tile FROM s)
 SELECT ok, ln, pk, sc AS scale, tile AS tile_size, CASE WHEN NOT gpu THEN 1 WHEN vt >= 12000 THEN 4 WHEN vt >= 8000 THEN 2 ELSE 1 END AS batch_size, CAST(floor(CASE WHEN tile > 0 THEN tile * sc * tile * sc ELSE w * sc * h * sc END * 400 / 1048576.0e0) AS BIGINT) AS vram_mb,
- round(greatest(0.5e0, w * h / 2073600.0e0) * CASE WHEN sc = 2 THEN 1 ELSE 2.5e0 END * CASE WHEN mo = 'custom' THEN 1 ELSE 0.8e0 END * CASE WHEN NOT gpu THEN 10 WHEN vt >= 12000 THEN 0.5e0 WHEN vt >= 8000 THEN 0.75e0 WHEN vt >= 4000 THEN 1 ELSE 2 END * 50 * fr / 1000 * 1.1e0, 7) AS seconds FROM t""")
+ round(greatest(0.5e0, w * h / 2073600.0e0) * CASE WHEN sc = 2 THEN 1 ELSE 2.5e0 END * CASE WHEN mo = 'custom' THEN 1 ELSE 0.8e0 END * CASE WHEN NOT gpu THEN 10 WHEN vt >= 12000 THEN 0.5e0 WHEN vt >= 8000 THEN 0.75e0 WHEN vt >= 4000 THEN 1 ELSE 2 END * 50 * (fr / 0.997e0) / 1000 * 1.1e0, 6) AS seconds FROM t""")
 def _(t):
-    p = R.hardware_plan((C("q") * 32).cast("long"), (C("q") * 18).cast("long"), C("pk"), F.when(C("ln") % 2 == 0, 4).otherwise(2), F.when(C("ls") == "F", "realesrgan-x2plus").otherwise("custom"), C("rf") != "R", C("sk") * 160, C("sk") * 100)
-    return rounded(t.rows.select("ok", "ln", "pk", p.alias("p")).select("ok", "ln", "pk", "p.*"), "seconds", digits=7)
+    p = R.hardware_plan((C("q") * 32).cast("long"), (C("q") * 18).cast("long"), C("pk") / 0.997, F.when(C("ln") % 2 == 0, 4).otherwise(2), F.when(C("ls") == "F", "realesrgan-x2plus").otherwise("custom"), C("rf") != "R", C("sk") * 160, C("sk") * 100)
+    return rounded(t.rows.select("ok", "ln", "pk", p.alias("p")).select("ok", "ln", "pk", "p.*"), "seconds")
 
 
 IL = "CASE WHEN pk % 20 = 0 THEN 'telecine' WHEN ln < 7 THEN CASE WHEN q / 60 > 0.8e0 THEN 'progressive' WHEN d * 60 / 60 * 9 > 0.4e0 THEN 'interlaced_tff' WHEN tx * 10 > 0.4e0 THEN 'interlaced_bff' ELSE 'mixed' END WHEN q * 2 > 20 THEN 'unknown' ELSE 'progressive' END"
