@@ -148,3 +148,104 @@ def first_keyword_class(text: Column, table, default) -> Column:
         hit = contains_any(text, words)
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise(default)
+
+# --- cost model -------------------------------------------------------------------------------
+GPU_WATTS = {
+    "RTX_4090": 450, "RTX_4080": 320, "RTX_4070_Ti": 285, "RTX_4070": 200, "RTX_4060_Ti": 165, "RTX_4060": 115,
+    "RTX_3090": 350, "RTX_3090_Ti": 450, "RTX_3080": 320, "RTX_3080_Ti": 350, "RTX_3070": 220, "RTX_3070_Ti": 290,
+    "RTX_3060": 170, "RTX_3060_Ti": 200, "RTX_2080_Ti": 260, "RTX_2080": 215, "RTX_2070": 175, "RTX_2060": 160,
+    "A100_80GB": 400, "A100_40GB": 400, "A6000": 300, "A5000": 230, "A4000": 140, "H100": 700, "H100_SXM": 700,
+    "H100_PCIe": 350, "L40": 300, "L4": 72, "T4": 70, "V100": 300, "V100S": 250, "RX_7900_XTX": 355, "RX_7900_XT": 315,
+    "RX_6900_XT": 300, "MI300X": 750, "MI250X": 560, "MI100": 300, "unknown": 250,
+}
+CLOUD_USD_HOUR = {
+    "runpod": {"RTX_4090": 0.69, "RTX_4080": 0.59, "RTX_3090": 0.44, "RTX_3080": 0.34, "A100_80GB": 1.99, "A100_40GB": 1.49, "A6000": 0.79, "H100": 4.49, "L40": 1.19},
+    "vastai": {"RTX_4090": 0.45, "RTX_4080": 0.35, "RTX_3090": 0.30, "RTX_3080": 0.22, "A100_80GB": 1.50, "A100_40GB": 1.10, "A6000": 0.55, "H100": 3.50, "L40": 0.85},
+    "lambda_labs": {"A100_80GB": 1.29, "A100_40GB": 1.10, "H100": 2.49, "RTX_4090": 0.75},
+    "paperspace": {"RTX_4000": 0.45, "RTX_5000": 0.78, "A4000": 0.56, "A5000": 0.87, "A6000": 1.12, "A100_80GB": 3.09},
+}
+PRESET_TIME = {"fast": 1.0, "quality": 2.5, "archive": 4.0, "anime": 2.0, "film_restoration": 3.5, "ultimate": 6.0, "authentic": 2.0, "vhs": 2.5}
+DISK_MB_PER_FRAME = ((480, 0.5), (720, 1.0), (1080, 2.5), (1440, 4.0), (2160, 8.0))
+DISK_MB_PER_FRAME_TOP = 32.0
+BASE_FRAME_SECONDS = 0.15
+ENHANCE_FPS = {"high_end_gpu": 2.5, "mid_gpu": 1.0, "low_gpu": 0.3, "cpu": 0.05}
+INTERPOLATE_FPS = {"high_end_gpu": 30.0, "mid_gpu": 15.0, "low_gpu": 5.0, "cpu": 0.5}
+EXTRACT_FPS, ENCODE_FPS = 100.0, 30.0
+VRAM_MB_PER_MEGAPIXEL = {"realesrgan-x4plus": 450, "realesrgan-x4plus-anime": 400, "realesrgan-x2plus": 250, "realesr-animevideov3": 350}
+
+# --- project stages ---------------------------------------------------------------------------
+ALL_STAGES = (
+    "analyze", "qp_artifact_removal", "tap_denoise", "frame_generation", "deduplication", "extract_frames", "enhance",
+    "face_restore", "interpolate", "temporal_consistency", "colorize", "reassemble", "audio_restore", "validate",
+)
+PRESET_STAGES = {
+    "fast": ("analyze", "extract_frames", "enhance", "reassemble"),
+    "balanced": ("analyze", "extract_frames", "enhance", "face_restore", "reassemble"),
+    "quality": ("analyze", "extract_frames", "enhance", "face_restore", "temporal_consistency", "reassemble", "validate"),
+    "ultimate": ALL_STAGES,
+    "archive": ALL_STAGES,
+}
+
+# --- request texts: (pattern, weight) per intent, and tag patterns ----------------------------
+INTENTS = {
+    "restore": (
+        (r"\brestore\b", 1.0), (r"\bfix\s+(up|this|my|the)\b", 0.9), (r"\brepair\b", 0.9), (r"\brescue\b", 0.8),
+        (r"\bbring\s+back\b", 0.8), (r"\brevive\b", 0.7), (r"\bremaster\b", 0.9), (r"\bclean\s+up\b", 0.8),
+    ),
+    "upscale": (
+        (r"\bupscale\b", 1.0), (r"\bincrease\s+(resolution|res)\b", 0.9), (r"\b(make|get)\s+(it\s+)?(bigger|larger|higher\s+res)\b", 0.8),
+        (r"\b4k\b", 0.7), (r"\bhd\b", 0.6), (r"\bsuper\s*res(olution)?\b", 0.9), (r"\benhance\s+(resolution|detail)\b", 0.8),
+    ),
+    "denoise": (
+        (r"\bdenoise\b", 1.0), (r"\bremove\s+noise\b", 1.0), (r"\bnoise\s+reduct(ion)?\b", 0.9), (r"\bclean\b", 0.7),
+        (r"\bremove\s+grain\b", 0.8), (r"\breduce\s+grain\b", 0.7), (r"\bgrainy\b", 0.6), (r"\bnoisy\b", 0.6),
+    ),
+    "colorize": (
+        (r"\bcoloriz(e|ation)\b", 1.0), (r"\badd\s+color\b", 1.0), (r"\bcolor\s+(this|it|the)\b", 0.9),
+        (r"\bblack\s+and\s+white\s+to\s+color\b", 1.0), (r"\bb&?w\s+to\s+color\b", 0.9), (r"\bconvert\s+to\s+color\b", 0.9),
+    ),
+    "stabilize": (
+        (r"\bstabiliz(e|ation)\b", 1.0), (r"\bremove\s+shake\b", 1.0), (r"\bfix\s+shak(y|ing)\b", 0.9), (r"\bsteady\b", 0.8),
+        (r"\bsmooth\s+(out\s+)?(motion|camera)\b", 0.8), (r"\bjitter\b", 0.7),
+    ),
+    "enhance": (
+        (r"\benhance\b", 1.0), (r"\bimprove\b", 0.9), (r"\bmake\s+(it\s+)?(look\s+)?better\b", 0.8), (r"\bbeautify\b", 0.7), (r"\bpolish\b", 0.7),
+    ),
+    "fix": ((r"\bfix\b", 0.8), (r"\brepair\b", 0.8), (r"\bcorrect\b", 0.7), (r"\bremove\s+(scratches|damage|artifacts)\b", 0.9)),
+    "interpolate": (
+        (r"\binterpolat(e|ion)\b", 1.0), (r"\bframe\s+(rate\s+)?(increase|boost|up)\b", 0.9), (r"\bsmooth\s+(motion|video)\b", 0.8),
+        (r"\b(60|120)\s*fps\b", 0.7), (r"\bslow\s*mo(tion)?\b", 0.6),
+    ),
+    "analyze": (
+        (r"\banalyz(e|is)\b", 1.0), (r"\bcheck\s+quality\b", 0.9), (r"\bassess\b", 0.8), (r"\bevaluat(e|ion)\b", 0.8),
+        (r"\bwhat('s| is)\s+(wrong|the\s+issue)\b", 0.7),
+    ),
+}
+VIDEO_WORDS = r"\b(video|film|footage|movie|clip)\b"
+SCALE_WORDS = ((r"\b4k\b", 4.0), (r"\b(2k|1440p)\b", 2.0), (r"\b(1080p|full\s*hd)\b", 2.0))
+RESOLUTION_WORDS = (
+    (r"\b(8k|7680\s*x\s*4320)\b", "8K"), (r"\b(4k|uhd|2160p|3840\s*x\s*2160)\b", "4K"), (r"\b(2k|1440p|2560\s*x\s*1440)\b", "2K"),
+    (r"\b(1080p|full\s*hd|1920\s*x\s*1080)\b", "1080p"), (r"\b(720p|hd)\b", "720p"),
+)
+ERA_WORDS = (
+    (r"\bsilent\s+(film|era|movie)\b", "silent"), (r"\b(golden\s+age|classic\s+hollywood)\b", "golden_age"),
+    (r"\b(early\s+color|technicolor)\b", "early_color"), (r"\b(home\s+video|camcorder)\b", "home_video"),
+)
+FORMAT_WORDS = (
+    (r"\bvhs\b", "vhs"), (r"\bbeta(max)?\b", "betamax"), (r"\bhi-?8\b", "hi8"), (r"\bsuper\s*8\b", "super8"), (r"\b16\s*mm\b", "16mm"),
+    (r"\b35\s*mm\b", "35mm"), (r"\b8\s*mm\b", "8mm"), (r"\blaser\s*disc\b", "laserdisc"), (r"\bdvd\b", "dvd"), (r"\bdigital\b", "digital"),
+    (r"\bfilm\b", "film"), (r"\bnitrate\b", "nitrate"),
+)
+ISSUE_WORDS = (
+    (r"\bscratches?\b", "scratches"), (r"\bgrain(y)?\b", "grain"), (r"\bnois(e|y)\b", "noise"), (r"\bflicker(ing)?\b", "flicker"),
+    (r"\bshak(e|y|ing)\b", "shake"), (r"\bblur(ry)?\b", "blur"), (r"\bfade[ds]?\b", "fading"), (r"\bdamage[ds]?\b", "damage"),
+    (r"\bartifacts?\b", "artifacts"), (r"\bdust\b", "dust"), (r"\bspots?\b", "spots"), (r"\btears?\b", "tears"), (r"\bdropout\b", "dropout"),
+    (r"\btracking\b", "tracking"), (r"\bjitter\b", "jitter"), (r"\bcompression\b", "compression"), (r"\bblocking\b", "blocking"),
+    (r"\bcolor\s+bleed\b", "color_bleed"), (r"\binterlac(ed|ing)\b", "interlacing"),
+)
+PRESERVE_WORDS = (
+    (r"\b(keep|preserve|maintain)\s+(the\s+)?grain\b", "grain"), (r"\b(keep|preserve|maintain)\s+(the\s+)?color\b", "color"),
+    (r"\b(authentic|original|period|vintage)\b", "authenticity"), (r"\b(look|feel|aesthetic|character)\b", "aesthetic"),
+    (r"\bdon'?t\s+(make|want)\s+it\s+look\s+(too\s+)?(modern|new|polished)\b", "authenticity"),
+)
+MODERN_WORDS = r"\b(modern|polished|pristine|flawless|perfect)\b"

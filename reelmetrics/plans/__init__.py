@@ -5,3 +5,5 @@ from . import windows  # noqa: F401, E402
 from . import rollup_queries  # noqa: F401, E402
 from . import rule_queries  # noqa: F401, E402
 from . import join_queries  # noqa: F401, E402
+from . import function_queries  # noqa: F401, E402
+from . import table_queries  # noqa: F401, E402
