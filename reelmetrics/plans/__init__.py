@@ -7,3 +7,4 @@ from . import rule_queries  # noqa: F401, E402
 from . import join_queries  # noqa: F401, E402
 from . import function_queries  # noqa: F401, E402
 from . import table_queries  # noqa: F401, E402
+from . import stream_queries  # noqa: F401, E402
