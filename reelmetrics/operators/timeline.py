@@ -404,8 +404,8 @@ def _share(flags: Column) -> Column:
 
 def film_cadence(df: DataFrame, seq: Seq, value: str, fps: float) -> DataFrame:
     """Pulldown pattern from the first 30 frame differences of every video."""
-    heads = _leading_values(df, seq, value, 31, "v")
-    v, diffs, flags = F.col("v"), F.col("diffs"), F.col("flags")
+    heads = _leading_values(df, seq, value, 31, "_head")
+    v, diffs, flags = F.col("_head"), F.col("diffs"), F.col("flags")
     n = F.size(flags)
     out = heads.select(
         *seq.keys,

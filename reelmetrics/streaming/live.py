@@ -261,12 +261,12 @@ def start_snapshots(progress: DataFrame, path: str, checkpoint: str, every: str
 
 
 # --- windows, filters, folders -----------------------------------------------------------------
-def watch_folder(spark: SparkSession, path: str, glob: str, min_age_s: float = 5.0, content: bool = False) -> DataFrame:
+def watch_folder(spark: SparkSession, path: str, glob: str, min_age_s: float = 5.0) -> DataFrame:
     """ST1: files of a folder, each once, when they are old enough and not empty.
 
     A file that is too young waits in state until its age is reached.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(path)
     cols = files.select("path", C("modificationTime").cast("double").alias("modified_s"), "length")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
