@@ -20,10 +20,10 @@ VTT_HEAD = r"(?s)(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})[^
 
 def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Whole files as rows ``path, value``."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(C("_metadata.file_path").alias("path"), F.replace("value", L("\r\n"), L("\n")).alias("value"))
+    return reader.text(path, wholetext=True).select(C("_metadata.file_path").alias("path"), F.replace("value", L("\r\n"), L("\n")).alias("value"))
 
 
 def _blocks(value: Column) -> Column:

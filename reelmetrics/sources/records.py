@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecode import rational
+from .cues import read_texts
 
 C, L = F.col, F.lit
 
@@ -82,13 +83,11 @@ def read_quality_history(spark: SparkSession, path: str) -> DataFrame:
 
 def read_benchmarks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SRC5: (results, quarantined files) of a directory of benchmark documents."""
-    raw = spark.read.schema(BENCHMARKS).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)
-    raw = raw.withColumn("path", C("_metadata.file_path"))
-    good = raw.where(C("_corrupt_record").isNull()).select("path", F.explode("results").alias("r")).select("path", "r.*")
-    good = good.withColumn("success", F.coalesce("success", L(True)))
-    # Reading the corrupt column alone is refused by the reader; the path keeps the scan complete.
-    bad = raw.select("path", "_corrupt_record", "results").where(C("_corrupt_record").isNotNull()).drop("results")
-    return good, bad
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    raw = read_texts(spark, path, "*.json").select("path", "value", F.from_json("value", BENCHMARKS, options).alias("d"))
+    broken = C("d").isNull() | C("d._corrupt_record").isNotNull()
+    good = raw.where(~broken).select("path", F.explode("d.results").alias("r")).select("path", "r.*")
+    return good.withColumn("success", F.coalesce("success", L(True))), raw.where(broken).select("path", "value")
 
 
 def parse_probe(df: DataFrame, json: str = "json") -> DataFrame:

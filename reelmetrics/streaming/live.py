@@ -63,7 +63,8 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], step: Step, o
     """Apply a step per key with an ``array<double>`` state; idle keys lose their state after ``idle_ms``.
 
     Rows of one key are ordered inside a micro-batch; bound it with ``maxFilesPerTrigger`` or
-    ``maxOffsetsPerTrigger``.
+    ``maxOffsetsPerTrigger``.  Use ``idle_ms`` with a processing-time trigger only: a pending
+    timeout keeps an ``availableNow`` query running.
     """
     key_fields = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -261,32 +262,23 @@ def start_snapshots(progress: DataFrame, path: str, checkpoint: str, every: str
 
 
 # --- windows, filters, folders -----------------------------------------------------------------
-def watch_folder(spark: SparkSession, path: str, glob: str, min_age_s: float = 5.0) -> DataFrame:
-    """ST1: files of a folder, each once, when they are old enough and not empty.
+def watch_folder(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """ST1 (discovery): every file of a folder once, as the file source keeps track of seen paths.
 
-    A file that is too young waits in state until its age is reached.
+    Append the stream to a table; :func:`ready_files` then gives the work list.
     """
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(path)
-    cols = files.select("path", C("modificationTime").cast("double").alias("modified_s"), "length")
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)
+    return files.select("path", C("modificationTime").alias("modified_at"), "length")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            modified, length = state.get
-            state.remove()
-            yield pd.DataFrame({"path": [key[0]], "modified_s": [modified], "length": [length]})
-            return
-        newest = pd.concat(list(batches)).sort_values("modified_s").iloc[-1]
-        wait = newest["modified_s"] + min_age_s - state.getCurrentProcessingTimeMs() / 1000
-        if newest["length"] <= 0:
-            return
-        if wait <= 0:
-            yield pd.DataFrame({"path": [key[0]], "modified_s": [newest["modified_s"]], "length": [newest["length"]]})
-        else:
-            state.update((float(newest["modified_s"]), int(newest["length"])))
-            state.setTimeoutDuration(max(1, int(wait * 1000)))
-
-    fields = "path string, modified_s double, length bigint"
-    return cols.groupBy("path").applyInPandasWithState(run, fields, "modified_s double, length bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+def ready_files(found: DataFrame, processed: DataFrame, now: Column, min_age_s: float = 5.0) -> DataFrame:
+    """ST1 (work list): found files that are old enough, not empty and not processed yet.
+
+    A file that is too young is simply picked up by a later call.
+    """
+    old = F.unix_micros("modified_at") / 1e6 + min_age_s <= F.unix_micros(now) / 1e6
+    return found.where(old & (C("length") > 0)).join(processed.select("path"), "path", "left_anti")
 
 
 def route_stream(stream: DataFrame, endpoints: DataFrame, condition: Column) -> DataFrame:

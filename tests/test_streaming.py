@@ -77,13 +77,15 @@ def test_windows_close_with_the_watermark(spark, events):
 def test_watch_folder_once_and_by_age(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    for name, age in (("a.mp4", 100), ("b.mp4", 100), ("skip.txt", 100)):
+    for name, age in (("a.mp4", 100), ("b.mp4", 100), ("young.mp4", -1000), ("skip.txt", 100)):
         p = folder / name
         p.write_bytes(b"abc")
         os.utime(p, (time.time() - age,) * 2)
     (folder / "empty.mp4").write_bytes(b"")
     work = str(tmp_path / "work")
-    first = live.run_available(live.watch_folder(spark, str(folder), "*.mp4", 5.0), work)
-    assert sorted(r["path"].rsplit("/", 1)[1] for r in first.collect()) == ["a.mp4", "b.mp4"]
-    again = live.run_available(live.watch_folder(spark, str(folder), "*.mp4", 5.0), work)
-    assert again.count() == 2
+    found = live.run_available(live.watch_folder(spark, str(folder), "*.mp4"), work)
+    assert found.where("length > 0").count() == 3
+    assert live.run_available(live.watch_folder(spark, str(folder), "*.mp4"), work).where("length > 0").count() == 3
+    done = found.where(F.col("path").endswith("a.mp4"))
+    ready = live.ready_files(found, done, F.current_timestamp(), 5.0)
+    assert [r["path"].rsplit("/", 1)[1] for r in ready.collect()] == ["b.mp4"]

@@ -95,5 +95,5 @@ def test_film_cadence(spark):
         level += 0.1 if i % 5 in (1, 3) else 10.0
         values.append(level)
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(values)], "v int, frame_no long, x double")
-    row = tl.film_cadence(df, SEQ, "x", 24.0).first()
+    row = tl.film_cadence(df, SEQ, "x", 30.0).first()
     assert row["duplicate_ratio"] == pytest.approx(0.4) and row["pattern"] == "3:2"
