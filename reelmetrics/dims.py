@@ -120,6 +120,11 @@ FILM_STOCKS = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lookup(key: Column, table: dict[str, float], default=None) -> Column:
     """Value of a small fixed table as an expression; no join."""
     flat = [F.lit(x) for kv in table.items() for x in kv]

@@ -225,7 +225,7 @@ def content_class(faces: Column, texts: Column, frame_area: Column, motion: Colu
         (lone & (face_share > 0.25), "face_closeup"),
         (lone, "face_medium"),
         (F.size(faces) > 2, "group_shot"),
-        ((F.size(texts) > 0) & (_area(texts) / frame_area > 0.15), "text_title"),
+        ((F.size(texts) > 0) & (_area(texts) > frame_area * 0.15), "text_title"),
         (motion == "extreme", "action"),
         (motion == "static", "static"),
         (light.isin("bright", "normal") & (brightness > 0.6), "landscape"),
@@ -379,8 +379,8 @@ def hardware_plan(width, height, frames, scale, model, has_gpu, vram_total, vram
 # --- formats -----------------------------------------------------------------------------------
 def interlace_verdict(total, tff, bff, prog, telecine: Column, combing_pct: Column) -> Column:
     """interlace type from field counts (null ``total``: no field data), telecine and combing."""
-    t, b, p = tff / total, bff / total, prog / total
-    by_fields = F.when(total.isNotNull(), ladder((p > 0.8, "progressive"), (t > 0.4, "interlaced_tff"), (b > 0.4, "interlaced_bff"), default="mixed"))
+    t, b, p = (c / F.nullif(total, L(0)) for c in (tff, bff, prog))
+    by_fields = F.when(total > 0, ladder((p > 0.8, "progressive"), (t > 0.4, "interlaced_tff"), (b > 0.4, "interlaced_bff"), default="mixed"))
     kind = ladder((telecine.isNotNull(), "telecine"), (by_fields.isNotNull(), by_fields), (combing_pct > 20, "unknown"), default="progressive")
     conf = ladder(
         (by_fields == "progressive", p), (by_fields == "interlaced_tff", t), (by_fields == "interlaced_bff", b), (by_fields == "mixed", L(1.0) - p),
@@ -627,12 +627,16 @@ def era_scores(year, is_color, aspect, fps, interlaced, grain, sharpness) -> Col
 
 def classify_era(scores: Column) -> Column:
     """era with the most points (first wins ties) and its share of all points."""
-    top, total = F.array_max(scores), F.aggregate(scores, L(0.0), lambda a, x: a + x)
     names = F.array(*[L(e) for e in dims.ERAS])
-    return F.struct(
-        F.element_at(names, F.array_position(scores, top).cast("int")).alias("era"),
-        F.when(total > 0, top / total).otherwise(0.5).alias("confidence"),
-    )
+
+    def verdict(points: Column) -> Column:
+        top, total = F.array_max(points), F.aggregate(points, L(0.0), lambda a, x: a + x)
+        return F.struct(
+            F.element_at(names, F.array_position(points, top).cast("int")).alias("era"),
+            F.when(total > 0, top / total).otherwise(0.5).alias("confidence"),
+        )
+
+    return dims.let(scores, verdict)
 
 
 def classify_medium(era: Column, interlaced: Column, width: Column, hint: Column) -> Column:
@@ -811,6 +815,7 @@ def scale_out(spent, since_last, queue, frame_ms, vram, max_cost=100.0, cooldown
 
 def deadline_plan(frames, local_fps, deadline_s, cloud_fps=10.0, max_instances=4, usd_hour=2.0) -> Column:
     """instances, cost and time to meet a deadline."""
+    deadline_s = F.nullif(deadline_s, L(0.0))
     local = F.when(local_fps > 0, frames / local_fps).otherwise(L(float("inf")))
     burst = F.coalesce(local > deadline_s, L(False))
     lacking = F.floor((frames / deadline_s - local_fps) / cloud_fps)

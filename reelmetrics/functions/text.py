@@ -74,17 +74,24 @@ def request_intent(text: Column) -> Column:
         for p, w in by_weight:
             score = F.when(_hit(text, p), w) if score is None else score.when(_hit(text, p), w)
         scored.append(F.struct(F.coalesce(score, L(0.0)).alias("score"), L(-i).alias("order"), L(name).alias("intent")))
-    best = F.array_max(F.array(*scored))
-    none = best["score"] == 0
     mention = text.rlike(dims.VIDEO_WORDS)
-    return F.struct(
-        F.when(none & mention, "restore").when(none, "unknown").otherwise(best["intent"]).alias("intent"),
-        F.when(none & mention, 0.5).otherwise(best["score"]).alias("confidence"),
-    )
+
+    def verdict(best: Column) -> Column:
+        none = best["score"] == 0
+        return F.struct(
+            F.when(none & mention, "restore").when(none, "unknown").otherwise(best["intent"]).alias("intent"),
+            F.when(none & mention, 0.5).otherwise(best["score"]).alias("confidence"),
+        )
+
+    return dims.let(F.array_max(F.array(*scored)), verdict)
 
 
 def request_tags(text: Column) -> Column:
     """X11: scale, resolution, rate, era, format, issues and what to preserve, from a request text."""
+    return dims.let(text, _request_tags)
+
+
+def _request_tags(text: Column) -> Column:
     number = lambda p: F.nullif(F.regexp_extract(text, p, 1), L(""))
     scale = F.coalesce(number(r"\b(\d+)\s*[xX]\b").cast("double"), number(r"\b(\d+)\s+times\b").cast("double"), _first(text, dims.SCALE_WORDS))
     fps = F.coalesce(
@@ -92,8 +99,7 @@ def request_tags(text: Column) -> Column:
         F.when(_hit(text, r"\b60\s*(?:frames|hertz|hz)\b"), 60.0).when(_hit(text, r"\b120\s*(?:frames|hertz|hz)\b"), 120.0),
     )
     decade = F.coalesce(number(r"\b(19\d0)s?\b"), number(r"\b(20[012]\d)s?\b"))
-    intent = request_intent(text)
-    return F.struct(
+    rest = lambda intent: F.struct(
         intent["intent"].alias("intent"),
         intent["confidence"].alias("confidence"),
         scale.alias("scale"),
@@ -105,6 +111,7 @@ def request_tags(text: Column) -> Column:
         _all(text, dims.PRESERVE_WORDS).alias("preserve"),
         (~_hit(text, dims.MODERN_WORDS)).alias("keep_authentic"),
     )
+    return dims.let(request_intent(text), rest)
 
 
 def request_plan(tags: Column, preset: Column) -> Column:

@@ -415,7 +415,7 @@ def identity_match(faces: DataFrame, face_id: str, identities: DataFrame, vec: s
 def palette_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Weighted distance of two palettes (colors, white, black, saturation, temperature)."""
     nearest = F.transform(a["colors"], lambda x: F.array_min(F.transform(b["colors"], lambda y: l2_distance(x, y))))
-    colour = F.aggregate(nearest, L(0.0), lambda s, x: s + x) / F.size(nearest) / 255.0
+    colour = F.aggregate(nearest, L(0.0), lambda s, x: s + x) / F.nullif(F.size(nearest), L(0)) / 255.0
     full = 255.0 * 3**0.5
     return (
         colour * 0.4
@@ -431,7 +431,7 @@ def grain_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
     def apart(x: Column, y: Column) -> Column:
         d = F.zip_with(x, y, lambda p, q: F.abs(p - q))
-        return F.aggregate(d, L(0.0), lambda s, v: s + v) / F.size(d)
+        return F.aggregate(d, L(0.0), lambda s, v: s + v) / F.nullif(F.size(d), L(0))
 
     one = L(1.0)
     score = (

@@ -14,7 +14,7 @@ from .sequence import Seq, number_rows
 from .stats import exact_percentiles
 from .timeline import lagged
 
-C = F.col
+C, L = F.col, F.lit
 
 
 def share(cond: Column) -> Column:
@@ -808,6 +808,6 @@ def pooled_scores(df: DataFrame, keys: tuple[str, ...], score: str, width: float
         F.min(score).alias("min"),
         F.max(score).alias("max"),
         F.stddev_pop(score).alias("std"),
-        (F.count(score) / F.sum(1 / C(score))).alias("harmonic_mean"),
+        F.when(F.min(score) == 0, 0.0).otherwise(F.count(score) / F.sum(1 / F.nullif(C(score), L(0.0)))).alias("harmonic_mean"),
     )
     return out.join(exact_percentiles(df, keys, score, ps, width), list(keys))

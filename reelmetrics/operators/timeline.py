@@ -393,13 +393,13 @@ def _leading_values(df: DataFrame, seq: Seq, value: str, n: int, name: str) -> D
 
 
 def _duplicate_flags(diffs: Column) -> Column:
-    mean = F.aggregate(diffs, F.lit(0.0), lambda a, x: a + x) / F.size(diffs)
+    mean = F.aggregate(diffs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(diffs), F.lit(0))
     limit = mean * 0.3
     return F.transform(diffs, lambda x: x < limit)
 
 
 def _share(flags: Column) -> Column:
-    return F.size(F.filter(flags, lambda x: x)) / F.size(flags)
+    return F.size(F.filter(flags, lambda x: x)) / F.nullif(F.size(flags), F.lit(0))
 
 
 def film_cadence(df: DataFrame, seq: Seq, value: str, fps: float) -> DataFrame:
@@ -449,7 +449,7 @@ def field_cadence(df: DataFrame, seq: Seq, diff: str, max_samples: int = 100) ->
 
     def regular(offset: Column) -> Column:
         spots = F.filter(indexed, lambda e: (e["i"] % 5 == offset) & (e["i"] < n - 5))
-        return (F.size(spots) > 0) & (F.size(F.filter(spots, lambda e: e["d"])) / F.size(spots) > 0.6)
+        return (F.size(spots) > 0) & (F.size(F.filter(spots, lambda e: e["d"])) > F.size(spots) * 0.6)
 
     ratio = F.col("duplicate_ratio")
     pattern = (

@@ -132,7 +132,7 @@ def light():
 
 
 over_rows("F16_motion_and_lighting", f"{MLEV} AS motion_level, {LIGHT} AS lighting", lambda: [R.motion_level(C("q")).alias("motion_level"), light().alias("lighting")])
-CCLS = case([("ln = 1 AND q * ln / 100 > 0.25e0", "'face_closeup'"), ("ln = 1 AND q / 100 > 0.1e0", "'face_medium'"), ("ln > 2 AND ln < 6", "'group_shot'"), ("ls = 'F' AND d * 300 / 100 > 0.15e0", "'text_title'"), (f"{MLEV} = 'extreme'", "'action'"), (f"{MLEV} = 'static'", "'static'"), (f"{LIGHT} IN ('bright', 'normal') AND q / 50 > 0.6e0", "'landscape'")], "'documentary'")
+CCLS = case([("ln = 1 AND q * ln / 100 > 0.25e0", "'face_closeup'"), ("ln = 1 AND q / 100 > 0.1e0", "'face_medium'"), ("ln > 2 AND ln < 6", "'group_shot'"), ("ls = 'F' AND d * 300 > 100 * 0.15e0", "'text_title'"), (f"{MLEV} = 'extreme'", "'action'"), (f"{MLEV} = 'static'", "'static'"), (f"{LIGHT} IN ('bright', 'normal') AND q / 50 > 0.6e0", "'landscape'")], "'documentary'")
 
 
 def ccls():

@@ -35,6 +35,9 @@ def parse_cmx3600(files: DataFrame, fps: float = 24.0, value: str = "value") ->
         F.coalesce(F.upper(F.get(fcm, F.size(fcm) - 1)).contains("DROP"), L(False)).alias("drop_frame"),
         F.posexplode("_heads").alias("_k", "_h"),
     ).withColumn("_tail", F.slice("_lines", C("_h.i") + 2, nxt - C("_h.i") - 1))
+    # One regular expression per event line: all groups, split on a control character.
+    groups = "\u0001".join(f"${i}" for i in range(1, 10))
+    out = out.withColumn("_f", F.split(F.regexp_replace("_h.x", EVENT + ".*$", groups), "\u0001"))
     notes = F.transform(F.filter("_tail", lambda x: x.startswith("*")), lambda x: F.trim(F.substring(x, 2, 2**31 - 1)))
 
     def tagged(tag: str) -> Column:
@@ -43,7 +46,7 @@ def parse_cmx3600(files: DataFrame, fps: float = 24.0, value: str = "value") ->
 
     plain = F.filter(notes, lambda x: ~(x.startswith("FROM CLIP NAME:") | x.startswith("SOURCE FILE:") | x.startswith("RESTORATION:")))
     speed = F.filter("_tail", lambda x: x.rlike(r"^M2\s+\S+\s+[\d.]+"))
-    part = lambda i: F.regexp_extract("_h.x", EVENT, i)
+    part = lambda i: F.get("_f", i - 1)
     return out.select(
         *keep,
         "title",
