@@ -327,7 +327,7 @@ pb AS (SELECT video_id, bool_or(hit) AS hit FROM ph GROUP BY 1)
 SELECT video_id, CAST(n_head AS INTEGER) AS n_head, round(r, 6) AS duplicate_ratio, CASE WHEN n_head < 10 THEN NULL WHEN r > 0.35e0 AND r < 0.45e0 AND hit THEN '3:2' WHEN r > 0.45e0 AND r < 0.55e0 THEN '2:2' END AS pattern
 FROM ra LEFT JOIN pb USING (video_id)""")
 def _(t):
-    return tl.film_cadence(t.frames, TIMELINE, "value", 30.0).withColumn("duplicate_ratio", R6("duplicate_ratio"))
+    return tl.film_cadence(t.frames, TIMELINE, "value", 60.0).withColumn("duplicate_ratio", R6("duplicate_ratio"))
 
 
 @query("W18_winners", """
