@@ -16,7 +16,8 @@ from ..operators.sequence import Seq
 from ..streaming import live
 from .join_queries import endpoints
 from .registry import query
-from .rollup_queries import rounded
+from ..operators.stats import paired_test
+from .rollup_queries import PAIRS, TTEST, rounded, variant_pairs
 from .table_queries import CUES, cue_texts
 
 C, L = F.col, F.lit
@@ -30,6 +31,13 @@ def event_stream(t):
 LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
+@query("ST1_watch_folder")
+def _(t):
+    found = live.run_available(live.watch_folder(t.spark, t.folder, "*.parquet"))
+    ready = live.ready_files(found, found.where(C("path").endswith("region.parquet")), F.current_timestamp(), 5.0)
+    return ready.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+
+
 @query("ST2_routed_stream", "WITH e AS (SELECT n_name AS endpoint, unnest([CASE WHEN n_nationkey % 2 = 0 THEN 'view' ELSE 'click' END, CASE WHEN n_nationkey % 3 = 0 THEN 'error' ELSE 'signup' END]) AS ev FROM nation WHERE n_nationkey % 4 <> 0) SELECT event_id, event_type, endpoint FROM events JOIN e ON ev = event_type WHERE event_type IN ('view', 'error')")
 def _(t):
     routed = live.route_stream(event_stream(t).select("event_id", "event_type"), endpoints(t), event_filter(types=["view", "error"]))
@@ -193,6 +201,12 @@ def _(t):
     return rounded(out, "ahead")
 
 
+@query("UD7_custom_aggregates", PAIRS + TTEST.replace("psnr", "ssim") + " SELECT test_id, n, round(t, 6) AS t_stat, round(p, 6) AS p_value FROM pv")
+def _(t):
+    out = paired_test(variant_pairs(t), ("test_id",), "a_ssim", "b_ssim")
+    return rounded(out.select("test_id", "n", "t_stat", "p_value"), "t_stat", "p_value")
+
+
 @query("UD8_cue_table_function", CUES + " SELECT doc_id, CAST(i AS INTEGER) AS cue_index, (i - 1) * 2 + 0.5e0 AS start_s, text FROM c WHERE doc_id % 1 = 0".replace(" WHERE doc_id % 1 = 0", ""))
 def _(t):
     t.spark.udtf.register("reel_cues", ud.cue_table_function())

@@ -176,6 +176,20 @@ def _(t):
     return records.quality_points(docs).select("job_id", "psnr", "frames_processed", C("timestamp").alias("ts"))
 
 
+@query("SRC5_benchmark_history", """SELECT l_orderkey, l_linenumber, l_partkey, 'run' || l_suppkey AS name, l_quantity AS seconds, l_partkey AS frames, l_tax AS decode, l_returnflag <> 'R' AS success, false AS quarantined FROM lineitem WHERE l_partkey % 10 <> 0
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, NULL, NULL, NULL, NULL, NULL, true FROM lineitem WHERE l_partkey % 10 = 0""")
+def _(t):
+    config = F.struct(F.concat(L("run"), C("l_suppkey").cast("string")).alias("name"), L("e2e").alias("benchmark_type"))
+    metrics = F.struct(C("l_quantity").alias("processing_time_seconds"), C("l_partkey").alias("frames_processed"), F.create_map(L("decode"), C("l_tax")).alias("stage_timings"))
+    result = F.struct(config.alias("config"), metrics.alias("metrics"), F.when(C("l_returnflag") == "R", False).alias("success"))
+    doc = F.to_json(F.struct(F.array(result).alias("results")))
+    docs = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(C("l_partkey") % 10 == 0, F.concat(L("{broken "), doc)).otherwise(doc).alias("value"))
+    good, bad = records.parse_benchmarks(docs)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    rows = good.select(*keys, C("config.name").alias("name"), C("metrics.processing_time_seconds").alias("seconds"), C("metrics.frames_processed").alias("frames"), F.element_at("metrics.stage_timings", "decode").alias("decode"), "success", L(False).alias("quarantined"))
+    return rows.unionByName(bad.select(*keys, L(True).alias("quarantined")), allowMissingColumns=True)
+
+
 def cue_texts(t):
     """SRT text of a document: one cue per non-empty line."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)

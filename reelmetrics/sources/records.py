@@ -81,13 +81,19 @@ def read_quality_history(spark: SparkSession, path: str) -> DataFrame:
     return quality_points(spark.read.schema(QUALITY_HISTORY).option("multiLine", True).json(path))
 
 
-def read_benchmarks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC5: (results, quarantined files) of a directory of benchmark documents."""
+def parse_benchmarks(docs: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """SRC5: (results, quarantined documents) of benchmark documents, one document per row."""
+    keep = [c for c in docs.columns if c != value]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    raw = read_texts(spark, path, "*.json").select("path", "value", F.from_json("value", BENCHMARKS, options).alias("d"))
+    raw = docs.select(*keep, value, F.from_json(value, BENCHMARKS, options).alias("d"))
     broken = C("d").isNull() | C("d._corrupt_record").isNotNull()
-    good = raw.where(~broken).select("path", F.explode("d.results").alias("r")).select("path", "r.*")
-    return good.withColumn("success", F.coalesce("success", L(True))), raw.where(broken).select("path", "value")
+    good = raw.where(~broken).select(*keep, F.explode("d.results").alias("r")).select(*keep, "r.*")
+    return good.withColumn("success", F.coalesce("success", L(True))), raw.where(broken).select(*keep, value)
+
+
+def read_benchmarks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """SRC5 for a directory: all ``*.json`` files, broken ones apart."""
+    return parse_benchmarks(read_texts(spark, path, "*.json"))
 
 
 def parse_probe(df: DataFrame, json: str = "json") -> DataFrame:
