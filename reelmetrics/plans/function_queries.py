@@ -300,10 +300,10 @@ def _(t):
     return gen.duration_chunks(df, "n", C("fps"), 30.0).select("job", "chunk_start", "chunk_end")
 
 
-@query("G4_pipeline_steps", """WITH x AS (SELECT o_orderkey AS job, list_filter(['extract_frames', 'upscale', CASE WHEN o_orderstatus <> 'F' AND o_custkey % 5 > 0 THEN 'face_restoration' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'interpolate' END, 'encode'], lambda s: s IS NOT NULL) AS st FROM orders) SELECT job, unnest(st) AS step, CAST(generate_subscripts(st, 1) AS INTEGER) AS step_no FROM x""")
+@query("G4_processing_steps", """WITH x AS (SELECT o_orderkey AS job, list_filter(['extract_frames', 'upscale', CASE WHEN o_orderstatus <> 'F' AND o_custkey % 5 > 0 THEN 'face_restoration' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'interpolate' END, 'encode'], lambda s: s IS NOT NULL) AS st FROM orders) SELECT job, unnest(st) AS step, CAST(generate_subscripts(st, 1) AS INTEGER) AS step_no FROM x""")
 def _(t):
     df = t.orders.select(C("o_orderkey").alias("job"), "o_custkey", "o_orderstatus", "o_orderpriority")
-    return gen.pipeline_steps(df, C("o_custkey") % 5, C("o_orderstatus") != "F", C("o_orderpriority") == "1-URGENT").select("job", "step", "step_no")
+    return gen.processing_steps(df, C("o_custkey") % 5, C("o_orderstatus") != "F", C("o_orderpriority") == "1-URGENT").select("job", "step", "step_no")
 
 
 STAGE_SQL = " UNION ALL ".join(f"SELECT '{p}' AS preset, {i} AS stage_no, '{s}' AS stage, '{'pending' if s in act else 'skipped'}' AS status" for p, act in (*dims.PRESET_STAGES.items(), ("odd", dims.PRESET_STAGES["balanced"])) for i, s in enumerate(dims.ALL_STAGES))
