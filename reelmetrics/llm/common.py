@@ -89,3 +89,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return current.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
         current.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     )
+
+
+def by_task(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with a function that is built once a task (lookup tables, tokenizers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield fn(batch)
+
+    return df.mapInArrow(run, schema)
+
+
+def labelled_sample(labels: DataFrame, target: str, limits: dict[int, int], keep: Column) -> DataFrame:
+    """(doc_id, label): for each label value at most ``limits[value]`` rows, those with the smallest
+    hashes of the id, so reruns agree. The bound makes the result fit to be broadcast and to be
+    collected. Null ids and labels are left out."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & keep).select("doc_id", F.col(target).cast("int").alias("label"))
+    parts = [rows.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in limits.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def sample_texts(docs: DataFrame, sample: DataFrame) -> tuple[list[bytes], list[int]]:
+    """Texts (UTF-8, null as empty) and labels of a bounded sample, in order of the id."""
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = picked.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return [t.encode() for t in rows.column("text").to_pylist()], rows.column("label").to_pylist()

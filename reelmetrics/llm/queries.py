@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing a module registers its query."""
 
-from . import exact_dedup, url_filter  # noqa: F401
+from . import exact_dedup, quality_embed, toxicity, url_filter  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
