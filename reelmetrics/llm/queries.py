@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing a module registers its query."""
 
-from . import bpe, exact_dedup, pii, quality_embed, quality_rules, toxicity, url_filter  # noqa: F401
+from . import bpe, exact_dedup, ngram_join, pii, quality_embed, quality_rules, toxicity, url_filter  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
