@@ -1,23 +1,75 @@
-"""Corpus pipeline: documents in, token counts out, one operator per stage."""
+"""Corpus pipeline: documents in, token counts and digests of the mixed corpus out.
+
+Every stage calls one operator, works on all rows that its predecessor kept and returns them with the
+columns of ``documents`` (the last one returns the encoding). Between stages the rows are written to
+the shared folder and read again. Nulls, empty texts, repeated rows and empty tables pass through as
+the operators' docstrings define; further columns are carried along.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelmetrics.llm.common import cut, table
-from reelmetrics.llm.exact_dedup import DigestIndex, exact_duplicates  # noqa: F401
+from reelmetrics.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from reelmetrics.llm.common import bound_batches, cut, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    bound_batches(spark)
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one with the largest id."""
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    kept = exact_dedup.exact_duplicates(docs, index).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text"))
+    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("kept_text"))
+    return docs.join(kept, same, "left_semi")
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, the one with the smallest id: five-word shingles, Jaccard 0.8."""
+    bound_batches(spark)
+    groups = ngram_join.ngram_components(docs, words=5, percent=80)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    bound_batches(spark)
+    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies").dropDuplicates(["mixed_id"])
+    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
+    return mixed.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_no")).drop("copy_no")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document of the mix."""
+    bound_batches(spark)
+    return bpe.encode_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", keep_one_of_near_copies),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+
+#: Scores, links, rates and ids cannot be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

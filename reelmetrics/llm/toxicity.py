@@ -124,6 +124,21 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     return by_task(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below the threshold; nothing is shuffled."""
+    place = docs.columns.index("text")
+
+    def make():
+        score = model.scorer()
+
+        def fn(batch):
+            return batch.filter(pa.array([score(t) < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
+
+        return fn
+
+    return by_task(docs, make, docs.schema)
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
