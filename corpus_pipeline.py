@@ -30,7 +30,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of documents with equal texts, the one with the largest id."""
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     kept = exact_dedup.exact_duplicates(docs, index).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text"))
-    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("kept_text"))
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == kept["kept_text"])
     return docs.join(kept, same, "left_semi")
 
 
@@ -39,15 +39,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     bound_batches(spark)
     groups = ngram_join.ngram_components(docs, words=5, percent=80)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     bound_batches(spark)
     copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies").dropDuplicates(["mixed_id"])
-    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-    return mixed.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_no")).drop("copy_no")
+    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"]))
+    return mixed.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), copies["copies"])).alias("__copy")).drop("__copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
