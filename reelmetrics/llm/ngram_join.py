@@ -178,20 +178,17 @@ def search(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, quer
             return np.zeros(0, dtype=np.int64)
         skip = min(len(mine), int(least / (0.05 * np.log2(max(2, length.max())) + 1)), least - 1)
         order = np.argsort(length, kind="stable")
-        short, probed = mine[order[: len(mine) - skip]], np.sort(mine[order[len(mine) - skip :]])
-        merged = np.concatenate([members[starts[t] : starts[t + 1]] for t in short])
+        short, probed = mine[order[: len(mine) - skip]], mine[order[len(mine) - skip :]]
+        length = starts[short + 1] - starts[short]
+        merged = members[np.repeat(starts[short] - np.cumsum(length) + length, length) + np.arange(length.sum())]
         found, count = np.unique(merged[wanted[merged]], return_counts=True)
-        keep = count >= least - skip
-        linked = []
-        for other, n in zip(found[keep], count[keep]):
-            if other == k:
-                continue
-            at = np.searchsorted(own[other], probed)
-            at[at == size[other]] = 0
-            overlap = int(n) + int((own[other][at] == probed).sum())
-            if 100 * overlap >= percent * (size[k] + size[other] - overlap):
-                linked.append(other)
-        return np.array(linked, dtype=np.int64)
+        found, overlap = found[count >= least - skip], count[count >= least - skip]
+        for t in probed if len(found) else ():
+            row = members[starts[t] : starts[t + 1]]
+            at = np.searchsorted(row, found)
+            at[at == len(row)] = 0
+            overlap = overlap + (row[at] == found)
+        return found[(100 * overlap >= percent * (size[k] + size[found] - overlap)) & (found != k)]
 
     out: list[tuple[int, int]] = []
     if queries is not None:
