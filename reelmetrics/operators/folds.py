@@ -5,7 +5,8 @@ average that restarts).  :func:`ordered_fold` folds every block of a sequence in
 At first each block assumes that the sequence begins with it; the end state of a block is then
 handed to the next one, and only blocks whose entry state changed run again, until nothing
 changes.  The result equals the single-task fold.  The number of rounds is the number of blocks
-a decision can reach across, usually two.
+a decision can reach across, usually two: a state holds what the next decision needs and nothing
+else (row and group numbers are counted afterwards), so that blocks that agree stay at rest.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import durable_checkpoint
-from .sequence import BLOCK, Seq, adjacent, with_block
+from .sequence import BLOCK, PART, Seq, adjacent, key_join, running, with_block
 
 Step = Callable[[pd.DataFrame, Any], tuple[pd.DataFrame, Any]]
 
@@ -32,7 +33,7 @@ def ordered_fold(df: DataFrame, seq: Seq, step: Step, out_fields: str, state_typ
     ``rows`` must have the key columns and ``out_fields`` (a DDL list); ``state_type`` is the DDL
     type of the state.
     """
-    blocked = with_block(df, seq)
+    blocked = with_block(df, seq).drop(PART)
     keys = list(seq.keys)
     key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     order = list(seq.order)
@@ -53,7 +54,7 @@ def ordered_fold(df: DataFrame, seq: Seq, step: Step, out_fields: str, state_typ
 
     def run_exits(entries: DataFrame) -> DataFrame:
         return (
-            blocked.join(entries, [*keys, BLOCK])
+            blocked.transform(key_join, entries, [*keys, BLOCK])
             .groupBy(*keys, BLOCK)
             .applyInPandas(exits, f"{key_fields}, {BLOCK} bigint, _exit {state_type}")
         )
@@ -68,9 +69,11 @@ def ordered_fold(df: DataFrame, seq: Seq, step: Step, out_fields: str, state_typ
     if several.isEmpty():
         return blocked.withColumn("_entry", nothing).groupBy(*keys, BLOCK).applyInPandas(emit, emit_schema)
 
+    # Every round and the last pass read the rows: keep them, so that what made them runs once.
+    blocked = durable_checkpoint(blocked)
     by_block = W.partitionBy(*keys).orderBy(BLOCK)
     table = durable_checkpoint(
-        run_exits(counts.join(several, keys, "left_semi").select(*keys, BLOCK, nothing.alias("_entry"))).withColumn(
+        run_exits(counts.transform(key_join, several, keys, "left_semi").select(*keys, BLOCK, nothing.alias("_entry"))).withColumn(
             "_entry", nothing
         )
     )
@@ -81,13 +84,13 @@ def ordered_fold(df: DataFrame, seq: Seq, step: Step, out_fields: str, state_typ
             break
         fresh = run_exits(stale.select(*keys, BLOCK, F.col("_new").alias("_entry"))).withColumnRenamed("_exit", "_x")
         table = durable_checkpoint(
-            moved.join(fresh, [*keys, BLOCK], "left").select(
+            moved.transform(key_join, fresh, [*keys, BLOCK], "left").select(
                 *keys, BLOCK, F.when(F.col("_new").eqNullSafe(F.col("_entry")), F.col("_exit")).otherwise(F.col("_x")).alias("_exit"),
                 F.col("_new").alias("_entry"),
             )
         )
     entries = table.select(*keys, BLOCK, "_entry")
-    return blocked.join(entries, [*keys, BLOCK], "left").groupBy(*keys, BLOCK).applyInPandas(emit, emit_schema)
+    return blocked.transform(key_join, entries, [*keys, BLOCK], "left").groupBy(*keys, BLOCK).applyInPandas(emit, emit_schema)
 
 
 def anchored_dedup(df: DataFrame, seq: Seq, words: str, threshold: float = 0.98) -> DataFrame:
@@ -102,31 +105,25 @@ def anchored_dedup(df: DataFrame, seq: Seq, words: str, threshold: float = 0.98)
 
     def step(pdf: pd.DataFrame, state):
         anchor = [int(w) for w in state] if state is not None else None
-        anchor_no, hashes = (anchor[0], anchor[1:]) if anchor is not None else (None, None)
-        mapped = []
-        for no, cur in zip(pdf[pos], pdf[words]):
+        kept = []
+        for cur in pdf[words]:
             cur = [int(w) for w in cur]
-            if hashes is not None:
-                bits = 64 * len(cur)
-                apart = sum(((a ^ b) & mask).bit_count() for a, b in zip(hashes, cur))
-                if cur == hashes or 1.0 - apart / bits >= threshold:
-                    mapped.append(anchor_no)
+            if anchor is not None:
+                apart = sum(((a ^ b) & mask).bit_count() for a, b in zip(anchor, cur))
+                if cur == anchor or 1.0 - apart / (64 * len(cur)) >= threshold:
+                    kept.append(False)
                     continue
-            anchor_no, hashes = int(no), cur
-            mapped.append(anchor_no)
-        rows = pdf[[*keys, pos]].assign(unique_frame=mapped)
-        return rows, [anchor_no, *hashes]
+            anchor = cur
+            kept.append(True)
+        return pdf[[*keys, pos]].assign(_kept=kept), anchor
 
-    out = ordered_fold(
-        df.select(*keys, pos, words), seq, step, f"`{pos}` bigint, unique_frame bigint", "array<bigint>"
-    )
+    marked = ordered_fold(df.select(*keys, pos, words), seq, step, f"`{pos}` bigint, _kept boolean", "array<bigint>")
+    out = running(marked, seq, {"unique_frame": ("last", F.when(F.col("_kept"), F.col(pos)))}).drop("_kept")
     return out.withColumn("is_duplicate", F.col("unique_frame") != F.col(pos))
 
 
 def exact_dedup(df: DataFrame, seq: Seq, content: str) -> DataFrame:
     """W1 with exact hashes: a frame is kept when it differs from the one before it."""
-    from .sequence import running
-
     marked = adjacent(df, seq, {"_p": content}, -1)
     kept = F.when(F.col("_p").isNull() | (F.col("_p") != F.col(content)), F.col(seq.first))
     out = running(marked, seq, {"unique_frame": ("last", kept)}).drop("_p")
@@ -209,10 +206,9 @@ def merge_boxes(df: DataFrame, seq: Seq, overlap: float = 0.3) -> DataFrame:
 
     def step(pdf: pd.DataFrame, state):
         last = [float(v) for v in state] if state is not None else None
-        out = []
+        out, fresh = [], []
         for x, y, w, h in zip(pdf["x"], pdf["y"], pdf["w"], pdf["h"]):
-            cur = [float(x), float(y), float(w), float(h)]
-            group = last[4] + 1 if last is not None else 0.0
+            cur, joins = [float(x), float(y), float(w), float(h)], False
             if last is not None:
                 dx = max(0.0, min(last[0] + last[2], x + w) - max(last[0], x))
                 dy = max(0.0, min(last[1] + last[3], y + h) - max(last[1], y))
@@ -220,22 +216,24 @@ def merge_boxes(df: DataFrame, seq: Seq, overlap: float = 0.3) -> DataFrame:
                 if smaller > 0 and dx * dy / smaller > overlap:
                     left, top = min(last[0], x), min(last[1], y)
                     cur = [left, top, max(last[0] + last[2], x + w) - left, max(last[1] + last[3], y + h) - top]
-                    group = last[4]
-            last = [*cur, group]
+                    joins = True
+            last = cur
             out.append(last)
-        rows = pdf[keys].copy()
+            fresh.append(not joins)
+        rows = pdf[[*keys, *order]].copy()
         for i, c in enumerate(("bx", "by", "bw", "bh")):
             rows[c] = [o[i] for o in out]
-        rows["box_no"] = [int(o[4]) for o in out]
-        return rows, last
+        return rows.assign(_fresh=fresh), last
 
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order)
     grown = ordered_fold(
         df.select(*keys, *order, *[c for c in "xywh" if c not in order]),
         seq,
         step,
-        "bx double, by double, bw double, bh double, box_no bigint",
+        f"{fields}, bx double, by double, bw double, bh double, _fresh boolean",
         "array<double>",
     )
+    grown = running(grown, seq, {"_no": ("sum", F.col("_fresh").cast("long"))}).withColumn("box_no", F.col("_no") - 1)
     # A merged box only grows, so its final extent is the extreme of its steps.
     right, bottom = F.max(F.col("bx") + F.col("bw")), F.max(F.col("by") + F.col("bh"))
     return grown.groupBy(*keys, "box_no").agg(

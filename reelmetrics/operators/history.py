@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import key_join
+
 C = F.col
 
 
@@ -23,7 +25,7 @@ def stage_means(df: DataFrame, keys: Sequence[str], timings: str) -> DataFrame:
     """Mean time per stage over *all* iterations; an absent stage counts as 0."""
     runs = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     per = df.select(*keys, F.explode(timings).alias("stage", "_s")).groupBy(*keys, "stage").agg(F.sum("_s").alias("_s"))
-    return per.join(runs, list(keys)).select(*keys, "stage", (C("_s") / C("_n")).alias("mean_seconds"))
+    return per.transform(key_join, runs, keys).select(*keys, "stage", (C("_s") / C("_n")).alias("mean_seconds"))
 
 
 def against_history(current: DataFrame, history: DataFrame, kind: str, fps: str, success: str, band: float = 0.05) -> DataFrame:
@@ -79,4 +81,4 @@ def benchmark_leaders(df: DataFrame, keys: Sequence[str], name: str, pos: str) -
         F.min_by(name, steady).alias("most_stable"),
         F.count(F.when(C("throttled"), 1)).alias("throttled_runs"),
     )
-    return lead.join(batch, list(keys))
+    return lead.transform(key_join, batch, keys)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sequence import Seq, number_rows
+from .sequence import Seq, key_join, number_rows
 from .stats import exact_percentiles
 from .timeline import lagged
 
@@ -173,7 +173,7 @@ def bar_geometry(df: DataFrame, keys: tuple[str, ...], width: int, height: int,
     med = exact_percentiles(long, (*keys, "side"), "v", {"m": 0.5}, 64.0)
     med = med.groupBy(*keys).agg(*[F.max(F.when(C("side") == s, C("m"))).cast("int").alias(f"{s}_bar") for s in sides])
     spread = df.groupBy(*keys).agg(F.stddev_pop("top").alias("_st"), F.stddev_pop("bottom").alias("_sb"))
-    out = med.join(spread, list(keys))
+    out = med.transform(key_join, spread, keys)
     out = out.withColumns({f"{s}_bar": F.when(C(f"{s}_bar") < min_bar, 0).otherwise(C(f"{s}_bar")) for s in sides})
     letter, pillar = (C("top_bar") > 0) | (C("bottom_bar") > 0), (C("left_bar") > 0) | (C("right_bar") > 0)
     both = C("_st") + C("_sb")
@@ -226,7 +226,7 @@ def degradation_rollup(hits: DataFrame, frames_per_key: DataFrame, keys: Sequenc
     out = hits.groupBy(*keys, "type").agg(
         F.avg("severity").alias("severity"), F.avg("confidence").alias("_c"), F.count(F.lit(1)).alias("instances")
     )
-    out = out.join(frames_per_key, list(keys)).withColumn(
+    out = out.transform(key_join, frames_per_key, keys).withColumn(
         "occurrence_rate", C("instances") / F.greatest(C("analyzed_frames"), F.lit(1))
     )
     return out.where((C("occurrence_rate") > 0.1) | (C("severity") > 0.5)).select(
@@ -318,13 +318,13 @@ def problem_frames(df: DataFrame, overall: DataFrame, keys: Sequence[str], psnr:
     """Frames far below their video's mean (``overall`` from :func:`qa_metrics`)."""
     means = overall.select(*keys, "avg_psnr", "avg_ssim")
     bad = (C(psnr) < C("avg_psnr") - 5) | (C(ssim) < C("avg_ssim") - 0.1)
-    return df.join(means, list(keys)).where(bad).drop("avg_psnr", "avg_ssim")
+    return df.transform(key_join, means, keys).where(bad).drop("avg_psnr", "avg_ssim")
 
 
 def qa_issues(overall: DataFrame, problems: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A20 (texts): issue codes of a video from its overall metrics and problem count."""
     n_bad = problems.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_problems"))
-    out = overall.join(n_bad, list(keys), "left").fillna(0, ["n_problems"])
+    out = overall.transform(key_join, n_bad, keys, "left").fillna(0, ["n_problems"])
     codes = F.array_compact(
         F.array(
             F.when(C("avg_psnr") < 30, "low_psnr"),
@@ -498,7 +498,7 @@ def median_array(df: DataFrame, keys: tuple[str, ...], arr: str, width: float =
     shortest = df.groupBy(*keys).agg(F.min(F.size(arr)).alias("_len"))
     long = df.select(*keys, F.posexplode(arr).alias("_pos", "_v")).withColumn("_v", C("_v").cast("double"))
     med = exact_percentiles(long, (*keys, "_pos"), "_v", {"_m": 0.5}, width)
-    med = med.join(shortest, list(keys)).where(C("_pos") < C("_len"))
+    med = med.transform(key_join, shortest, keys).where(C("_pos") < C("_len"))
     return med.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_m"))), lambda x: x["_m"]).alias(f"median_{arr}")
     )
@@ -534,7 +534,7 @@ def sampled_flicker(df: DataFrame, seq: Seq, brightness: str, rate: int = 10, ju
         F.var_pop(brightness).alias("brightness_variance"),
         count_if(F.abs(C(brightness) - C("_p")) > jump).alias("flicker_count"),
     )
-    d = d.join(totals, list(seq.keys)).where("total_frames >= 3")
+    d = d.transform(key_join, totals, seq.keys).where("total_frames >= 3")
     found = C("flicker_count") > C("total_frames") * 0.01
     part = C("flicker_count") / C("frames_analyzed")
     return d.select(
@@ -684,14 +684,14 @@ def interlace_rollup(df: DataFrame, keys: Sequence[str], threshold: float = 0.15
 def sampled_share(df: DataFrame, keys: Sequence[str], frame: str, totals: DataFrame, samples: int, hit: Column) -> DataFrame:
     """Share and number of hits among every (total // samples)-th frame."""
     step = F.greatest(F.lit(1), F.floor(C("total_frames") / samples))
-    chosen = df.join(totals, list(keys)).where(C(frame) % step == 0)
+    chosen = df.transform(key_join, totals, keys).where(C(frame) % step == 0)
     return chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("sampled"), count_if(hit).alias("hits"), share(hit).alias("hit_ratio"))
 
 
 def caption_presence(df: DataFrame, keys: Sequence[str], frame: str, totals: DataFrame, hit: Column, samples: int = 50, threshold: float = 0.3) -> DataFrame:
     """Captions are present when enough of the first ``samples`` sampled frames show boxes."""
     step = F.greatest(F.lit(1), F.floor(C("total_frames") / samples))
-    chosen = df.join(totals, list(keys)).where((C(frame) % step == 0) & (C(frame) / step < samples))
+    chosen = df.transform(key_join, totals, keys).where((C(frame) % step == 0) & (C(frame) / step < samples))
     return chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("sampled"), share(hit).alias("detection_ratio")).withColumn(
         "has_captions", C("detection_ratio") >= threshold
     )
@@ -700,7 +700,7 @@ def caption_presence(df: DataFrame, keys: Sequence[str], frame: str, totals: Dat
 def sampled_comparison(df: DataFrame, keys: Sequence[str], frame: str, totals: DataFrame, k: int, metrics: Sequence[str], original: Column, enhanced: Column) -> DataFrame:
     """Metric means over ``k`` evenly spaced positions and the size change in percent."""
     step = F.floor(C("total_frames") / k)
-    chosen = df.join(totals, list(keys)).where(
+    chosen = df.transform(key_join, totals, keys).where(
         F.when(step == 0, C(frame) == 0).otherwise((C(frame) % F.greatest(step, F.lit(1)) == 0) & (C(frame) / step < k))
     )
     o, e = F.max(original), F.max(enhanced)
@@ -722,7 +722,7 @@ def luminance_statistics(pixels: DataFrame, keys: tuple[str, ...], luma: str) ->
         (share(C("_l") < 5 / 255.0) * 100).alias("clipped_shadows_pct"),
     )
     stops = F.log2(C("max_nits") / F.when(C("min_nits") > 0.001, C("min_nits")).otherwise(0.001))
-    return out.join(peak, list(keys)).withColumn("stops", stops)
+    return out.transform(key_join, peak, keys).withColumn("stops", stops)
 
 
 def grain_profile(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -769,7 +769,7 @@ def metric_log(df: DataFrame, keys: Sequence[str], metric: str, value: str) -> D
 
 def errors_with_totals(df: DataFrame, error_type: str) -> DataFrame:
     """The error rows kept, each with the total of its type."""
-    return df.join(df.groupBy(error_type).agg(F.count(F.lit(1)).alias("type_total")), error_type)
+    return df.transform(key_join, df.groupBy(error_type).agg(F.count(F.lit(1)).alias("type_total")), [error_type])
 
 
 def stage_eta(df: DataFrame, keys: Sequence[str], planned: Column) -> DataFrame:
@@ -810,4 +810,4 @@ def pooled_scores(df: DataFrame, keys: tuple[str, ...], score: str, width: float
         F.stddev_pop(score).alias("std"),
         F.when(F.min(score) == 0, 0.0).otherwise(F.count(score) / F.sum(1 / F.nullif(C(score), L(0.0)))).alias("harmonic_mean"),
     )
-    return out.join(exact_percentiles(df, keys, score, ps, width), list(keys))
+    return out.transform(key_join, exact_percentiles(df, keys, score, ps, width), keys)

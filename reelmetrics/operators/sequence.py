@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ..session import durable_checkpoint
 
 BLOCK = "_blk"
+PART = "_part"
 DEFAULT_WIDTH = 65536
 
 
@@ -47,7 +48,23 @@ class Seq:
 
     def window(self, reverse: bool = False):
         cols = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
-        return W.partitionBy(*self.keys, BLOCK).orderBy(*cols)
+        return W.partitionBy(PART).orderBy(*cols)
+
+
+def key_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null meets null: keys are compared as one struct, which is never null.
+
+    The columns of ``left`` come first; ``how`` is inner, left, left_semi or left_anti.
+    """
+    packed = F.struct(*keys).alias("_on")
+    rest = [c for c in right.columns if c not in keys]
+    return left.select("*", packed).join(right.select(packed, *rest), "_on", how).drop("_on")
+
+
+def in_block(df: DataFrame, keys) -> DataFrame:
+    """Add the (keys, block) of a row as one struct; windows and joins use it, so that null keys and
+    rows without a place (a block of their own, first in order) are treated as any others."""
+    return df.withColumn(PART, F.struct(*keys, BLOCK))
 
 
 def _position(df: DataFrame, seq: Seq) -> Column:
@@ -58,8 +75,8 @@ def _position(df: DataFrame, seq: Seq) -> Column:
 
 def with_block(df: DataFrame, seq: Seq) -> DataFrame:
     if seq.width is None:
-        return df.withColumn(BLOCK, F.lit(0).cast("long"))
-    return df.withColumn(BLOCK, F.floor(_position(df, seq) / F.lit(seq.width)).cast("long"))
+        return in_block(df.withColumn(BLOCK, F.lit(0).cast("long")), seq.keys)
+    return in_block(df.withColumn(BLOCK, F.floor(_position(df, seq) / F.lit(seq.width)).cast("long")), seq.keys)
 
 
 def _order_struct(seq: Seq) -> Column:
@@ -125,7 +142,7 @@ def running(
         out = {n: F.col(f"_l_{n}") for n in spec}
     else:
         before = carry(blocked, seq, {f"_c_{n}": v for n, v in spec.items()}, reverse)
-        local = local.join(before, [*seq.keys, BLOCK], "left")
+        local = local.join(in_block(before, seq.keys).drop(*seq.keys, BLOCK), PART, "left")
         out = {}
         for n, (how, _) in spec.items():
             here, there = F.col(f"_l_{n}"), F.col(f"_c_{n}")
@@ -175,7 +192,7 @@ def neighbours(
         edges = edges.select(
             *seq.keys, BLOCK, *[(F.lag if s == "p" else F.lead)(f"_e{s}", 1).over(by_block).alias(f"_c{s}") for s, _, _ in sides]
         )
-        out = out.join(edges, [*seq.keys, BLOCK], "left")
+        out = out.join(in_block(edges, seq.keys).drop(*seq.keys, BLOCK), PART, "left")
         out = out.withColumns({f"_{s}": F.coalesce(f"_{s}", f"_c{s}") for s, _, _ in sides})
     new = {n: F.col(f"_{s}.{n}") for s, _, cols in sides for n in cols}
     return out.select(*[c for c in df.columns if c not in new], *[c.alias(n) for n, c in new.items()])
@@ -202,7 +219,7 @@ def surrounding(df: DataFrame, seq: Seq, value: Column, prev_name: str, next_nam
             F.last("_ep", ignorenulls=True).over(by_block.rowsBetween(W.unboundedPreceding, -1)).alias("_cp"),
             F.first("_en", ignorenulls=True).over(by_block.rowsBetween(1, W.unboundedFollowing)).alias("_cn"),
         )
-        out = out.join(edges, [*seq.keys, BLOCK], "left").withColumns(
+        out = out.join(in_block(edges, seq.keys).drop(*seq.keys, BLOCK), PART, "left").withColumns(
             {"_p": F.coalesce("_p", "_cp"), "_n": F.coalesce("_n", "_cn")}
         )
     return out.select(*df.columns, F.col("_p").alias(prev_name), F.col("_n").alias(next_name))
@@ -220,7 +237,7 @@ def halo(df: DataFrame, seq: Seq, before: int, after: int) -> DataFrame:
     must not exceed the block width, so that only direct neighbours are involved.
     """
     if seq.width is None:
-        return df.withColumn(BLOCK, F.lit(0).cast("long")).withColumn("_core", F.lit(True))
+        return in_block(df.withColumn(BLOCK, F.lit(0).cast("long")), seq.keys).withColumn("_core", F.lit(True))
     width = int(seq.width)
     if max(before, after) > width:
         raise ValueError("frame reaches further than one block")
@@ -234,9 +251,8 @@ def halo(df: DataFrame, seq: Seq, before: int, after: int) -> DataFrame:
             F.when(offset < after, home - 1) if after else F.lit(None).cast("long"),
         )
     )
-    return df.select("*", F.explode(targets).alias(BLOCK), home.alias("_home")).select(
-        *df.columns, BLOCK, (F.col(BLOCK) == F.col("_home")).alias("_core")
-    )
+    spread = df.select("*", F.explode(F.when(F.size(targets) > 0, targets).otherwise(F.array(F.lit(None).cast("long")))).alias(BLOCK), home.alias("_home"))
+    return in_block(spread.select(*df.columns, BLOCK, F.col(BLOCK).eqNullSafe(F.col("_home")).alias("_core")), seq.keys)
 
 
 def framed(
@@ -312,7 +328,7 @@ def segments(
         heads = heads.select(
             *seq.keys, BLOCK, F.last("_s", ignorenulls=True).over(by_block).alias("_prev"), F.min("_f").over(by_block).alias("_first")
         )
-        stitched = pieces.join(heads, [*seq.keys, BLOCK], "left").withColumn(
+        stitched = pieces.transform(key_join, heads, [*seq.keys, BLOCK], "left").withColumn(
             start_name, F.coalesce("_seg", "_prev", "_first", F.col(f"_o.{seq.first}"))
         )
 

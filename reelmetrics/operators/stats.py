@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sequence import Seq, running
+from .sequence import Seq, key_join, running
 
 
 def exact_percentiles(
@@ -24,7 +24,7 @@ def exact_percentiles(
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running(counted, Seq(keys, (value,), width), {"_cum": ("sum", F.col("_c"))})
     n = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    ranked = ranked.join(n, list(keys))
+    ranked = ranked.transform(key_join, n, keys)
     spots = {name: (F.col("_n") - 1) * p for name, p in ps.items()}
     out = ranked.groupBy(*keys).agg(
         F.max("_n").alias("_n"),

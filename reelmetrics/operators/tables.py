@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import Seq, running
+from .sequence import Seq, key_join, running
 
 C, L = F.col, F.lit
 
@@ -50,7 +50,7 @@ def uniform_sample(df: DataFrame, totals: DataFrame, keys: Sequence[str], frame:
     """Positions step, 2 step, ... count step with step = total // (count + 1); short videos give frame 0."""
     step = F.floor(C("total_frames") / (count + 1))
     hit = F.when(step == 0, C(frame) == 0).otherwise((C(frame) % F.greatest(step, L(1)) == 0) & C(frame).between(step, step * count))
-    return df.join(totals, list(keys)).where(hit).drop("total_frames")
+    return df.transform(key_join, totals, keys).where(hit).drop("total_frames")
 
 
 def random_sample(df: DataFrame, k: int, seed: int, order: Column | None = None) -> DataFrame:
@@ -63,7 +63,7 @@ def anchor_frames(df: DataFrame, totals: DataFrame, keys: Sequence[str], frame:
     n, step = C("total_frames"), F.floor(C("total_frames") / count)
     spaced = (C(frame) % F.greatest(step, L(1)) == 0) & (C(frame) < step * count)
     hit = (n <= count) | spaced | (C(frame) == 0) | (C(frame) == n - 1)
-    return df.join(totals, list(keys)).where(hit).drop("total_frames")
+    return df.transform(key_join, totals, keys).where(hit).drop("total_frames")
 
 
 def matching_nodes(nodes: DataFrame, min_memory: float, min_ram: float, k: int, ties: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sequence import Seq, adjacent, framed, neighbours, number_rows, running, segments
+from .sequence import Seq, adjacent, framed, key_join, neighbours, number_rows, running, segments
 
 
 def lagged(df: DataFrame, seq: Seq, cols: dict[str, Column | str], step: int = 1) -> DataFrame:
@@ -134,7 +134,7 @@ def credits_batches(samples: DataFrame, seq: Seq, totals: DataFrame, fps: float,
     pairs = F.greatest(F.col("n") - 1, F.lit(1))
     first = F.col("batch") * size
     full = F.col("n") == size
-    out = batches.join(totals, list(seq.keys)).select(
+    out = batches.transform(key_join, totals, seq.keys).select(
         *seq.keys,
         "batch",
         "total_frames",
@@ -245,7 +245,7 @@ def text_cues(df: DataFrame, seq: Seq, text: str, confidence: str, totals: DataF
     )
     cue_seq = Seq(seq.keys, ("start_frame",), seq.width)
     runs = adjacent(runs, cue_seq, {"_end": "start_frame"}, +1)
-    runs = number_rows(runs, cue_seq, "cue_index", start=1).join(totals, list(seq.keys))
+    runs = number_rows(runs, cue_seq, "cue_index", start=1).transform(key_join, totals, seq.keys)
     return runs.select(
         *seq.keys,
         "cue_index",
@@ -373,7 +373,7 @@ def rolling_progress(df: DataFrame, seq: Seq, time_ms: str, totals: DataFrame, w
         out.update({f"avg_{q}": F.avg(q).over(frame) for q in quality})
         return out
 
-    out = framed(df, seq, -(window - 1), 0, exprs).join(totals, list(seq.keys))
+    out = framed(df, seq, -(window - 1), 0, exprs).transform(key_join, totals, seq.keys)
     done = F.col(seq.first) + 1
     left = F.col("total_frames") - done
     return out.select(
@@ -493,7 +493,7 @@ def frame_gaps(df: DataFrame, seq: Seq, max_gap: int, expected: DataFrame | None
         F.lit(False).alias("is_tail"),
     )
     if expected is not None:
-        last = df.groupBy(*seq.keys).agg(F.max(pos).alias("_last")).join(expected, list(seq.keys))
+        last = df.groupBy(*seq.keys).agg(F.max(pos).alias("_last")).transform(key_join, expected, seq.keys)
         missing = F.col("expected_count") - 1 - F.col("_last")
         tail = last.where(missing > 0).select(
             *seq.keys,
@@ -537,7 +537,7 @@ def ten_segment_profile(df: DataFrame, seq: Seq, totals: DataFrame, psnr: str, s
     """Ten equal parts of floor(n / 10) rows, the last one takes the remainder; n >= 10."""
     pos = F.col(seq.first)
     part = F.least(F.floor(pos / F.floor(F.col("total_frames") / 10)), F.lit(9)).cast("int")
-    sized = df.join(totals.where("total_frames >= 10"), list(seq.keys)).withColumn("segment", part)
+    sized = df.transform(key_join, totals.where("total_frames >= 10"), seq.keys).withColumn("segment", part)
     return sized.groupBy(*seq.keys, "segment").agg(
         F.min(pos).alias("start_frame"),
         F.max(pos).alias("end_frame"),

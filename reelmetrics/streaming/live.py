@@ -11,8 +11,6 @@ windowed aggregates.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -25,6 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.folds import ordered_fold
 from ..operators.joins import route_events
 from ..operators.sequence import Seq, framed, running
+from ..session import shared_folder
 
 C, L = F.col, F.lit
 WATERMARK = "10 minutes"
@@ -32,11 +31,8 @@ WATERMARK = "10 minutes"
 
 # --- running a stream to completion ------------------------------------------------------------
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place that ``spark.checkpoint.dir`` names (a local one only in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared place that ``spark.checkpoint.dir`` names."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
