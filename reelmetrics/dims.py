@@ -119,6 +119,21 @@ FILM_STOCKS = {
     "fujifilm": (-0.05, 0.1, 0.0, 1.05, 0.35),
 }
 
+# Grain of known stocks, in match order:
+# (size, intensity, luma share, uniformity, temporal variation)
+GRAIN_STOCKS = {
+    "kodak_5219": (0.45, 0.35, 0.7, 0.85, 0.15),
+    "kodak_5213": (0.3, 0.2, 0.8, 0.9, 0.1),
+    "kodak_5222": (0.55, 0.45, 1.0, 0.75, 0.2),
+    "fuji_eterna": (0.35, 0.25, 0.75, 0.88, 0.12),
+    "kodachrome": (0.25, 0.15, 0.85, 0.92, 0.08),
+    "ektachrome": (0.4, 0.3, 0.7, 0.82, 0.18),
+    "agfa": (0.6, 0.5, 0.65, 0.7, 0.25),
+    "fine": (0.25, 0.15, 0.8, 0.9, 0.1),
+    "medium": (0.45, 0.35, 0.7, 0.8, 0.15),
+    "coarse": (0.7, 0.55, 0.6, 0.65, 0.25),
+}
+
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value evaluated once per row, however often the body uses it."""

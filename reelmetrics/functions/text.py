@@ -51,28 +51,36 @@ def slug(title: Column) -> Column:
 
 
 def _hit(text: Column, pattern: str) -> Column:
-    return text.rlike("(?i)" + pattern)
+    """A pattern of a lower-cased text."""
+    return text.rlike(pattern)
+
+
+def _any(text: Column, table) -> Column:
+    """Whether any pattern of the table hits, in one pass; the single patterns are tried only then."""
+    return text.rlike("|".join(f"(?:{p})" for p, _ in table))
 
 
 def _first(text: Column, table) -> Column:
     out = None
     for pattern, value in table:
         out = F.when(_hit(text, pattern), value) if out is None else out.when(_hit(text, pattern), value)
-    return out
+    return F.when(_any(text, table), out)
 
 
 def _all(text: Column, table) -> Column:
-    return F.array_distinct(F.array_compact(F.array(*[F.when(_hit(text, p), v) for p, v in table])))
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(_hit(text, p), v) for p, v in table])))
+    return F.when(_any(text, table), found).otherwise(F.array().cast("array<string>"))
 
 
 def request_intent(text: Column) -> Column:
-    """X11: best intent and its weight; a bare mention of a video means restore at 0.5."""
+    """X11: best intent of a lower-cased text and its weight; a bare mention of a video means restore at 0.5."""
     scored = []
     for i, (name, table) in enumerate(dims.INTENTS.items()):
         by_weight = sorted(table, key=lambda pw: -pw[1])
         score = None
         for p, w in by_weight:
             score = F.when(_hit(text, p), w) if score is None else score.when(_hit(text, p), w)
+        score = F.when(_any(text, by_weight), score)
         scored.append(F.struct(F.coalesce(score, L(0.0)).alias("score"), L(-i).alias("order"), L(name).alias("intent")))
     mention = text.rlike(dims.VIDEO_WORDS)
 
@@ -87,15 +95,15 @@ def request_intent(text: Column) -> Column:
 
 
 def request_tags(text: Column) -> Column:
-    """X11: scale, resolution, rate, era, format, issues and what to preserve, from a request text."""
-    return dims.let(text, _request_tags)
+    """X11: scale, resolution, rate, era, format, issues and what to preserve, from a request text in any case."""
+    return dims.let(F.lower(text), _request_tags)
 
 
 def _request_tags(text: Column) -> Column:
     number = lambda p: F.nullif(F.regexp_extract(text, p, 1), L(""))
     scale = F.coalesce(number(r"\b(\d+)\s*[xX]\b").cast("double"), number(r"\b(\d+)\s+times\b").cast("double"), _first(text, dims.SCALE_WORDS))
     fps = F.coalesce(
-        number(r"(?i)(\d+(?:\.\d+)?)\s*fps\b").cast("double"),
+        number(r"(\d+(?:\.\d+)?)\s*fps\b").cast("double"),
         F.when(_hit(text, r"\b60\s*(?:frames|hertz|hz)\b"), 60.0).when(_hit(text, r"\b120\s*(?:frames|hertz|hz)\b"), 120.0),
     )
     decade = F.coalesce(number(r"\b(19\d0)s?\b"), number(r"\b(20[012]\d)s?\b"))

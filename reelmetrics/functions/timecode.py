@@ -33,10 +33,9 @@ def frames_to_timecode(frames: Column, fps: float = 24.0, drop_frame: bool = Fal
     secs = F.floor(n / fps)
     ff = F.floor(n - secs * fps)
     sep = ";" if drop_frame else ":"
-    two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
+    two = lambda c: F.format_string("%02d", c.cast("long"))  # noqa: E731  pads, never cuts
     hours = F.floor(secs / 3600)
-    hh = F.when(hours > 99, hours.cast("string")).otherwise(two(hours))
-    return F.concat_ws(sep, hh, two(F.floor(secs / 60) % 60), two(secs % 60), two(ff))
+    return F.concat_ws(sep, two(hours), two(F.floor(secs / 60) % 60), two(secs % 60), two(ff))
 
 
 def seconds_to_frames(seconds: Column, fps: float = 24.0) -> Column:

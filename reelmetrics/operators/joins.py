@@ -201,28 +201,63 @@ def progressive_drift(audio: DataFrame, video: DataFrame, keys: tuple[str, ...],
 
 
 # --- intervals and boxes -----------------------------------------------------------------------
+def _levels(sizes: DataFrame, size: Column, keys: Sequence[str]) -> DataFrame:
+    """Distinct size classes per key: few, as a class spans a factor of two."""
+    return sizes.select(*keys, size_class(size).alias("_level")).distinct()
+
+
+def size_class(size: Column) -> Column:
+    """k such that ``size <= 2**k``, at least 0."""
+    return F.ceil(F.log2(F.greatest(size.cast("double"), L(1.0)))).cast("int")
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[str], t: str, start: str, end: str, bucket: float) -> DataFrame:
-    """Points with the half-open intervals that contain them; ``bucket`` near the typical length."""
-    cover = F.sequence(F.floor(C(start) / bucket), F.floor(C(end) / bucket))
-    right = intervals.where(C(end) > C(start)).withColumn("_cell", F.explode(cover))
-    left = points.withColumn("_cell", F.floor(C(t) / bucket))
-    return left.join(right, [*keys, "_cell"]).where((C(t) >= C(start)) & (C(t) < C(end))).drop("_cell")
+    """Points with the half-open intervals that contain them.
+
+    An interval of length up to ``bucket * 2**k`` stands in the two cells of that width it can touch; a
+    point asks once on every class that occurs in its key. Neither side grows with an interval's length.
+    """
+    length = (C(end) - C(start)) / bucket
+    right = intervals.where(C(end) > C(start)).withColumn("_level", size_class(length))
+    width = lambda: F.pow(L(2.0), C("_level")) * bucket
+    right = right.withColumn("_cell", F.explode(F.array_distinct(F.array(F.floor(C(start) / width()), F.floor(C(end) / width())))))
+    left = points.join(_levels(intervals.where(C(end) > C(start)), length, keys), list(keys)).withColumn("_cell", F.floor(C(t) / width()))
+    return left.join(right, [*keys, "_level", "_cell"]).where((C(t) >= C(start)) & (C(t) < C(end))).drop("_cell", "_level")
 
 
-def _celled(boxes: DataFrame, side: str, cell: int) -> DataFrame:
-    named = boxes.select(*[C(c).alias(f"{side}_{c}" if c in ("x", "y", "w", "h", "box_id") else c) for c in boxes.columns])
+def _sided(boxes: DataFrame, side: str) -> DataFrame:
+    return boxes.select(*[C(c).alias(f"{side}_{c}" if c in ("x", "y", "w", "h", "box_id") else c) for c in boxes.columns])
+
+
+def _corners(side: str, width: Column) -> Column:
+    """The cells of a width that a box of at most that size touches: up to four."""
     x, y, w, h = (C(f"{side}_{c}") for c in "xywh")
-    span = lambda a, n: F.sequence(F.floor(a / cell), F.floor((a + n) / cell))
-    return named.withColumn("_cx", F.explode(span(x, w))).withColumn("_cy", F.explode(span(y, h)))
+    ends = lambda a, n: F.array_distinct(F.array(F.floor(a / width), F.floor((a + n) / width)))
+    return F.flatten(F.transform(ends(x, w), lambda i: F.transform(ends(y, h), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
-def box_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: int = 64) -> DataFrame:
-    """Touching boxes of two detection tables (``keys``, box_id, x, y, w, h) with IoU and both hulls.
+def _meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: int) -> DataFrame:
+    """Pairs of boxes that share a cell, each pair once.
 
-    Boxes meet in the grid cells they cover; a pair is kept only in its first common cell.
+    A box belongs to the class of its longer edge. For every class of either side, boxes of that class
+    and smaller ones of the other side meet in the cells of that class, of which a box touches four at
+    most. A pair counts on the larger of its two classes and in its first common cell.
     """
-    j = _celled(a, "a", cell).join(_celled(b, "b", cell), [*keys, "_cx", "_cy"])
-    first = lambda axis: F.floor(F.greatest(C(f"a_{axis}"), C(f"b_{axis}")) / cell)
+    own = lambda side: size_class(F.greatest(f"{side}_w", f"{side}_h") / cell)
+    left, right = _sided(a, "a").withColumn("_la", own("a")), _sided(b, "b").withColumn("_lb", own("b"))
+    levels = left.select(*keys, C("_la").alias("_level")).unionByName(right.select(*keys, C("_lb").alias("_level"))).distinct()
+    width = F.pow(L(2.0), C("_level")) * cell
+
+    def spread(boxes: DataFrame, side: str, level: str) -> DataFrame:
+        return boxes.join(levels, list(keys)).where(C(level) <= C("_level")).withColumn("_cell", F.explode(_corners(side, width)))
+
+    j = spread(left, "a", "_la").join(spread(right, "b", "_lb"), [*keys, "_level", "_cell"]).where(F.greatest("_la", "_lb") == C("_level"))
+    first = lambda axis: F.floor(F.greatest(C(f"a_{axis}"), C(f"b_{axis}")) / width)
+    return j.where((C("_cell.cx") == first("x")) & (C("_cell.cy") == first("y"))).drop("_la", "_lb", "_level", "_cell")
+
+
+def box_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: int = 64) -> DataFrame:
+    """Touching boxes of two detection tables (``keys``, box_id, x, y, w, h) with IoU and both hulls."""
     left, top = F.greatest("a_x", "b_x"), F.greatest("a_y", "b_y")
     right, bottom = F.least(C("a_x") + C("a_w"), C("b_x") + C("b_w")), F.least(C("a_y") + C("a_h"), C("b_y") + C("b_h"))
     inter = (right - left) * (bottom - top)
@@ -234,28 +269,18 @@ def box_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: int = 64) -
         (F.greatest(C("a_y") + C("a_h"), C("b_y") + C("b_h")) - F.least("a_y", "b_y")).alias("h"),
     )
     return (
-        j.where((C("_cx") == first("x")) & (C("_cy") == first("y")) & (right > left) & (bottom > top))
+        _meeting(a, b, keys, cell)
+        .where((right > left) & (bottom > top))
         .withColumn("iou", F.when(union != 0, inter / union).otherwise(0.0))
         .withColumn("intersection_area", inter)
         .withColumn("hull", hull)
-        .drop("_cx", "_cy")
     )
 
 
 def box_containment(outer: DataFrame, inner: DataFrame, keys: Sequence[str], cell: int = 64) -> DataFrame:
     """Pairs where the outer box contains the inner one (edges may touch)."""
-    at = inner.select(*[C(c).alias(f"b_{c}" if c in ("x", "y", "w", "h", "box_id") else c) for c in inner.columns])
-    at = at.withColumn("_cx", F.floor(C("b_x") / cell)).withColumn("_cy", F.floor(C("b_y") / cell))
-    return (
-        _celled(outer, "a", cell)
-        .join(at, [*keys, "_cx", "_cy"])
-        .where(
-            (C("a_x") <= C("b_x"))
-            & (C("a_y") <= C("b_y"))
-            & (C("a_x") + C("a_w") >= C("b_x") + C("b_w"))
-            & (C("a_y") + C("a_h") >= C("b_y") + C("b_h"))
-        )
-        .drop("_cx", "_cy")
+    return _meeting(outer, inner, keys, cell).where(
+        (C("a_x") <= C("b_x")) & (C("a_y") <= C("b_y")) & (C("a_x") + C("a_w") >= C("b_x") + C("b_w")) & (C("a_y") + C("a_h") >= C("b_y") + C("b_h"))
     )
 
 
@@ -297,25 +322,48 @@ def value_lookup(df: DataFrame, table: DataFrame, key: str, value: str, default:
     return df.join(table.select(key, value), key, "left").fillna(default, [value])
 
 
-def suitable_offers(jobs: DataFrame, offers: DataFrame, k: int = 10, max_gb: int = 256) -> DataFrame:
-    """Cheapest ``k`` offers per job; jobs without any offer of their model may take any model.
+#: What a job may ask of an offer: ``min_<name>`` of the job against ``<name>`` of the offer.
+OFFER_NEEDS = ("gb", "disk_gb", "up_mbps", "down_mbps")
 
-    ``jobs``: job_id, model, min_gb INT, max_price.  ``offers``: offer_id, model, gb, price.  For
-    every whole-GB threshold only the ``k`` cheapest offers are kept (per model, and over all), a
-    table of bounded size, and jobs equi-join on the threshold.
-    """
 
-    def ladder(keys: list[str]) -> DataFrame:
-        steps = offers.select("offer_id", "model", "gb", "price", F.explode(F.sequence(L(0), F.least(F.floor("gb").cast("int"), L(max_gb)))).alias("min_gb"))
-        order = W.partitionBy(*keys).orderBy("price", "offer_id")
-        return steps.withColumn("offer_rank", F.row_number().over(order)).where(C("offer_rank") <= k)
+def suitable_offers(jobs: DataFrame, offers: DataFrame, k: int = 10) -> DataFrame:
+    """Cheapest ``k`` offers per job; jobs without any offer of their model may take any model.
 
-    own = jobs.join(ladder(["model", "min_gb"]).select("model", "min_gb", "offer_id", "price", "offer_rank"), ["model", "min_gb"])
-    own = own.where(C("price") <= C("max_price")).select("job_id", "offer_id", "price", "offer_rank", L(False).alias("any_model"))
-    unmatched = jobs.join(own.select("job_id").distinct(), "job_id", "left_anti")
-    other = unmatched.join(ladder(["min_gb"]).select("min_gb", "offer_id", "price", "offer_rank"), "min_gb")
-    other = other.where(C("price") <= C("max_price")).select("job_id", "offer_id", "price", "offer_rank", L(True).alias("any_model"))
-    return own.unionByName(other)
+    ``jobs``: job_id, model, max_price and any of ``min_gb, min_disk_gb, min_up_mbps, min_down_mbps``;
+    ``offers``: offer_id, model, price, the same names without ``min_`` and any of the flags verified,
+    rentable, external (true, true, false to count). A null requirement asks for nothing.
+
+    The cheapest offers are looked for once per distinct set of requirements; a price limit only
+    shortens that list. Requirement sets and offers meet by power-of-two memory level (an offer stands
+    on every level up to its own), so there is no threshold table and no upper limit.
+    """
+    needs = [n for n in OFFER_NEEDS if f"min_{n}" in jobs.columns and n in offers.columns]
+    for flag, wanted in (("verified", True), ("rentable", True), ("external", False)):
+        if flag in offers.columns:
+            offers = offers.where(C(flag) == wanted)
+    level = lambda x: F.floor(F.log2(F.greatest(x.cast("double"), L(1.0)))).cast("int")
+    asked = jobs.select("job_id", "model", "max_price", *[F.coalesce(C(f"min_{n}").cast("double"), L(0.0)).alias(f"_{n}") for n in needs])
+    sets = [f"_{n}" for n in needs]
+    at = level(C("_gb")) if "gb" in needs else L(0)
+    stand = F.sequence(L(0), level(C("gb"))) if "gb" in needs else F.array(L(0))
+    shelf = offers.select("offer_id", "model", "price", *needs, F.explode(stand).alias("_level"))
+
+    def cheapest(keys: list[str]) -> DataFrame:
+        wanted = asked.select(*keys, *sets).distinct().withColumn("_level", at)
+        fits = L(True)
+        for n in needs:
+            fits = fits & (C(n) >= C(f"_{n}"))
+        found = wanted.join(shelf.select(*keys, "offer_id", "price", *needs, "_level"), [*keys, "_level"]).where(fits)
+        order = W.partitionBy(*keys, *sets).orderBy("price", "offer_id")
+        return found.withColumn("offer_rank", F.row_number().over(order)).where(C("offer_rank") <= k).select(*keys, *sets, "offer_id", "price", "offer_rank")
+
+    def affordable(takers: DataFrame, keys: list[str], any_model: bool) -> DataFrame:
+        met = takers.join(cheapest(keys), [*keys, *sets]) if keys or sets else takers.crossJoin(cheapest(keys))
+        met = met.where(C("max_price").isNull() | (C("price") <= C("max_price")))
+        return met.select("job_id", "offer_id", "price", "offer_rank", L(any_model).alias("any_model"))
+
+    own = affordable(asked, ["model"], False)
+    return own.unionByName(affordable(asked.join(own.select("job_id").distinct(), "job_id", "left_anti"), [], True))
 
 
 # Fixed values: (degradation, processor, priority, minimum severity, strength factor).
@@ -397,18 +445,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
-def identity_match(faces: DataFrame, face_id: str, identities: DataFrame, vec: str, limit: float = 0.6, chunk: int = 1024) -> DataFrame:
+def identity_match(faces: DataFrame, face_id: str, identities: DataFrame, vec: str, limit: float = 0.6, chunk: int = 256, spread: int = 32) -> DataFrame:
     """Most similar known identity of every embedding (lowest label wins ties), when similar enough.
 
-    The identities are packed into chunks of about ``chunk`` vectors.  A face is compared with a
-    whole chunk inside one row, so no pair rows are formed however many identities there are.
+    Faces and identities are packed into blocks (of about ``chunk`` identities; faces by ``spread``
+    salts), and a block of identities meets every block of faces once: the work spreads over
+    face blocks times identity blocks, no pair rows are formed, and a face keeps a running best.
     """
-    parts = max(1, -(-identities.count() // chunk))
-    slot = F.pmod(F.xxhash64("label"), L(parts)).cast("int").alias("_slot")
-    book = identities.groupBy(slot).agg(F.collect_list(F.struct("label", "reference")).alias("_book"))
+    n = F.broadcast(identities.agg(F.greatest(F.ceil(F.count(L(1)) / chunk), L(1)).cast("int").alias("_parts")))
+    label = F.xxhash64("label")
+    book = identities.crossJoin(n).withColumn("_slot", F.pmod(label, C("_parts")).cast("int"))
+    book = book.groupBy("_slot").agg(F.collect_list(F.struct("label", "reference")).alias("_book"))
+    book = book.withColumn("_salt", F.explode(F.sequence(L(0), L(spread - 1))))
+    asked = faces.select(face_id, vec, F.pmod(F.xxhash64(face_id), L(spread)).cast("int").alias("_salt"))
     scored = F.transform("_book", lambda i: F.struct(cosine(C(vec), i["reference"]).alias("similarity"), (-i["label"]).alias("n"), i["label"].alias("label")))
-    spread = faces.select(face_id, vec, F.explode(F.sequence(L(0), L(parts - 1))).alias("_slot"))
-    best = spread.join(book, "_slot").groupBy(face_id).agg(F.max(F.array_max(scored)).alias("_b"))
+    best = asked.join(book, "_salt").select(face_id, F.array_max(scored).alias("_s")).groupBy(face_id).agg(F.max("_s").alias("_b"))
     return best.select(face_id, C("_b.similarity").alias("similarity"), F.when(C("_b.similarity") >= limit, C("_b.label")).alias("identity"))
 
 

@@ -7,7 +7,6 @@ in Arrow batches on the executors; what a user supplies is one function per fram
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
@@ -15,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from .generate import frame_chunks
 from .sequence import Seq
@@ -78,47 +78,47 @@ def frame_filter(apply: Callable[[np.ndarray, float], np.ndarray], strength: flo
     return lambda: run("pixels", "height", "width", "channels")
 
 
-@dataclass
-class PluginRegistry:
-    """UD4: named user functions by capability; built-in names cannot be replaced or removed."""
+def register_function(spark: SparkSession, name: str, function: Any) -> None:
+    """UD4: make a user function (scalar, pandas or table function) callable from SQL."""
+    (spark.udtf if isinstance(function, UserDefinedTableFunction) else spark.udf).register(name, function)
 
-    plugins: dict[str, dict[str, Any]] = field(default_factory=dict)
 
-    def register(self, name: str, function: Any, capabilities: Sequence[str] = (), version: str = "1.0", builtin: bool = False) -> bool:
-        held = self.plugins.get(name)
-        if held and held["builtin"] and not builtin:
-            return False
-        self.plugins[name] = {"function": function, "capabilities": tuple(capabilities), "version": version, "builtin": builtin, "enabled": True}
-        return True
+# --- UD7 ---------------------------------------------------------------------------------------
+def custom_aggregate(
+    df: DataFrame,
+    keys: Sequence[str],
+    partial: Callable[[pd.DataFrame], Sequence[float]],
+    merge: Callable[[np.ndarray], Sequence[float]],
+    finish: Callable[[np.ndarray], Sequence[float]],
+    names: Sequence[str],
+    salts: int = 16,
+) -> DataFrame:
+    """UD7: a user aggregate whose state is a vector of numbers.
 
-    def plugin(self, name: str, capabilities: Sequence[str] = (), version: str = "1.0"):
-        def add(function):
-            self.register(name, function, capabilities, version)
-            return function
+    ``partial`` reduces the rows of one key in one batch to a state, ``merge`` reduces a matrix of
+    states (one a row) to one, ``finish`` turns the last state into the columns ``names``. States are
+    formed before the shuffle and merged by salt first, so no task sees the rows of a whole key.
+    """
+    keys = list(keys)
+    key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
-        return add
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(*(k if isinstance(k, tuple) else (k,)), [float(x) for x in partial(own)]) for k, own in rows.groupby(keys, dropna=False, sort=False)]
+            yield pd.DataFrame(found, columns=[*keys, "_state"])
 
-    def unregister(self, name: str) -> bool:
-        if name not in self.plugins or self.plugins[name]["builtin"]:
-            return False
-        del self.plugins[name]
-        return True
+    def merged(rows: pd.DataFrame) -> list[float]:
+        return [float(x) for x in merge(np.stack(rows["_state"].to_numpy()))]
 
-    def enable(self, name: str, on: bool = True) -> bool:
-        if name not in self.plugins:
-            return False
-        self.plugins[name]["enabled"] = on
-        return True
+    def some(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[keys].head(1).assign(_state=[merged(rows)])
 
-    def by_capability(self, capability: str) -> list[str]:
-        return [n for n, p in self.plugins.items() if capability in p["capabilities"]]
+    def final(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[keys].head(1).assign(**{n: [float(v)] for n, v in zip(names, finish(np.array(merged(rows))))})
 
-    def install(self, spark: SparkSession) -> None:
-        """Make the enabled functions callable from SQL (UDFs and table functions)."""
-        for name, p in self.plugins.items():
-            if p["enabled"]:
-                target = spark.udtf if "table_function" in p["capabilities"] else spark.udf
-                target.register(name, p["function"])
+    parts = df.mapInPandas(states, f"{key_fields}, _state array<double>").withColumn("_salt", F.pmod(F.hash("_state"), L(salts)))
+    parts = parts.groupBy(*keys, "_salt").applyInPandas(some, f"{key_fields}, _state array<double>")
+    return parts.groupBy(*keys).applyInPandas(final, key_fields + "".join(f", `{n}` double" for n in names))
 
 
 # --- UD5, UD6 ----------------------------------------------------------------------------------
@@ -267,19 +267,19 @@ def consecutive_scores(df: DataFrame, seq: Seq) -> DataFrame:
     return scored.select(*[c for c in df.columns if c != "pixels"], "_s.*")
 
 
-def cue_table_function():
-    """UD8: SRT text to cue rows as a table function, for texts the built-in parse does not fit."""
-    import re
-
-    head = re.compile(r"(\d+)\s*\n(\d+):(\d+):(\d+),(\d+)\s*-->\s*(\d+):(\d+):(\d+),(\d+)[^\n]*\n(.*)", re.S)
+def frame_index_function():
+    """UD8: a packed frame index (variable-length deltas, seven bits a byte, high bit: more follows) as
+    rows ``entry_no, frame_no``: a stateful byte format that column functions cannot unpack."""
 
-    class Cues:
-        def eval(self, text: str):
-            for block in re.split(r"\n[ \t]*\n", (text or "").replace("\r\n", "\n")):
-                m = head.match(block.strip())
-                if m:
-                    n, *t, body = m.groups()
-                    v = [int(x) for x in t]
-                    yield int(n), v[0] * 3600.0 + v[1] * 60 + v[2] + v[3] / 1000, v[4] * 3600.0 + v[5] * 60 + v[6] + v[7] / 1000, body.strip()
+    class Index:
+        def eval(self, packed: bytes):
+            frame, value, shift, entry = 0, 0, 0, 0
+            for byte in packed or b"":
+                value |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    frame, entry = frame + value, entry + 1
+                    yield entry, frame
+                    value = shift = 0
 
-    return F.udtf(Cues, returnType="cue_index int, start_s double, end_s double, text string")
+    return F.udtf(Index, returnType="entry_no int, frame_no bigint")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import dims
 from .sequence import Seq, key_join, number_rows
 from .stats import exact_percentiles
 from .timeline import lagged
@@ -613,9 +614,14 @@ def dedup_summary(mapping: DataFrame, keys: Sequence[str], target_fps: float, mi
     )
 
 
-def cache_statistics(df: DataFrame, size: str, ts: Column, now: Column) -> DataFrame:
-    """Entries, megabytes and the age of the oldest entry of a cache index."""
+def cache_statistics(df: DataFrame, size: str, ts: Column, now: Column, hits: Column | None = None, misses: Column | None = None) -> DataFrame:
+    """Entries, megabytes and the age of the oldest entry of a cache index; with ``hits`` and
+    ``misses`` per entry also their totals and the hit ratio (0 without requests)."""
+    h, m = (F.coalesce(F.sum(c), F.lit(0)) if c is not None else F.lit(0) for c in (hits, misses))
     return df.agg(
+        h.cast("long").alias("hits"),
+        m.cast("long").alias("misses"),
+        F.when(h + m > 0, h / (h + m)).otherwise(0.0).alias("hit_ratio"),
         F.count(F.lit(1)).alias("entry_count"),
         (F.sum(size) / (1024 * 1024)).alias("total_size_mb"),
         ((F.unix_micros(now) - F.min(F.unix_micros(ts))) / 86400e6).alias("oldest_age_days"),
@@ -726,16 +732,32 @@ def luminance_statistics(pixels: DataFrame, keys: tuple[str, ...], luma: str) ->
 
 
 def grain_profile(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Grain means over sampled frames with defaults for missing values, and a confidence."""
+    """Grain means over sampled frames with defaults for missing values, a confidence, whether grain
+    depends on contrast, and the film stock whose grain is nearest."""
     # Defaults of a missing measurement.
     defaults = {"grain_size": 0.5, "grain_intensity": 0.3, "luminance_grain": 0.3, "chroma_grain": 0.15, "grain_uniformity": 0.8}
     n, filled = F.count(F.lit(1)), F.coalesce(C("grain_intensity"), F.lit(0.3))
     spread = F.stddev_pop(filled) / F.avg(filled)
-    return df.groupBy(*keys).agg(
+    dependent = F.avg(F.coalesce(C("contrast_dependent"), F.lit(0.5))) > 0.4 if "contrast_dependent" in df.columns else F.lit(True)
+    out = df.groupBy(*keys).agg(
         *[F.avg(F.coalesce(C(c), F.lit(d))).alias(c) for c, d in defaults.items()],
         F.coalesce(F.avg("temporal_var"), F.lit(0.15)).alias("temporal_var"),
         F.when((n < 3) | (F.avg(filled) <= 0), 0.5).otherwise(1.0 / (1.0 + spread * 2)).alias("confidence"),
+        dependent.alias("contrast_dependent"),
     )
+    return out.withColumn("film_stock", grain_stock())
+
+
+def grain_stock() -> Column:
+    """Best of the known stocks by weighted closeness; the first one wins ties, none scoring above 0 is unknown."""
+    near = lambda name, value: 1.0 - F.abs(C(name) - value)
+    luma = C("luminance_grain") / (C("luminance_grain") + C("chroma_grain") + 1e-6)
+    rows = []
+    for i, (stock, (size, intensity, ratio, uniformity, temporal)) in enumerate(dims.GRAIN_STOCKS.items()):
+        score = near("grain_size", size) * 0.3 + near("grain_intensity", intensity) * 0.25 + near("grain_uniformity", uniformity) * 0.2 + near("temporal_var", temporal) * 0.15
+        score = score + F.when(C("luminance_grain") > 0, (1.0 - F.abs(luma - ratio)) * 0.1).otherwise(0.0)
+        rows.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(stock).alias("stock")))
+    return dims.let(F.array_max(F.array(*rows)), lambda best: F.when(best["score"] > 0, best["stock"]).otherwise("unknown"))
 
 
 def audio_levels(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -767,6 +789,24 @@ def metric_log(df: DataFrame, keys: Sequence[str], metric: str, value: str) -> D
     return df.groupBy(*keys, metric).agg(F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
+def error_summary(df: DataFrame, error_type: str) -> DataFrame:
+    """Number of errors by type."""
+    return df.groupBy(error_type).agg(F.count(F.lit(1)).alias("n"))
+
+
+def recovery_counters(df: DataFrame, keys: Sequence[str], action: str) -> DataFrame:
+    """Errors and how they ended (succeeded, skipped, aborted) per run."""
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_errors"),
+        *[count_if(C(action) == a).alias(n) for a, n in (("succeeded", "recovered"), ("skipped", "skipped"), ("aborted", "aborted"))],
+    )
+
+
+def combed_percentage(df: DataFrame, keys: Sequence[str], combed: Column) -> DataFrame:
+    """Share of combed frames among sampled frames, in percent."""
+    return df.groupBy(*keys).agg((share(combed) * 100).alias("combed_pct"))
+
+
 def errors_with_totals(df: DataFrame, error_type: str) -> DataFrame:
     """The error rows kept, each with the total of its type."""
     return df.transform(key_join, df.groupBy(error_type).agg(F.count(F.lit(1)).alias("type_total")), [error_type])

@@ -640,3 +640,20 @@ def neighbour_outliers(df: DataFrame, seq: Seq, level: str, full_scale: float =
         return {"outlier": F.coalesce(F.greatest(both, F.lit(0.0)), F.lit(0.0)), "damage": worst}
 
     return framed(df, seq, -1, 1, exprs)
+
+
+def periodic_motion(df: DataFrame, seq: Seq, value: str, max_lag: int = 64, peaks: int = 3, distance: int = 5) -> DataFrame:
+    """per key, whether the autocorrelation of ``value`` has more than ``peaks`` peaks.
+
+    The sums of products at every lag up to ``max_lag`` come from row frames of that width, so a long
+    sequence is spread over blocks. A peak is a lag whose sum exceeds both neighbours'; of peaks closer
+    than ``distance`` the higher one counts.
+    """
+    x = F.col(value)
+    products = framed(df, seq, 0, max_lag, lambda frame, order: {"_p": F.array(*[x * (F.lead(x, k).over(order) if k else x) for k in range(max_lag + 1)])})
+    sums = products.groupBy(*seq.keys).agg(*[F.sum(F.get("_p", F.lit(k))).alias(f"_s{k}") for k in range(max_lag + 1)])
+    over = lambda a, b: F.col(a) > F.col(b) + 1e-9
+    tops = [F.when(over(f"_s{k}", f"_s{k - 1}") & over(f"_s{k}", f"_s{k + 1}"), F.struct(F.col(f"_s{k}").alias("v"), F.lit(k).alias("k"))) for k in range(1, max_lag)]
+    ranked = F.sort_array(F.array_compact(F.array(*tops)), asc=False)
+    apart = lambda kept, top: F.when(F.exists(kept, lambda k: F.abs(k - top["k"]) < distance), kept).otherwise(F.concat(kept, F.array(top["k"])))
+    return sums.select(*seq.keys, (F.size(F.aggregate(ranked, F.array().cast("array<int>"), apart)) > peaks).alias("periodic"))

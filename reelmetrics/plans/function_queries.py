@@ -103,14 +103,15 @@ EXTRAS = ("", " authentic look", " modern and polished", " with damage and artif
 
 def request():
     pick = lambda arr, i: F.element_at(F.array(*[L(x) for x in arr]), (i + 1).cast("int"))
-    return F.concat(pick(PHRASES, C("p_partkey") % len(PHRASES)), pick(EXTRAS, C("p_size") % len(EXTRAS)), L(" "), C("p_name"))
+    text = F.concat(pick(PHRASES, C("p_partkey") % len(PHRASES)), pick(EXTRAS, C("p_size") % len(EXTRAS)), L(" "), C("p_name"))
+    return F.when(C("p_partkey") % 4 == 0, F.upper(text)).otherwise(text)
 
 
 def sqlist(xs):
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
-REQ = f"req AS (SELECT p_partkey, p_size, {sqlist(PHRASES)}[p_partkey % {len(PHRASES)} + 1] || {sqlist(EXTRAS)}[p_size % {len(EXTRAS)} + 1] || ' ' || p_name AS t FROM part)"
+REQ = f"req AS (SELECT p_partkey, p_size, lower({sqlist(PHRASES)}[p_partkey % {len(PHRASES)} + 1] || {sqlist(EXTRAS)}[p_size % {len(EXTRAS)} + 1] || ' ' || p_name) AS t FROM part)"
 
 
 def m(p, flags=", 'i'"):
@@ -167,11 +168,12 @@ def _(t):
     return t.part.select("p_partkey", tx.slug(title).alias("slug"))
 
 
-S13 = "CAST(ok * 7 AS BIGINT)"
+SECONDS13 = lambda: C("ok") % 97 * 360 + 7
+S13 = "CAST(ok % 97 * 360 + 7 AS BIGINT)"
 over_rows("X13_duration_text", f"""CASE WHEN {S13} <= 0 THEN 'Complete' WHEN {S13} >= 3600 THEN ({S13} // 3600) || 'h ' || ({S13} // 60 % 60) || 'm ' || ({S13} % 60) || 's' WHEN {S13} >= 60 THEN ({S13} // 60) || 'm ' || ({S13} % 60) || 's' ELSE {S13} || 's' END AS fine,
  CASE WHEN ln = 7 THEN 'Unknown' WHEN {S13} >= 86400 THEN ({S13} // 86400) || 'd ' || ({S13} // 3600 % 24) || 'h' WHEN {S13} >= 3600 THEN ({S13} // 3600) || 'h ' || ({S13} // 60 % 60) || 'm' WHEN {S13} >= 60 THEN ({S13} // 60) || 'm ' || ({S13} % 60) || 's' ELSE {S13} || 's' END AS coarse,
- CASE WHEN {S13} < 60 THEN format('{{:.1f}} seconds', {S13}::DOUBLE) WHEN {S13} < 3600 THEN format('{{}} min {{}} sec ({{:.0f}}s total)', {S13} // 60, {S13} % 60, {S13}::DOUBLE) ELSE ({S13} // 3600) || 'h ' || ({S13} // 60 % 60) || 'm' END AS long_text""",
-          lambda: [tc.eta_text(C("ok") * 7).alias("fine"), tc.eta_coarse(F.when(C("ln") != 7, C("ok") * 7)).alias("coarse"), F.regexp_replace(tc.duration_long((C("ok") * 7).cast("double")), r"(\dm) \(.* hours\)$", "$1").alias("long_text")])
+ CASE WHEN {S13} < 60 THEN format('{{:.1f}} seconds', {S13}::DOUBLE) WHEN {S13} < 3600 THEN format('{{}} min {{}} sec ({{:.0f}}s total)', {S13} // 60, {S13} % 60, {S13}::DOUBLE) ELSE format('{{}}h {{}}m ({{:.1f}} hours)', {S13} // 3600, {S13} // 60 % 60, {S13} / 3600.0e0) END AS long_text""",
+          lambda: [tc.eta_text(SECONDS13()).alias("fine"), tc.eta_coarse(F.when(C("ln") != 7, SECONDS13())).alias("coarse"), tc.duration_long(SECONDS13().cast("double")).alias("long_text")])
 over_rows("X14_config_hash", """left(sha256('{"alpha":' || pk || ',"beta":' || sk || ',"zeta":' || ln || '}'), 16) AS config_hash""",
           lambda: [st.config_hash(F.create_map(L("zeta"), C("ln").cast("long"), L("alpha"), C("pk"), L("beta"), C("sk"))).alias("config_hash")])
 over_rows("X15_merge_settings", "least(q, d) AS low, greatest(q, tx) AS high, CASE WHEN ln > 3 THEN d ELSE q END AS plain, q AS forced_key, CASE WHEN ln > 3 THEN 9e0 END AS added", lambda: _merged())

@@ -255,12 +255,30 @@ def _(t):
     return out.select("sk", C("a_box_id.ok").alias("a_ok"), C("a_box_id.ln").alias("a_ln"), C("b_box_id.ok").alias("b_ok"), C("b_box_id.ln").alias("b_ln"), "intersection_area", F.round("iou", 6).alias("iou"), C("hull.w").alias("hull_w"))
 
 
-@query("J25_suitable_offers", """WITH jb AS (SELECT o_orderkey AS job_id, CASE o_custkey % 5 WHEN 0 THEN 'GIANT' WHEN 1 THEN 'LARGE' ELSE 'PROMO' END AS model, o_custkey % 50 AS mg, 895 + o_custkey % 110 AS mp FROM orders), f AS (SELECT p_partkey AS offer_id, p_type AS model, p_size AS gb, p_retailprice AS price FROM part),
- ow AS (SELECT job_id, offer_id, price, row_number() OVER (PARTITION BY job_id ORDER BY price, offer_id) AS rn FROM jb JOIN f ON jb.model = f.model AND gb >= mg AND price <= mp), un AS (SELECT * FROM jb WHERE job_id NOT IN (SELECT job_id FROM ow)),
- ot AS (SELECT job_id, offer_id, price, row_number() OVER (PARTITION BY job_id ORDER BY price, offer_id) AS rn FROM un JOIN f ON gb >= mg AND price <= mp)
-SELECT job_id, offer_id, price, CAST(rn AS INTEGER) AS offer_rank, false AS any_model FROM ow WHERE rn <= 3 UNION ALL SELECT job_id, offer_id, price, CAST(rn AS INTEGER), true FROM ot WHERE rn <= 3""")
+FITS = "gb >= mg AND price <= mp AND disk >= 40 AND up >= 20 AND down >= 10"
+
+
+@query(
+    "J25_suitable_offers",
+    f"""WITH jb AS (SELECT o_orderkey AS job_id, CASE o_custkey % 5 WHEN 0 THEN 'GIANT' WHEN 1 THEN 'LARGE' ELSE 'PROMO' END AS model,
+  o_custkey % 50 * 8 + CASE WHEN o_custkey % 3 = 0 THEN 4.5e0 ELSE 0 END AS mg, 895 + o_custkey % 110 AS mp FROM orders),
+ f AS (SELECT p_partkey AS offer_id, p_type AS model, p_size * 8 AS gb, p_retailprice AS price, p_partkey % 200 AS disk, p_partkey % 150 AS up, p_partkey % 90 AS down
+  FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 0),
+ ow AS (SELECT job_id, offer_id, price, row_number() OVER (PARTITION BY job_id ORDER BY price, offer_id) AS rn FROM jb JOIN f ON jb.model = f.model AND {FITS}),
+ un AS (SELECT * FROM jb WHERE job_id NOT IN (SELECT job_id FROM ow)),
+ ot AS (SELECT job_id, offer_id, price, row_number() OVER (PARTITION BY job_id ORDER BY price, offer_id) AS rn FROM un JOIN f ON {FITS})
+SELECT job_id, offer_id, price, CAST(rn AS INTEGER) AS offer_rank, false AS any_model FROM ow WHERE rn <= 3
+UNION ALL SELECT job_id, offer_id, price, CAST(rn AS INTEGER), true FROM ot WHERE rn <= 3""",
+)
 def _(t):
-    model = F.when(C("o_custkey") % 5 == 0, "GIANT").when(C("o_custkey") % 5 == 1, "LARGE").otherwise("PROMO")
-    jobs = t.orders.select(C("o_orderkey").alias("job_id"), model.alias("model"), (C("o_custkey") % 50).cast("int").alias("min_gb"), (C("o_custkey") % 110 + 895).alias("max_price"))
-    offers = t.part.select(C("p_partkey").alias("offer_id"), C("p_type").alias("model"), C("p_size").alias("gb"), C("p_retailprice").alias("price"))
+    key, part = C("o_custkey"), C("p_partkey")
+    model = F.when(key % 5 == 0, "GIANT").when(key % 5 == 1, "LARGE").otherwise("PROMO")
+    jobs = t.orders.select(
+        C("o_orderkey").alias("job_id"), model.alias("model"), (key % 50 * 8 + F.when(key % 3 == 0, 4.5).otherwise(0.0)).alias("min_gb"), (key % 110 + 895).alias("max_price"),
+        L(40).alias("min_disk_gb"), L(20).alias("min_up_mbps"), L(10).alias("min_down_mbps"),
+    )
+    offers = t.part.select(
+        part.alias("offer_id"), C("p_type").alias("model"), (C("p_size") * 8).alias("gb"), C("p_retailprice").alias("price"), (part % 200).alias("disk_gb"), (part % 150).alias("up_mbps"),
+        (part % 90).alias("down_mbps"), (part % 11 != 0).alias("verified"), (part % 13 != 0).alias("rentable"), (part % 17 == 0).alias("external"),
+    )
     return jn.suitable_offers(jobs, offers, 3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from .. import dims
 from ..operators import ab, folds, history
 from ..operators import rollups as ru
 from ..operators import timeline as tl
@@ -310,8 +311,10 @@ def variant_pairs(t):
     return ab.paired_frames(side("R", ""), side("A", "a"), side("N", "b"), keys).withColumn("test_id", C("sk") % 20)
 
 
-PAIRS = """WITH b AS (SELECT pk, sk, rf, avg(q / 1.7e0 + 20) AS psnr, avg(d + 0.8e0) AS ssim FROM rws GROUP BY 1, 2, 3),
- pr AS (SELECT a.pk, a.sk, a.sk % 20 AS test_id, a.psnr AS a_psnr, a.ssim AS a_ssim, n.psnr AS b_psnr, n.ssim AS b_ssim FROM b r JOIN b a ON a.pk = r.pk AND a.sk = r.sk AND a.rf = 'A' JOIN b n ON n.pk = r.pk AND n.sk = r.sk AND n.rf = 'N' WHERE r.rf = 'R')"""
+PAIRS = """WITH pr AS (SELECT pk, sk, sk % 20 AS test_id,
+  avg(q / 1.7e0 + 20) FILTER (WHERE rf = 'A') AS a_psnr, avg(d + 0.8e0) FILTER (WHERE rf = 'A') AS a_ssim,
+  avg(q / 1.7e0 + 20) FILTER (WHERE rf = 'N') AS b_psnr, avg(d + 0.8e0) FILTER (WHERE rf = 'N') AS b_ssim
+  FROM rws GROUP BY 1, 2 HAVING bool_or(rf = 'R') AND bool_or(rf = 'A') AND bool_or(rf = 'N'))"""
 DIFFSQL = PAIRS + """, df AS (SELECT test_id, avg(b_psnr) - avg(a_psnr) AS psnr_diff, count(CASE WHEN b_psnr > a_psnr + 0.5e0 THEN 1 END) AS psnr_improvements, count(CASE WHEN a_psnr > b_psnr + 0.5e0 THEN 1 END) AS psnr_regressions,
  avg(b_ssim) - avg(a_ssim) AS ssim_diff, count(CASE WHEN b_ssim > a_ssim + 0.01e0 THEN 1 END) AS ssim_improvements, count(CASE WHEN a_ssim > b_ssim + 0.01e0 THEN 1 END) AS ssim_regressions FROM pr GROUP BY 1)"""
 
@@ -431,7 +434,17 @@ def _(t):
 
 @query("A35_error_summary", "SELECT l_returnflag || l_linestatus AS error_type, count(*) AS n FROM lineitem GROUP BY 1")
 def _(t):
-    return t.lineitem.groupBy(F.concat("l_returnflag", "l_linestatus").alias("error_type")).agg(F.count(F.lit(1)).alias("n"))
+    return ru.error_summary(t.lineitem.select(F.concat("l_returnflag", "l_linestatus").alias("error_type")), "error_type")
+
+
+@query(
+    "A35_recovery_counters",
+    """SELECT l_suppkey AS run, count(*) AS total_errors, count(*) FILTER (WHERE l_linenumber % 4 = 0) AS recovered,
+  count(*) FILTER (WHERE l_linenumber % 4 = 1) AS skipped, count(*) FILTER (WHERE l_linenumber % 4 = 2) AS aborted FROM lineitem GROUP BY 1""",
+)
+def _(t):
+    action = F.element_at(F.array(*[F.lit(x) for x in ("succeeded", "skipped", "aborted", "failed")]), (C("l_linenumber") % 4 + 1).cast("int"))
+    return ru.recovery_counters(t.lineitem.select(C("l_suppkey").alias("run"), action.alias("action")), ["run"], "action")
 
 
 @query("A36_queue_statistics", "SELECT priority, s.state, count(CASE WHEN j.state = s.state THEN 1 END) AS n FROM jobs j CROSS JOIN (VALUES ('O'), ('F'), ('P'), ('cancelled')) s(state) GROUP BY 1, 2")
@@ -515,13 +528,14 @@ def _(t):
 
 @query("A46_combed_percentage", f"SELECT video_id, round({one_if('k > 60')} * 100, 6) AS combed_pct FROM frames WHERE frame_no % 2 = 0 GROUP BY 1")
 def _(t):
-    return rounded(t.frames.where("frame_no % 2 = 0").groupBy("video_id").agg((ru.share(C("k") > 60) * 100).alias("combed_pct")), "combed_pct")
+    return rounded(ru.combed_percentage(t.frames.where("frame_no % 2 = 0"), ["video_id"], C("k") > 60), "combed_pct")
 
 
-@query("A48_cache_statistics", "SELECT count(*) AS entry_count, round(sum(CAST(floor(l_extendedprice) AS BIGINT)) / 1048576.0e0, 6) AS total_size_mb, round((epoch_us(TIMESTAMP '2002-01-01') - min(epoch_us(l_shipdate))) / 86400e6, 6) AS oldest_age_days FROM lineitem")
+@query("A48_cache_statistics", "SELECT CAST(sum(l_linenumber) AS BIGINT) AS hits, count(*) FILTER (WHERE l_returnflag = 'R') AS misses, round(sum(l_linenumber) / (sum(l_linenumber) + count(*) FILTER (WHERE l_returnflag = 'R')), 6) AS hit_ratio, count(*) AS entry_count, round(sum(CAST(floor(l_extendedprice) AS BIGINT)) / 1048576.0e0, 6) AS total_size_mb, round((epoch_us(TIMESTAMP '2002-01-01') - min(epoch_us(l_shipdate))) / 86400e6, 6) AS oldest_age_days FROM lineitem")
 def _(t):
-    df = t.lineitem.select(F.floor("l_extendedprice").alias("size"), C("l_shipdate").cast("timestamp").alias("ts"))
-    return rounded(ru.cache_statistics(df, "size", C("ts"), F.to_timestamp(F.lit("2002-01-01"))), "total_size_mb", "oldest_age_days")
+    df = t.lineitem.select(F.floor("l_extendedprice").alias("size"), C("l_shipdate").cast("timestamp").alias("ts"), C("l_linenumber").alias("hits"), (C("l_returnflag") == "R").cast("int").alias("misses"))
+    stats = ru.cache_statistics(df, "size", C("ts"), F.to_timestamp(F.lit("2002-01-01")), C("hits"), C("misses"))
+    return rounded(stats, "hit_ratio", "total_size_mb", "oldest_age_days")
 
 
 def pixels(t):
@@ -591,8 +605,8 @@ def _(t):
     return rounded(out, *[c for c in out.columns if c != "video_id"])
 
 
-GRAIN = """WITH x AS (SELECT sk, CASE WHEN ln <> 3 THEN d * 9 END AS gs, CASE WHEN ln <> 2 THEN tx * 11 END AS gi, q / 53 AS lg, d / 1.3e0 AS cg, CASE WHEN rf = 'A' THEN q / 59 END AS gu, CASE WHEN ln = 5 THEN tx * 7 END AS tv FROM rws),
- gp AS (SELECT sk, avg(coalesce(gs, 0.5e0)) AS grain_size, avg(coalesce(gi, 0.3e0)) AS grain_intensity, avg(coalesce(lg, 0.3e0)) AS luminance_grain, avg(coalesce(cg, 0.15e0)) AS chroma_grain, avg(coalesce(gu, 0.8e0)) AS grain_uniformity, coalesce(avg(tv), 0.15e0) AS temporal_var,
+GRAIN = """WITH x AS (SELECT sk, CASE WHEN ln <> 3 THEN d * 9 END AS gs, CASE WHEN ln <> 2 THEN tx * 11 END AS gi, q / 53 AS lg, d / 1.3e0 AS cg, CASE WHEN rf = 'A' THEN q / 59 END AS gu, CASE WHEN ln = 5 THEN tx * 7 END AS tv, CASE WHEN ln < 6 THEN d * 8 END AS cd FROM rws),
+ gp AS (SELECT sk, avg(coalesce(cd, 0.5e0)) > 0.4e0 AS contrast_dependent, avg(coalesce(gs, 0.5e0)) AS grain_size, avg(coalesce(gi, 0.3e0)) AS grain_intensity, avg(coalesce(lg, 0.3e0)) AS luminance_grain, avg(coalesce(cg, 0.15e0)) AS chroma_grain, avg(coalesce(gu, 0.8e0)) AS grain_uniformity, coalesce(avg(tv), 0.15e0) AS temporal_var,
   CASE WHEN count(*) < 3 OR avg(coalesce(gi, 0.3e0)) <= 0 THEN 0.5e0 ELSE 1 / (1 + stddev_pop(coalesce(gi, 0.3e0)) / avg(coalesce(gi, 0.3e0)) * 2) END AS confidence FROM x GROUP BY 1)"""
 GRAIN_COLS = ["grain_size", "grain_intensity", "luminance_grain", "chroma_grain", "grain_uniformity", "temporal_var", "confidence"]
 
@@ -600,11 +614,18 @@ GRAIN_COLS = ["grain_size", "grain_intensity", "luminance_grain", "chroma_grain"
 def grain(t):
     df = t.rows.select(
         "sk", F.when(C("ln") != 3, C("d") * 9).alias("grain_size"), F.when(C("ln") != 2, C("tx") * 11).alias("grain_intensity"), (C("q") / 53).alias("luminance_grain"),
-        (C("d") / 1.3).alias("chroma_grain"), F.when(C("rf") == "A", C("q") / 59).alias("grain_uniformity"), F.when(C("ln") == 5, C("tx") * 7).alias("temporal_var"))
+        (C("d") / 1.3).alias("chroma_grain"), F.when(C("rf") == "A", C("q") / 59).alias("grain_uniformity"), F.when(C("ln") == 5, C("tx") * 7).alias("temporal_var"), F.when(C("ln") < 6, C("d") * 8).alias("contrast_dependent"))
     return ru.grain_profile(df, ["sk"])
 
 
-@query("A58_grain_profile", GRAIN + " SELECT sk, " + ", ".join(f"round({c}, 6) AS {c}" for c in GRAIN_COLS) + " FROM gp")
+STOCK_ROWS = ", ".join(f"({i}, '{n}', {a}e0, {b}e0, {c}e0, {d}e0, {e}e0)" for i, (n, (a, b, c, d, e)) in enumerate(dims.GRAIN_STOCKS.items()))
+STOCK_SCORE = """(1 - abs(grain_size - sz)) * 0.3e0 + (1 - abs(grain_intensity - si)) * 0.25e0 + (1 - abs(grain_uniformity - su)) * 0.2e0
+  + (1 - abs(temporal_var - st)) * 0.15e0 + CASE WHEN luminance_grain > 0 THEN (1 - abs(luminance_grain / (luminance_grain + chroma_grain + 1e-6) - sl)) * 0.1e0 ELSE 0 END"""
+STOCKS = f""", sc AS (SELECT sk, stock, i, {STOCK_SCORE} AS score FROM gp CROSS JOIN (VALUES {STOCK_ROWS}) v(i, stock, sz, si, sl, su, st)),
+ best AS (SELECT sk, CASE WHEN max(score) > 0 THEN arg_max(stock, (score, -i)) ELSE 'unknown' END AS film_stock FROM sc GROUP BY 1)"""
+
+
+@query("A58_grain_profile", GRAIN + STOCKS + " SELECT gp.sk, contrast_dependent, film_stock, " + ", ".join(f"round({c}, 6) AS {c}" for c in GRAIN_COLS) + " FROM gp JOIN best ON best.sk = gp.sk")
 def _(t):
     return rounded(grain(t), *GRAIN_COLS)
 

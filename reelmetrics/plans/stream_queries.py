@@ -5,7 +5,10 @@ Streams read the events file as a stream, run it to the end and return the writt
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,28 +17,32 @@ from ..operators import plugins as ud
 from ..operators import timeline as tl
 from ..operators.sequence import Seq
 from ..streaming import live
+from .bindings import TABLES
 from .join_queries import endpoints
 from .registry import query
-from ..operators.stats import paired_test
-from .rollup_queries import PAIRS, TTEST, rounded, variant_pairs
-from .table_queries import CUES, cue_texts
+from .rollup_queries import rounded
 
 C, L = F.col, F.lit
 
 
 def event_stream(t):
-    raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    return prepared(t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(t.folder))
+
+
+def prepared(raw):
     return raw.withColumn("ts", C("ts").cast("timestamp")).withColumn("second", F.unix_micros("ts") / 1e6).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
-LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+WATCHED = [n for n in TABLES if n != "region"]
 
 
-@query("ST1_watch_folder")
+@query("ST1_watch_folder", " UNION ALL ".join(f"SELECT '{n}.parquet' AS file, count(*) AS n_rows FROM {n}" for n in WATCHED))
 def _(t):
+    """Files found, the processed one left out, and the rows of each file of the work list."""
     found = live.run_available(live.watch_folder(t.spark, t.folder, "*.parquet"))
-    ready = live.ready_files(found, found.where(C("path").endswith("region.parquet")), F.current_timestamp(), 5.0)
-    return ready.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    ready = live.ready_files(found, found.where(C("path").endswith("/region.parquet")), F.current_timestamp(), 5.0)
+    parts = [t.spark.read.parquet(r["path"]).agg(F.count(L(1)).alias("n_rows")).select(L(r["path"].rsplit("/", 1)[1]).alias("file"), "n_rows") for r in ready.select("path").toLocalIterator()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("ST2_routed_stream", "WITH e AS (SELECT n_name AS endpoint, unnest([CASE WHEN n_nationkey % 2 = 0 THEN 'view' ELSE 'click' END, CASE WHEN n_nationkey % 3 = 0 THEN 'error' ELSE 'signup' END]) AS ev FROM nation WHERE n_nationkey % 4 <> 0) SELECT event_id, event_type, endpoint FROM events JOIN e ON ev = event_type WHERE event_type IN ('view', 'error')")
@@ -44,9 +51,10 @@ def _(t):
     return live.run_available(routed.select("event_id", "event_type", "endpoint"))
 
 
-@query("ST3_event_counts", f"SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {LAST}")
+@query("ST3_event_counts", f"SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
-    return live.run_available(live.event_counts(event_stream(t), "ts", ["event_type"], "1 hour"))
+    build = lambda events: live.event_counts(events, "ts", ["event_type"], "1 hour")
+    return live.with_open_windows(live.run_available(build(event_stream(t))), build(prepared(t.events)), ["window_start", "event_type"])
 
 
 def limiter_sql(per, window, gap):
@@ -65,6 +73,12 @@ def _(t):
 
 
 @query("ST5_progress_throttle", limiter_sql(4, 200000, 300000))
+def _(t):
+    s = event_stream(t).withColumn("progress", C("event_type") == "view")
+    return live.run_available(live.limit_stream(s, ["user_id"], "event_id", "second", "progress", per_window=4, window_s=200000.0, gap_s=300000.0))
+
+
+@query("ST5_throttled_table", limiter_sql(4, 200000, 300000))
 def _(t):
     df = t.events.select("user_id", "event_id", (F.unix_micros(C("ts").cast("timestamp")) / 1e6).alias("second"), (C("event_type") == "view").alias("progress"))
     return live.limit_table(df, ["user_id"], "event_id", "second", "progress", width=15 * 86400, per_window=4, window_s=200000.0, gap_s=300000.0)
@@ -93,10 +107,21 @@ def _(t):
     return shown(t, live.run_available(live.progress_stream(rows, ["video_id"], ["ts", "event_id"])))
 
 
-@query("ST7_progress_snapshots", PROG.replace("FROM r", "FROM r QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY frame_no DESC) <= 3"))
+NEWEST = PROG.replace("FROM r", "FROM r QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY frame_no DESC) <= 3")
+
+
+@query("ST7_progress_snapshots", NEWEST)
 def _(t):
-    rows = progress_rows(t.events.withColumn("ts", C("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("long")))
-    snaps = shown(t, live.progress_table(rows, ["video_id"], ["ts", "event_id"], width=7 * 86400))
+    folder = live.work_folder(t.spark)
+    rows = live.progress_stream(progress_rows(event_stream(t)), ["video_id"], ["ts", "event_id"])
+    live.start_snapshots(rows, f"{folder}/out", f"{folder}/state", None).awaitTermination()
+    snaps = shown(t, t.spark.read.schema(rows.schema).parquet(f"{folder}/out"))
+    return tl.newest_n(snaps, ["video_id"], ["frame_no"], 3).drop("recency_rank")
+
+
+@query("ST7_snapshots_of_a_table", NEWEST)
+def _(t):
+    snaps = shown(t, live.progress_table(progress_rows(prepared(t.events)), ["video_id"], ["ts", "event_id"], width=7 * 86400))
     return tl.newest_n(snaps, ["video_id"], ["frame_no"], 3).drop("recency_rank")
 
 
@@ -117,9 +142,10 @@ def _(t):
     return rounded(live.run_available(live.ema_stream(s, ["video_id"], ["ts", "event_id"], "value", 0.05)).select("video_id", "event_id", "ema"), "ema")
 
 
-@query("ST10_completed_chunks", f"SELECT to_timestamp(epoch_us(ts) // 86400000000 * 86400)::TIMESTAMP AS chunk_start, event_type, count(*) AS frames, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1, 2 HAVING to_timestamp(epoch_us(min(ts)) // 86400000000 * 86400)::TIMESTAMP + INTERVAL 1 DAY <= {LAST}")
+@query("ST10_completed_chunks", f"SELECT to_timestamp(epoch_us(ts) // 86400000000 * 86400)::TIMESTAMP AS chunk_start, event_type, count(*) AS frames, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1, 2")
 def _(t):
-    return live.run_available(live.completed_chunks(event_stream(t), "ts", ["event_type"], 86400))
+    build = lambda events: live.completed_chunks(events, "ts", ["event_type"], 86400)
+    return live.with_open_windows(live.run_available(build(event_stream(t))), build(prepared(t.events)), ["chunk_start", "event_type"])
 
 
 @query("ST11_failure_streaks", """WITH x AS (SELECT video_id, event_id, frame_no, event_type IN ('error', 'click', 'view') AS bad FROM frames), g AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_no) AS grp FROM x)
@@ -136,9 +162,10 @@ def _(t):
 
 
 @query("ST13_job_sessions", f"""WITH m AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR AS gap FROM events), g AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM g GROUP BY user_id, s HAVING max(ts) + INTERVAL 12 HOUR <= {LAST}""")
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM g GROUP BY user_id, s""")
 def _(t):
-    return live.run_available(live.job_sessions(event_stream(t), "ts", ["user_id"], "12 hours"))
+    closed = live.run_available(live.job_sessions(event_stream(t), "ts", ["user_id"], "12 hours"))
+    return live.with_open_windows(closed, live.job_sessions_table(prepared(t.events), "ts", ["user_id"], 12 * 3600.0, 7 * 86400), ["user_id", "session_start"])
 
 
 # --- UD ----------------------------------------------------------------------------------------
@@ -176,18 +203,14 @@ def _(t):
 
 @query("UD4_registered_function", "SELECT event_id, value * 2 + 1 AS scaled FROM events")
 def _(t):
-    registry = ud.PluginRegistry()
-    scale = F.pandas_udf(lambda v: v * 2 + 1, T.DoubleType())
-    scale_named = scale
-    registry.register("reel_scale", scale_named, ["analysis"])
-    registry.install(t.spark)
+    ud.register_function(t.spark, "reel_scale", F.pandas_udf(lambda v: v * 2 + 1, T.DoubleType()))
     return t.events.selectExpr("event_id", "reel_scale(value) AS scaled")
 
 
-@query("UD5_variants", PX + ", v AS (SELECT *, unnest(['dim', 'same']) AS variant FROM xy), o AS (SELECT *, CASE variant WHEN 'dim' THEN floor(p * 0.5e0) ELSE p END AS o FROM v) SELECT video_id, frame_no, variant, round(CASE WHEN avg(pow(p - o, 2)) > 0 THEN 10 * log10(65025 / avg(pow(p - o, 2))) ELSE 100 END, 6) AS psnr FROM o GROUP BY 1, 2, 3")
+@query("UD5_variants", PX + ", v AS (SELECT *, unnest(['dim', 'same']) AS variant FROM xy), o AS (SELECT *, CASE variant WHEN 'dim' THEN floor(p * 0.5e0) ELSE p END AS o FROM v) SELECT video_id, frame_no, variant, round(CASE WHEN avg(pow(p - o, 2)) > 0 THEN 10 * log10(65025 / avg(pow(p - o, 2))) ELSE 100 END, 6) AS psnr, round((2 * avg(p) * avg(o) + 6.5025e0) * (2 * covar_pop(p, o) + 58.5225e0) / ((pow(avg(p), 2) + pow(avg(o), 2) + 6.5025e0) * (var_pop(p) + var_pop(o) + 58.5225e0)), 6) AS ssim FROM o GROUP BY 1, 2, 3")
 def _(t):
     out = ud.run_variants(images(t), "frame_no", {"dim": 0.5, "same": 1.0}, lambda gain: lambda f: np.floor(f * gain).astype(np.uint8))
-    return rounded(out.select("video_id", "frame_no", "variant", "psnr"), "psnr")
+    return rounded(out.select("video_id", "frame_no", "variant", "psnr", "ssim"), "psnr", "ssim")
 
 
 @query("UD6_chunk_context", """SELECT video_id, frame_no, round(avg(value) OVER (PARTITION BY video_id ORDER BY frame_no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), 6) AS ahead FROM frames""")
@@ -201,17 +224,30 @@ def _(t):
     return rounded(out, "ahead")
 
 
-@query("UD7_custom_aggregates", PAIRS + TTEST.replace("psnr", "ssim") + " SELECT test_id, n, round(t, 6) AS t_stat, round(p, 6) AS p_value FROM pv")
+@query("UD7_custom_aggregates", "SELECT l_suppkey, round(exp(avg(ln(l_extendedprice))), 3) AS geometric, round(count(*) / sum(1 / l_extendedprice), 3) AS harmonic FROM lineitem GROUP BY 1")
 def _(t):
-    out = paired_test(variant_pairs(t), ("test_id",), "a_ssim", "b_ssim")
-    return rounded(out.select("test_id", "n", "t_stat", "p_value"), "t_stat", "p_value")
+    def partial(rows):
+        x = rows["l_extendedprice"].to_numpy(dtype=float)
+        return [len(x), np.log(x).sum(), (1 / x).sum()]
+
+    out = ud.custom_aggregate(
+        t.lineitem.select("l_suppkey", "l_extendedprice"), ["l_suppkey"], partial, lambda states: states.sum(axis=0), lambda s: [np.exp(s[1] / s[0]), s[0] / s[2]], ["geometric", "harmonic"]
+    )
+    return out.select("l_suppkey", F.round("geometric", 3).alias("geometric"), F.round("harmonic", 3).alias("harmonic"))
 
 
-@query("UD8_cue_table_function", CUES + " SELECT doc_id, CAST(i AS INTEGER) AS cue_index, (i - 1) * 2 + 0.5e0 AS start_s, text FROM c WHERE doc_id % 1 = 0".replace(" WHERE doc_id % 1 = 0", ""))
+@query(
+    "UD8_frame_index",
+    """SELECT o_orderkey, CAST(i AS INTEGER) AS entry_no, CASE i WHEN 1 THEN a WHEN 2 THEN a + b ELSE a + b + c END AS frame_no
+FROM (SELECT o_orderkey, o_orderkey % 100 AS a, o_custkey % 9000 + 128 AS b, o_custkey % 128 AS c FROM orders), range(1, 4) r(i)""",
+)
 def _(t):
-    t.spark.udtf.register("reel_cues", ud.cue_table_function())
-    cue_texts(t).createOrReplaceTempView("reel_cue_texts")
-    return t.spark.sql("SELECT doc_id, c.cue_index, c.start_s, c.text FROM reel_cue_texts, LATERAL reel_cues(value) c")
+    one = lambda n: F.lpad(F.hex(n), 2, "0")
+    two = lambda n: F.concat(one(n % 128 + 128), one(F.floor(n / 128)))
+    packed = F.unhex(F.concat(one(C("o_orderkey") % 100), two(C("o_custkey") % 9000 + 128), one(C("o_custkey") % 128)))
+    ud.register_function(t.spark, "reel_frame_index", ud.frame_index_function())
+    t.orders.select("o_orderkey", packed.alias("packed")).createOrReplaceTempView("reel_indexes")
+    return t.spark.sql("SELECT o_orderkey, f.entry_no, f.frame_no FROM reel_indexes, LATERAL reel_frame_index(packed) f")
 
 
 @query("UD9_frame_features", PX + """, n AS (SELECT a.video_id, a.frame_no, a.x, a.y, a.p, u.p + d.p + l.p + r.p - 4 * a.p AS lap FROM xy a JOIN xy u ON u.frame_no = a.frame_no AND u.x = a.x AND u.y = abs(a.y - 1) JOIN xy d ON d.frame_no = a.frame_no AND d.x = a.x AND d.y = 7 - abs(7 - (a.y + 1)) JOIN xy l ON l.frame_no = a.frame_no AND l.y = a.y AND l.x = abs(a.x - 1) JOIN xy r ON r.frame_no = a.frame_no AND r.y = a.y AND r.x = 7 - abs(7 - (a.x + 1))),
@@ -225,7 +261,7 @@ def _(t):
 
 @query("UD10_consecutive_scores", PX + """, o AS (SELECT video_id, frame_no, row_number() OVER (PARTITION BY video_id ORDER BY frame_no) AS r FROM (SELECT DISTINCT video_id, frame_no FROM xy)), a AS (SELECT xy.*, r FROM xy JOIN o USING (video_id, frame_no)),
  j AS (SELECT b.video_id, b.frame_no, b.p, a.p AS q FROM a b LEFT JOIN a ON a.video_id = b.video_id AND a.r = b.r - 1 AND a.x = b.x AND a.y = b.y)
-SELECT video_id, frame_no, round(avg(abs(p - q)), 6) AS abs_diff, round((2 * avg(p) * avg(q) + 6.5025e0) * (2 * covar_pop(p, q) + 58.5225e0) / ((pow(avg(p), 2) + pow(avg(q), 2) + 6.5025e0) * (var_pop(p) + var_pop(q) + 58.5225e0)), 6) AS ssim FROM j GROUP BY 1, 2""")
+SELECT video_id, frame_no, round(avg(abs(p - q)), 6) AS abs_diff, round(CASE WHEN avg(pow(p - q, 2)) > 0 THEN 10 * log10(65025 / avg(pow(p - q, 2))) WHEN avg(pow(p - q, 2)) = 0 THEN 100 END, 6) AS psnr, round((2 * avg(p) * avg(q) + 6.5025e0) * (2 * covar_pop(p, q) + 58.5225e0) / ((pow(avg(p), 2) + pow(avg(q), 2) + 6.5025e0) * (var_pop(p) + var_pop(q) + 58.5225e0)), 6) AS ssim FROM j GROUP BY 1, 2""")
 def _(t):
     from ..operators.sequence import number_rows
 
@@ -233,4 +269,4 @@ def _(t):
     img = number_rows(img, Seq(("video_id",), ("vec_id",)), "frame_no")
     out = ud.consecutive_scores(img, Seq(("video_id",), ("frame_no",), 4096))
     first = C("abs_diff").isNull()
-    return rounded(out.select("video_id", C("vec_id").alias("frame_no"), "abs_diff", F.when(~first, C("ssim")).alias("ssim")), "abs_diff", "ssim")
+    return rounded(out.select("video_id", C("vec_id").alias("frame_no"), "abs_diff", F.when(~first, C("psnr")).alias("psnr"), F.when(~first, C("ssim")).alias("ssim")), "abs_diff", "psnr", "ssim")

@@ -213,12 +213,12 @@ def _(t):
     return cues.parse_vtt(docs)
 
 
-@query("SRC7_ass_cues", CUES + " SELECT doc_id, CAST(i AS INTEGER) AS cue_index, (i - 1) * 2 + 0.5e0 AS start_s, (i - 1) * 2 + 1.25e0 AS end_s, text || chr(10) || 'x' AS text, 'Default' AS style, 0 AS layer FROM c WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE contains(text, '['))")
+@query("SRC7_ass_cues", CUES + " SELECT doc_id, CAST(i AS INTEGER) AS cue_index, (i - 1) * 2 + 0.5e0 AS start_s, (i - 1) * 2 + 1.25e0 AS end_s, text || chr(10) || 'x' AS text, 'Default' AS style, 0 AS layer FROM c")
 def _(t):
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
     block = lambda x, i: cues.cue_block("ass", i, i * 2 + 0.5, i * 2 + 1.25, F.concat(F.trim(x), L("\nx")))
     body = F.array_join(F.transform(lines, block), "\n")
-    docs = t.documents.where(~C("text").contains("[")).select("doc_id", F.concat(L(cues.HEADERS["ass"] + "\n"), body).alias("value"))
+    docs = t.documents.select("doc_id", F.concat(L(cues.HEADERS["ass"] + "\n"), body).alias("value"))
     return cues.parse_ass(docs)
 
 
@@ -290,11 +290,19 @@ def _(t):
     return records.quality_log_pooled(score_logs(t), ["event_id"]).select("event_id", "vmaf_mean", "vmaf_harmonic_mean", "vmaf_p5", "vmaf_p50", "vmaf_p95", "frame_count")
 
 
+def log_lines(t):
+    doc = F.to_json(F.struct(F.date_format(C("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.upper("event_type").alias("level"), C("props").alias("message"), F.struct(C("user_id").alias("line")).alias("source")))
+    return t.events.select("event_id", F.when(C("event_id") % 10 == 0, L("not json")).otherwise(doc).alias("value"))
+
+
+@query("SRC14_broken_log_lines", "SELECT event_id, 'not json' AS value FROM events WHERE event_id % 10 = 0")
+def _(t):
+    return records.parse_log_lines(log_lines(t))[1]
+
+
 @query("SRC14_log_lines", "SELECT event_id, ts AS timestamp, upper(event_type) AS level, props AS message, CAST(user_id AS INTEGER) AS line FROM events WHERE event_id % 10 <> 0")
 def _(t):
-    doc = F.to_json(F.struct(F.date_format(C("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.upper("event_type").alias("level"), C("props").alias("message"), F.struct(C("user_id").alias("line")).alias("source")))
-    lines = t.events.select("event_id", F.when(C("event_id") % 10 == 0, L("not json")).otherwise(doc).alias("value"))
-    return records.parse_log_lines(lines).select("event_id", "timestamp", "level", "message", C("source.line").alias("line"))
+    return records.parse_log_lines(log_lines(t))[0].select("event_id", "timestamp", "level", "message", C("source.line").alias("line"))
 
 
 # --- SNK ---------------------------------------------------------------------------------------
@@ -329,6 +337,25 @@ def _(t):
     return edl.cmx3600_lines(edl.parse_cmx3600(cut_list(t)), ["o_orderkey"]).select("o_orderkey", "value")
 
 
+FCP_HEAD = '<fcpxml version="1.10"><resources><format id="r1" frameDuration="1/24s" width="1920" height="1080" />'
+FCP_TAIL = "</spine></sequence></project></event></library></fcpxml>"
+FCP_NAME = "CASE i WHEN 1 THEN 'clip ' || p ELSE 'R' || k END"
+
+
+@query(
+    "SNK4_fcpxml_export",
+    f"""WITH o AS (SELECT o_orderkey, o_custkey AS k, o_orderpriority AS p FROM orders),
+ x AS (SELECT *, unnest([1, 2, 3]) AS i FROM o), e AS (SELECT *, printf('%.6f', ((k % 60 * 60 + i * 10) * 24 + k % 24) / 24.0e0) AS off_s FROM x)
+SELECT o_orderkey, '{FCP_HEAD}' AS value FROM o
+UNION ALL SELECT o_orderkey, '<asset id="R' || k || '" name="clip ' || p || '" src="" />' FROM o
+UNION ALL SELECT o_orderkey, '</resources><library><event name="Reel ' || k || '"><project name="Reel ' || k || '"><sequence format="r1"><spine>' FROM o
+UNION ALL SELECT o_orderkey, '<asset-clip ref="R' || k || '" name="' || {FCP_NAME} || '" offset="' || off_s || 's" duration="5.000000s" start="' || off_s || 's" />' FROM e
+UNION ALL SELECT o_orderkey, '{FCP_TAIL}' FROM o""",
+)
+def _(t):
+    return edl.fcpxml_lines(edl.parse_cmx3600(cut_list(t)), ["o_orderkey"]).select("o_orderkey", "value")
+
+
 @query("SNK5_kept_frames", """WITH m AS (SELECT video_id, frame_no, event_id, event_type, lag(event_type) OVER (PARTITION BY video_id ORDER BY frame_no) AS p FROM frames), u AS (SELECT *, max(CASE WHEN p IS NULL OR p <> event_type THEN frame_no END) OVER (PARTITION BY video_id ORDER BY frame_no) AS u FROM m),
  c AS (SELECT video_id, u AS frame_no, count(*) AS stands_for FROM u GROUP BY 1, 2) SELECT c.video_id, c.frame_no, stands_for, event_id FROM c JOIN frames f ON f.video_id = c.video_id AND f.frame_no = c.frame_no""")
 def _(t):

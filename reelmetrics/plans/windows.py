@@ -375,8 +375,8 @@ SELECT video_id, fn AS start_frame, nx AS end_frame, nx - fn - 1 AS gap_size, fa
 UNION ALL SELECT video_id, max(fn), max(cnt) - 1, max(cnt) - 1 - max(fn), true FROM f CROSS JOIN x GROUP BY video_id HAVING max(cnt) - 1 > max(fn) AND max(cnt) - 1 - max(fn) <= 10""")
 def _(t):
     f = t.lineitem.select(F.col("l_suppkey").alias("video_id"), F.col("l_partkey").alias("fn")).distinct()
-    bound = t.part.agg((F.max("p_partkey") + 1).alias("expected_count")).withColumn("_one", F.lit(1))
-    expected = t.supplier.select(F.col("s_suppkey").alias("video_id"), F.lit(1).alias("_one")).join(bound, "_one").drop("_one")
+    bound = t.part.agg((F.max("p_partkey") + 1).alias("expected_count"))
+    expected = t.supplier.select(F.col("s_suppkey").alias("video_id"), bound.scalar().alias("expected_count"))
     return tl.frame_gaps(f, Seq(("video_id",), ("fn",)), 10, expected)
 
 

@@ -56,8 +56,9 @@ def parse_vtt(files: DataFrame, value: str = "value") -> DataFrame:
 
 
 def parse_ass(files: DataFrame, value: str = "value") -> DataFrame:
-    """SRC7: ``Dialogue:`` lines of the events section with all ten fields."""
-    events = F.regexp_extract(C(value), r"(?is)\[Events\](.*?)(?:\[|\z)", 1)
+    """SRC7: ``Dialogue:`` lines of the events section with all ten fields; the section ends at a line
+    that begins with "["."""
+    events = F.regexp_extract(C(value), r"(?ism)^[ \t]*\[Events\](.*?)(?:^\[|\z)", 1)
     lines = F.filter(F.transform(F.split(events, "\n"), lambda x: F.trim(x, L(" \t"))), lambda x: x.startswith("Dialogue:"))
     fields = F.transform(lines, lambda x: F.split(F.substring(x, 10, 2**31 - 1), ",", 10))
     full = F.filter(fields, lambda f: F.size(f) == 10)
@@ -83,6 +84,7 @@ def cue_block(fmt: str, number: Column, start: Column, end: Column, text: Column
     raise ValueError(fmt)
 
 
+# What an exported file begins with.
 HEADERS = {
     "srt": "",
     "vtt": "WEBVTT\n",

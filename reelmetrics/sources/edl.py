@@ -9,42 +9,47 @@ from ..functions.timecode import frames_to_timecode, timecode_to_frames
 
 C, L = F.col, F.lit
 
-TIME = r"(\d{2}[:;]\d{2}[:;]\d{2}[:;]\d{2})"
-EVENT = rf"^(\d{{3}})\s+(\S+)\s+([VAB]\d?)\s+([CDWK])(\d*)\s+{TIME}\s+{TIME}\s+{TIME}\s+{TIME}"
+# The grammar of an event line.
+TIME = r"(\d{2}[:;]\d{2}[:;]\d{2}[:;]\d{2,})"
+EVENT = rf"^(\d{{3,}})\s+(\S+)\s+([VAB]\d?)\s+([CDWK])(\d*)\s+{TIME}\s+{TIME}\s+{TIME}\s+{TIME}"
 TIMES = ("source_in", "source_out", "record_in", "record_out")
+#: The place before every event line of a text; blanks of a line do not reach over its end.
+HEAD = "(?md)^(?=[ \t\r]*" + EVENT[1:].replace(r"\s", r"[^\S\n]") + ")"
 
 
 def parse_cmx3600(files: DataFrame, fps: float = 24.0, value: str = "value") -> DataFrame:
     """SRC8: events of CMX3600 texts; comment and speed lines belong to the event above them.
 
-    All lines of a list live in one row, so attaching them is array work without a shuffle.
+    A text is cut once before every event line, so that each event carries its own lines only and a
+    list of any length costs time in proportion to it.
     """
     keep = [c for c in files.columns if c != value]
-    lines = F.transform(F.split(C(value), "\n"), lambda x: F.trim(x, L(" \t\r")))
-    numbered = F.transform("_lines", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    heads = F.filter(numbered, lambda e: e["x"].rlike(EVENT))
-    nxt = F.coalesce(F.get("_heads", C("_k") + 1)["i"], F.size("_lines"))
-    out = files.select(*keep, lines.alias("_lines")).select("*", heads.alias("_heads"))
-    title = F.filter("_lines", lambda x: x.startswith("TITLE:"))
-    fcm = F.filter("_lines", lambda x: x.startswith("FCM:"))
-    out = out.select(
+    clean = lambda text: F.transform(F.split(text, "\n"), lambda x: F.trim(x, L(" \t\r")))
+    last = lambda hits: F.get(hits, F.size(hits) - 1)
+    title = last(F.filter(clean(C(value)), lambda x: x.startswith("TITLE:")))
+    fcm = last(F.filter(clean(C(value)), lambda x: x.startswith("FCM:")))
+    out = files.select(
         *keep,
-        "_lines",
-        "_heads",
-        F.trim(F.substring(F.get(title, F.size(title) - 1), 7, 2**31 - 1)).alias("title"),
-        F.coalesce(F.upper(F.get(fcm, F.size(fcm) - 1)).contains("DROP"), L(False)).alias("drop_frame"),
-        F.posexplode("_heads").alias("_k", "_h"),
-    ).withColumn("_tail", F.slice("_lines", C("_h.i") + 2, nxt - C("_h.i") - 1))
+        F.trim(F.substring(title, 7, 2**31 - 1)).alias("title"),
+        F.coalesce(F.upper(fcm).contains("DROP"), L(False)).alias("drop_frame"),
+        F.explode(F.split(C(value), HEAD)).alias("_piece"),
+    )
     # One regular expression per event line: all groups, split on a control character.
     groups = "\u0001".join(f"${i}" for i in range(1, 10))
-    out = out.withColumn("_f", F.split(F.regexp_replace("_h.x", EVENT + ".*$", groups), "\u0001"))
-    notes = F.transform(F.filter("_tail", lambda x: x.startswith("*")), lambda x: F.trim(F.substring(x, 2, 2**31 - 1)))
+    out = out.select(*keep, "title", "drop_frame", clean(C("_piece")).alias("_lines")).where(F.get("_lines", L(0)).rlike(EVENT))
+    out = out.select(
+        *keep,
+        "title",
+        "drop_frame",
+        F.split(F.regexp_replace(F.get("_lines", L(0)), EVENT + ".*$", groups), "\u0001").alias("_f"),
+        F.slice("_lines", 2, F.size("_lines")).alias("_tail"),
+    )
+    out = out.withColumn("_notes", F.transform(F.filter("_tail", lambda x: x.startswith("*")), lambda x: F.trim(F.substring(x, 2, 2**31 - 1))))
 
     def tagged(tag: str) -> Column:
-        hits = F.filter(notes, lambda x: x.startswith(tag))
-        return F.trim(F.substring(F.get(hits, F.size(hits) - 1), len(tag) + 1, 2**31 - 1))
+        return F.trim(F.substring(last(F.filter("_notes", lambda x: x.startswith(tag))), len(tag) + 1, 2**31 - 1))
 
-    plain = F.filter(notes, lambda x: ~(x.startswith("FROM CLIP NAME:") | x.startswith("SOURCE FILE:") | x.startswith("RESTORATION:")))
+    plain = F.filter("_notes", lambda x: ~(x.startswith("FROM CLIP NAME:") | x.startswith("SOURCE FILE:") | x.startswith("RESTORATION:")))
     speed = F.filter("_tail", lambda x: x.rlike(r"^M2\s+\S+\s+[\d.]+"))
     part = lambda i: F.get("_f", i - 1)
     return out.select(
@@ -61,7 +66,7 @@ def parse_cmx3600(files: DataFrame, fps: float = 24.0, value: str = "value") ->
         tagged("SOURCE FILE:").alias("source_file"),
         tagged("RESTORATION:").alias("restoration_json"),
         plain.alias("comments"),
-        F.regexp_extract(F.get(speed, F.size(speed) - 1), r"^M2\s+\S+\s+([\d.]+)", 1).try_cast("double").alias("speed_pct"),
+        F.regexp_extract(last(speed), r"^M2\s+\S+\s+([\d.]+)", 1).try_cast("double").alias("speed_pct"),
     )
 
 
@@ -108,15 +113,21 @@ def clip_list(events: DataFrame) -> DataFrame:
     return events.where((C("reel") != "") & ~C("reel").isin("BL", "AX")).select("reel").distinct()
 
 
+def padded(text: Column, width: int) -> Column:
+    """Text filled with blanks up to a width; longer text stays whole."""
+    return F.concat(text, F.repeat(L(" "), F.greatest(L(width) - F.length(text), L(0))))
+
+
 def cmx3600_lines(events: DataFrame, keys: list[str], fps: float = 24.0, drop_frame: bool = False) -> DataFrame:
     """SNK4: text lines ``keys, line_no, value`` of CMX3600 lists; header lines come first.
 
-    Every event gives its own block of lines; a list is never gathered in one task.
+    Every event gives its own block of lines; a list is never gathered in one task. Fields are padded
+    to their width and never cut.
     """
     tc = lambda n: frames_to_timecode(C(n), fps, drop_frame)
-    dur = F.when(C("transition_frames") > 0, F.lpad(C("transition_frames").cast("string"), 3, "0")).otherwise("")
+    dur = F.when(C("transition_frames") > 0, F.format_string("%03d", C("transition_frames").cast("int"))).otherwise("")
     head = F.concat(
-        F.lpad(C("event_no").cast("string"), 3, "0"), L("  "), F.rpad("reel", 8, " "), L(" "), F.rpad("track", 6, " "), L(" "), C("transition"), F.rpad(dur, 4, " "), L(" "),
+        F.format_string("%03d", C("event_no").cast("int")), L("  "), padded(C("reel"), 8), L(" "), padded(C("track"), 6), L(" "), C("transition"), padded(dur, 4), L(" "),
         F.concat_ws(" ", *[tc(n) for n in TIMES]),
     )
     rows = F.array_compact(
@@ -125,6 +136,7 @@ def cmx3600_lines(events: DataFrame, keys: list[str], fps: float = 24.0, drop_fr
                 head,
                 F.when(C("clip_name") != "", F.concat(L("* FROM CLIP NAME: "), C("clip_name"))),
                 F.when(C("source_file") != "", F.concat(L("* SOURCE FILE: "), C("source_file"))),
+                F.when(C("restoration_json") != "", F.concat(L("* RESTORATION: "), C("restoration_json"))),
             ),
             F.transform("comments", lambda c: F.concat(L("* "), c)),
             F.array(F.when(C("speed_pct") != 0, F.format_string("M2   %s       %.1f", C("reel"), C("speed_pct"))), L("")),
@@ -137,10 +149,41 @@ def cmx3600_lines(events: DataFrame, keys: list[str], fps: float = 24.0, drop_fr
     return top.select(*keys, C("_i").cast("long").alias("line_no"), "value").unionByName(body)
 
 
-def fcpxml_clips(events: DataFrame, keys: list[str], fps: float) -> DataFrame:
-    """SNK4: rows for the XML writer (``rowTag`` asset-clip): attributes as ``_name`` columns."""
-    secs = lambda n: F.concat(F.format_string("%.6f", n / fps), L("s"))
-    return events.select(
-        *keys, "event_no", C("reel").alias("_ref"), F.coalesce(F.nullif("clip_name", L("")), "reel").alias("_name"),
-        secs(C("record_in")).alias("_offset"), secs(C("record_out") - C("record_in")).alias("_duration"), secs(C("source_in")).alias("_start"),
+def xml_text(text: Column) -> Column:
+    """A text as an XML attribute value."""
+    out = text
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;")):
+        out = F.replace(out, L(plain), L(entity))
+    return out
+
+
+def fcpxml_lines(events: DataFrame, keys: list[str], fps: float = 24.0) -> DataFrame:
+    """SNK4: FCPXML documents as text lines ``keys, line_no, value``: head, one asset a reel, one clip an
+    event, tail. Black and auxiliary reels are no assets; a list is never gathered in one task.
+    """
+    # Frame lengths of the two broadcast rates.
+    frame = {29.97: "1001/30000s", 23.976: "1001/24000s"}.get(fps, f"1/{int(fps)}s")
+    secs = lambda n: F.concat(F.format_string("%.6f", n / L(float(fps))), L("s"))
+    name = xml_text(F.coalesce(F.nullif("clip_name", L("")), "reel"))
+    clips = events.select(
+        *keys,
+        (C("event_no").cast("long") + (1 << 40)).alias("line_no"),
+        F.concat(
+            L('<asset-clip ref="'), xml_text(C("reel")), L('" name="'), name, L('" offset="'), secs(C("record_in")), L('" duration="'),
+            secs(C("record_out") - C("record_in")), L('" start="'), secs(C("source_in")), L('" />'),
+        ).alias("value"),
     )
+    first = events.where(~C("reel").isin("BL", "AX")).groupBy(*keys, "reel").agg(
+        F.min("event_no").alias("_no"), F.min_by(name, "event_no").alias("_name"), F.min_by(xml_text(F.coalesce("source_file", L(""))), "event_no").alias("_src")
+    )
+    assets = first.select(
+        *keys, (C("_no").cast("long") + (1 << 20)).alias("line_no"), F.concat(L('<asset id="'), xml_text(C("reel")), L('" name="'), C("_name"), L('" src="'), C("_src"), L('" />')).alias("value")
+    )
+    title = xml_text(C("title"))
+    frames = F.array(
+        F.struct(L(0).cast("long").alias("line_no"), L(f'<fcpxml version="1.10"><resources><format id="r1" frameDuration="{frame}" width="1920" height="1080" />').alias("value")),
+        F.struct(L(1 << 39).cast("long").alias("line_no"), F.concat(L('</resources><library><event name="'), title, L('"><project name="'), title, L('"><sequence format="r1"><spine>')).alias("value")),
+        F.struct(L(1 << 60).cast("long").alias("line_no"), L("</spine></sequence></project></event></library></fcpxml>").alias("value")),
+    )
+    around = events.groupBy(*keys).agg(F.max("title").alias("title")).select(*keys, F.explode(frames).alias("_l")).select(*keys, "_l.line_no", "_l.value")
+    return around.unionByName(assets).unionByName(clips)

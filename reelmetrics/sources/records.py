@@ -156,7 +156,9 @@ def quality_log_pooled(logs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """SRC14: structured JSON log lines as rows (batch or streaming); lines that do not parse are dropped."""
+def parse_log_lines(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """SRC14: (rows, lines that do not parse) of structured JSON log lines, batch or streaming."""
     keep = [c for c in lines.columns if c != value]
-    return lines.select(*keep, F.from_json(C(value), LOG_LINE).alias("_l")).where(C("_l.message").isNotNull()).select(*keep, "_l.*")
+    read = lines.select(*keep, value, F.from_json(C(value), LOG_LINE).alias("_l"))
+    good = C("_l.message").isNotNull()
+    return read.where(good).select(*keep, "_l.*"), read.where(~good).select(*keep, value)

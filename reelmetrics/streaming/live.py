@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import ordered_fold
 from ..operators.joins import route_events
-from ..operators.sequence import Seq, framed, running
+from ..operators.sequence import Seq, adjacent, framed, running, segments
 from ..session import shared_folder
 
 C, L = F.col, F.lit
@@ -250,11 +250,11 @@ def progress_table(df: DataFrame, keys: list[str], order: list[str], window: int
     )
 
 
-def start_snapshots(progress: DataFrame, path: str, checkpoint: str, every: str = "5 seconds"):
-    """ST7: write progress rows every few seconds; keep a bounded history with ``newest_n`` on the sink."""
-    return (
-        progress.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()
-    )
+def start_snapshots(progress: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds"):
+    """ST7: write progress rows every few seconds, or all there is now (``every=None``); keep a bounded
+    history with ``newest_n`` on the sink."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return progress.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
 
 
 # --- windows, filters, folders -----------------------------------------------------------------
@@ -295,6 +295,16 @@ def completed_chunks(frames: DataFrame, ts: str, by: list[str], seconds: int = 3
     return agg.select(C("w.start").alias("chunk_start"), *by, "frames", "first_at", "last_at")
 
 
+def with_open_windows(written: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
+    """ST3, ST10, ST13: the table a windowed stream has written, and the windows that are still open.
+
+    A stream in append mode writes a window when the watermark has passed its end, so its table lacks
+    the newest windows. ``every`` has all windows of a table of the events, by the same operator or its
+    batch twin; what the written table does not have by ``keys`` (window start, groups) is the open tail.
+    """
+    return written.unionByName(every.select(*written.columns).join(written.select(*keys), keys, "left_anti"))
+
+
 def unique_events(events: DataFrame, ts: str, keys: list[str], watermark: str = WATERMARK) -> DataFrame:
     """ST12: each event id or path once within the watermark."""
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
@@ -306,6 +316,17 @@ def job_sessions(events: DataFrame, ts: str, by: list[str], idle: str = "30 minu
     return out.select(*by, C("w.start").alias("session_start"), C("w.end").alias("session_end"), "n")
 
 
+def job_sessions_table(events: DataFrame, ts: str, by: list[str], idle_s: float, width: float) -> DataFrame:
+    """Batch twin of :func:`job_sessions`: runs split where the next event is ``idle_s`` or more away."""
+    seq = Seq(tuple(by), (ts,), width)
+    seconds = lambda c: F.unix_micros(c) / 1e6
+    counted = events.groupBy(*by, ts).agg(F.count(L(1)).alias("_c"))
+    marked = adjacent(counted, seq, {"_before": ts}, -1)
+    starts = C("_before").isNull() | (seconds(C(ts)) - seconds(C("_before")) >= idle_s)
+    out = segments(marked, seq, starts, {"session_start": ("min", C(ts)), "_last": ("max", C(ts)), "n": ("sum", C("_c"))})
+    return out.select(*by, "session_start", F.timestamp_micros(F.unix_micros("_last") + L(int(idle_s * 1e6))).alias("session_end"), "n")
+
+
 def write_history(stream: DataFrame, path: str, checkpoint: str):
     """ST8: append events to a history table; read its bounded tail with ``timeline.newest_n``."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

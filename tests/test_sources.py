@@ -50,11 +50,11 @@ def test_cmx3600(spark, rows):
 
 def test_fcpxml_write_and_read(spark, tmp_path, rows):
     ev = spark.createDataFrame([("l", 1, "R1", "a", 24, 48, 0, 24), ("l", 2, "R2", "", 0, 24, 24, 48)], "list string, event_no int, reel string, clip_name string, source_in long, source_out long, record_in long, record_out long")
-    clips = edl.fcpxml_clips(ev, ["list"], 24.0)
-    clips.coalesce(1).select("_ref", "_name", "_offset", "_duration", "_start").write.format("xml").option("rootTag", "spine").option("rowTag", "asset-clip").save(str(tmp_path / "x"))
-    body = next((tmp_path / "x").glob("part-*")).read_text()
-    doc = f'<fcpxml><library><event><project><sequence name="T">{body[body.index("<spine"):]}</sequence></project></event></library></fcpxml>'
-    out = edl.parse_fcpxml(spark.createDataFrame([(doc,)], "value string"))
+    ev = ev.withColumns({"title": F.lit('A & "B"'), "source_file": F.lit("f<1>.mov")})
+    lines = [r["value"] for r in edl.fcpxml_lines(ev, ["list"], 24.0).orderBy("line_no").collect()]
+    assert len(lines) == 7 and lines[0].startswith("<fcpxml")
+    out = edl.parse_fcpxml(spark.createDataFrame([("\n".join(lines),)], "value string"))
+    assert {r["title"] for r in spark.createDataFrame([("\n".join(lines),)], "value string").selectExpr("from_xml(value, 'library struct<event:struct<_name:string>>').library.event._name as title").collect()} == {'A & "B"'}
     assert rows(out, "event_no", "reel", "clip_name", "record_in", "record_out") == [(1, "R1", "a", 0, 24), (2, "R2", "R2", 24, 48)]
 
 
