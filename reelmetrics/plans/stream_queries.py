@@ -26,7 +26,7 @@ C, L = F.col, F.lit
 
 
 def event_stream(t):
-    return prepared(t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(t.folder))
+    return prepared(t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/event[s].parquet"))
 
 
 def prepared(raw):
