@@ -10,8 +10,8 @@ grams at the same place, so no repeat is lost.
 Round 1 sorts the zones by gram: a gram that occurs once ends its zone. Round 2 sorts what is left by
 (gram, whole zone), which reaches past the threshold: all strings of a zone that occurs twice repeat.
 Round 3 ranks, for zones that share their gram but not their whole, each single string; zones with a
-gram of few variants meet in one row, those of more than ``MANY`` are ranked string by string with
-counts that are combined before the shuffle. Grams that many documents share are counted apart in the
+gram of few variants (``MANY``) meet in one row and those of more (up to ``CROWD``, a few megabytes) in
+one group; beyond that they are ranked string by string, with counts combined before the shuffle. Grams that many documents share are counted apart in the
 same way, so no common passage gathers in one task. Ranks are 64-bit hashes (round 3: 128 bits).
 
 Matches never cross documents. A null or short text loses nothing. Repeated rows repeat each other.
@@ -34,6 +34,7 @@ from .registry import query
 THRESHOLD = 200
 GRAM = 40
 MANY = 64
+CROWD = 16384
 HOT = 100_000
 PIECE = 1 << 19
 _LOW = np.uint64(0xFFFFF)
@@ -164,7 +165,7 @@ def ranked_zones(found: DataFrame) -> DataFrame:
     done, shared = F.col("same") > 1, F.col("variants") > 1
     kept = both.where(done | shared)
     asks = F.col("leads") & shared
-    return kept.where(done | asks).select("doc", "place", done.alias("done"), asks.alias("open"), F.when(asks, F.col("gram")).alias("gram"), (F.col("variants") > MANY).alias("many"))
+    return kept.where(done | asks).select("doc", "place", done.alias("done"), asks.alias("open"), F.when(asks, F.col("gram")).alias("gram"), F.when(F.col("variants") <= MANY, 0).when(F.col("variants") <= CROWD, 1).otherwise(2).alias("many"))
 
 
 def settle(docs: DataFrame, found: DataFrame, ranked: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -196,11 +197,11 @@ def settle(docs: DataFrame, found: DataFrame, ranked: DataFrame, threshold: int
         names = ["doc_id", "n_bytes", "first", "end", "asks", "data", "kept_sha256"]
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    schema = "doc_id long, n_bytes long, first array<long>, end array<long>, asks array<struct<gram:long,many:boolean,needs:boolean,start:long,part:binary>>, data binary, kept_sha256 string"
+    schema = "doc_id long, n_bytes long, first array<long>, end array<long>, asks array<struct<gram:long,many:int,needs:boolean,start:long,part:binary>>, data binary, kept_sha256 string"
     return by_batch(joined, fn, schema)
 
 
-ASKS = pa.list_(pa.struct([("gram", pa.int64()), ("many", pa.bool_()), ("needs", pa.bool_()), ("start", pa.int64()), ("part", pa.binary())]))
+ASKS = pa.list_(pa.struct([("gram", pa.int64()), ("many", pa.int32()), ("needs", pa.bool_()), ("start", pa.int64()), ("part", pa.binary())]))
 
 
 def digest(data: bytes, first, end) -> str:
@@ -217,28 +218,39 @@ def strings(part: bytes, threshold: int) -> list[bytes]:
     return [xxhash.xxh3_128_digest(part[k : k + threshold]) for k in range(len(part) - threshold + 1)]
 
 
+def repeats_among(parts, threshold: int) -> list[tuple[int, int, int]]:
+    """(doc, first, end) runs of strings that stand in two of the ``parts`` (doc, start, needs, part)
+    at least, for the parts that need them."""
+    flat = np.frombuffer(b"".join(b"".join(strings(part, threshold)) for *_, part in parts), dtype="<u8").reshape(-1, 2)
+    order = np.lexsort((flat[:, 1], flat[:, 0]))
+    alike = (flat[order][1:] == flat[order][:-1]).all(axis=1)
+    again = np.zeros(len(flat), dtype=bool)
+    again[order] = np.append(alike, False) | np.append(False, alike)
+    out, at = [], 0
+    for doc, start, needs, part in parts:
+        own = again[at : at + len(part) - threshold + 1]
+        at += len(own)
+        if needs:
+            hit = np.flatnonzero(own) + start
+            out += [(doc, int(s), int(e)) for s, e in zip(*merge_spans(hit, hit + threshold))]
+    return out
+
+
 def repeated_strings(state: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Round 3: (doc, first, end) runs of repeated strings in zones whose whole does not repeat."""
     asks = state.select(F.col("doc_id").alias("doc"), F.explode("asks").alias("z")).select("doc", "z.*")
-    # Few variants of a gram: at most MANY short parts meet in one row.
-    groups = asks.where("NOT many").groupBy("gram").agg(F.collect_list(F.struct("doc", "start", "needs", "part")).alias("parts"))
+    groups = asks.where("many = 0").groupBy("gram").agg(F.collect_list(F.struct("doc", "start", "needs", "part")).alias("parts"))
+    names = ["doc", "first", "end"]
+
+    def columns(runs) -> list[pa.Array]:
+        return [pa.array([r[k] for r in runs], pa.int64()) for k in range(3)]
 
     def few(batch):
-        doc, first, end = [], [], []
-        for parts in batch.column(0).to_pylist():
-            seen: dict[bytes, int] = {}
-            hashed = [strings(p["part"], threshold) for p in parts]
-            for own in hashed:
-                for h in own:
-                    seen[h] = seen.get(h, 0) + 1
-            for p, own in zip(parts, hashed):
-                if p["needs"]:
-                    hit = np.array([k for k, h in enumerate(own) if seen[h] > 1], dtype=np.int64) + p["start"]
-                    s, e = merge_spans(hit, hit + threshold)
-                    doc += [p["doc"]] * len(s)
-                    first += s.tolist()
-                    end += e.tolist()
-        return pa.record_batch([pa.array(c, pa.int64()) for c in (doc, first, end)], ["doc", "first", "end"])
+        found = (repeats_among([tuple(p.values()) for p in parts], threshold) for parts in batch.column(0).to_pylist())
+        return pa.record_batch(columns([run for runs in found for run in runs]), names)
+
+    def crowd(rows: pa.Table) -> pa.Table:
+        return pa.table(columns(repeats_among(list(zip(*(rows.column(c).to_pylist() for c in ("doc", "start", "needs", "part")))), threshold)), names)
 
     def single(batch):
         doc, at, key = [], [], []
@@ -249,10 +261,11 @@ def repeated_strings(state: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             key += own
         return pa.record_batch([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(key, pa.binary())], ["doc", "at", "key"])
 
-    ranks = by_batch(asks.where("many").select("doc", "start", "needs", "part"), single, "doc long, at long, key binary")
+    ranks = by_batch(asks.where("many = 2").select("doc", "start", "needs", "part"), single, "doc long, at long, key binary")
     again = ranks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     many = ranks.where("doc IS NOT NULL").join(again, "key").select("doc", F.col("at").alias("first"), (F.col("at") + threshold).alias("end"))
-    return by_batch(groups.select("parts"), few, "doc long, first long, end long").unionByName(many)
+    middle = asks.where("many = 1").groupBy("gram").applyInArrow(crowd, "doc long, first long, end long")
+    return by_batch(groups.select("parts"), few, "doc long, first long, end long").unionByName(middle).unionByName(many)
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
