@@ -43,10 +43,6 @@ def seconds_to_frames(seconds: Column, fps: float = 24.0) -> Column:
     return F.floor(seconds * fps)
 
 
-def add_frames(a: Column, b: Column) -> Column:
-    return a + b
-
-
 def subtract_frames(a: Column, b: Column) -> Column:
     """Difference floored at 0."""
     return F.greatest(L(0), a - b)

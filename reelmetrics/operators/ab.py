@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import paired_test
 
 C = F.col
 
@@ -50,16 +49,6 @@ def verdict(psnr_diff: Column, psnr_sig: Column, ssim_diff: Column, ssim_sig: Co
     return winner, F.when(weight == 0, 0.0).otherwise(F.abs(score) / weight)
 
 
-def compare_variants(pairs: DataFrame, keys: tuple[str, ...], alpha: float = 0.05) -> DataFrame:
-    """A24 + A25 + A26 in one table."""
-    diff = metric_difference(pairs, keys)
-    for m in ("psnr", "ssim"):
-        test = paired_test(pairs, keys, f"a_{m}", f"b_{m}", alpha)
-        diff = diff.join(test.select(*keys, C("significant").alias(f"{m}_significant")), list(keys))
-    winner, confidence = verdict(C("psnr_diff"), C("psnr_significant"), C("ssim_diff"), C("ssim_significant"), F.lit(None).cast("double"))
-    return diff.withColumn("winner", winner).withColumn("confidence", confidence)
-
-
 def winners(variants: DataFrame, keys: Sequence[str], name: str, position: str) -> DataFrame:
     """Winner per metric, by votes and overall; the first inserted variant wins ties."""
     score = C("avg_psnr") / 50 * 0.2 + C("avg_ssim") * 0.3 + C("avg_vmaf") / 100 * 0.3 + C("votes") / 10 * 0.2

@@ -70,6 +70,11 @@ def _(t):
     return rounded(out.select("user_id", "metric", "n", "mean", "std_dev"), "mean", "std_dev")
 
 
+@query("A3_quality_totals", "SELECT l_suppkey, count(*) AS total_jobs, CAST(sum(l_linenumber) AS BIGINT) AS total_frames, round(avg(l_quantity), 6) AS avg_seconds FROM lineitem GROUP BY 1")
+def _(t):
+    return rounded(ru.quality_totals(t.lineitem, ["l_suppkey"], "l_quantity", "l_linenumber"), "avg_seconds")
+
+
 @query("A4_trend_direction", QPOINTS + """, i AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric ORDER BY ts, event_id) - 1 AS i FROM lg),
 g AS (SELECT user_id, metric, count(*) AS n, regr_slope(v, i) AS slope, max(v) - min(v) AS r FROM i GROUP BY 1, 2)
 SELECT user_id, metric, n, round(slope, 6) AS slope, CASE WHEN n < 2 THEN 'stable' WHEN slope / CASE WHEN r = 0 THEN 1 ELSE r END > 0.02e0 THEN 'improving'

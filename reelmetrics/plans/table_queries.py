@@ -330,6 +330,37 @@ def _(t):
     return cues.cue_lines(df, ("conv_id",), "srt")
 
 
+def turns(t):
+    return t.conversations.select("conv_id", (C("turn") * 3.0).alias("start_s"), (C("turn") * 3.0 + 2).alias("end_s"), F.replace("text", L("\n"), L(" ")).alias("text"))
+
+
+TURNS = """WITH c AS (SELECT conv_id, turn * 3 AS s, turn * 3 + 2 AS e, replace(text, chr(10), ' ') AS text FROM conversations),
+ n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY s, e, text) AS line_no FROM c)"""
+
+
+@query(
+    "SNK3_vtt_export",
+    TURNS
+    + """ SELECT conv_id, line_no, '00:00:' || lpad(s::VARCHAR, 2, '0') || '.000 --> 00:00:' || lpad(e::VARCHAR, 2, '0') || '.000' || chr(10) || text || chr(10) AS value FROM n
+UNION ALL SELECT DISTINCT conv_id, 0, 'WEBVTT' || chr(10) FROM c""",
+)
+def _(t):
+    return cues.cue_lines(turns(t), ("conv_id",), "vtt")
+
+
+ASS_HEAD = cues.HEADERS["ass"].replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query(
+    "SNK3_ass_export",
+    TURNS
+    + f""" SELECT conv_id, line_no, 'Dialogue: 0,0:00:' || lpad(s::VARCHAR, 2, '0') || '.00,0:00:' || lpad(e::VARCHAR, 2, '0') || '.00,Default,,0,0,0,,' || text AS value FROM n
+UNION ALL SELECT DISTINCT conv_id, 0, '{ASS_HEAD}' FROM c""",
+)
+def _(t):
+    return cues.cue_lines(turns(t), ("conv_id",), "ass")
+
+
 @query("SNK4_cmx3600_export", f"""WITH x AS (SELECT o_orderkey, o_custkey AS k, o_orderpriority AS p, unnest([1, 2, 3]) AS i FROM orders), e AS (SELECT *, '00:' || {pad2('k % 60')} || ':' || {pad2('i * 10')} || ':' || {pad2('k % 24')} AS a, '00:' || {pad2('k % 60')} || ':' || {pad2('i * 10 + 5')} || ':' || {pad2('k % 24')} AS b FROM x)
 SELECT o_orderkey, '00' || i || '  ' || rpad('R' || k, 8, ' ') || ' V      C     ' || a || ' ' || b || ' ' || a || ' ' || b AS value FROM e UNION ALL SELECT o_orderkey, 'TITLE: Reel ' || o_custkey FROM orders UNION ALL SELECT o_orderkey, 'FCM: NON-DROP FRAME' FROM orders
 UNION ALL SELECT o_orderkey, '* FROM CLIP NAME: clip ' || p FROM x WHERE i = 1 UNION ALL SELECT o_orderkey, '* a note' FROM orders UNION ALL SELECT o_orderkey, '* SOURCE FILE: f.mov' FROM orders UNION ALL SELECT o_orderkey, '* second note' FROM orders UNION ALL SELECT o_orderkey, 'M2   R' || o_custkey || '       50.0' FROM orders UNION ALL SELECT o_orderkey, '' FROM orders, range(4)""")

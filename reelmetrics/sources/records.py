@@ -45,6 +45,7 @@ LOG_LINE = "timestamp timestamp, level string, component string, message string,
 
 def frame_number(name: Column) -> Column:
     """SRC1: frame number of a file name; three forms tried in order."""
+    # The three forms of a file name.
     forms = (r"(?i)frame[_-]?(\d+)", r"^(\d+)\.", r"_(\d+)\.")
     return F.coalesce(*[F.nullif(F.regexp_extract(name, p, 1), L("")).cast("long") for p in forms])
 

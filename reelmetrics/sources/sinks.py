@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.timeline import latest_per_key
 
 C, L = F.col, F.lit
 
@@ -67,17 +66,7 @@ def kept_frames(mapping: DataFrame, frames: DataFrame, keys: list[str], frame: s
     return frames.join(n, [*keys, frame])
 
 
-def job_changes(df: DataFrame, keys: list[str], seq: str, **values) -> DataFrame:
-    """SNK6: change rows for an append-only job or frame table; absent columns stay null."""
-    return df.select(*keys, seq, *[(v if isinstance(v, Column) else L(v)).alias(n) for n, v in values.items()])
-
-
 def current_view(changes: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """SNK6: current rows: per column the latest value that a change set (null means unchanged)."""
     rest = [c for c in changes.columns if c not in (*keys, seq)]
     return changes.groupBy(*keys).agg(*[F.max_by(C(c), F.when(C(c).isNotNull(), C(seq))).alias(c) for c in rest], F.max(seq).alias(seq))
-
-
-def latest_rows(changes: DataFrame, keys: list[str], recency: list[str]) -> DataFrame:
-    """SNK6 (whole-row upsert): newest row per key."""
-    return latest_per_key(changes, keys, recency)
