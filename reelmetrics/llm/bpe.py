@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import by_task, table
 from .registry import query
 
-MEAN_CHUNK = 1024
+MEAN_CHUNK = 2048
 STORE_BYTES = 96 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: A control character between blanks, to encode many words in one call and part their ids again.
 MARK = b"\x01"
 GAP = b" " + MARK + b" "
+#: Words that are encoded in one text.
+PART = 500
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -80,28 +82,42 @@ class ChunkEncoder:
         ids = self.tokenizer.encode(data.decode(), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Encode the words that the store lacks, all at once."""
-        new = list({w for w in words if w not in self.words})
         if self.word_size > self.store_bytes:
-            self.words, self.word_size, new = {}, 0, list(set(words))
+            self.words, self.word_size = {}, 0
+        new = list(words.difference(self.words))
         plain = [w for w in new if MARK not in w]
-        flat = self.direct(GAP.join(plain))
-        ends = np.append(np.flatnonzero(np.frombuffer(flat, dtype="<u4") == self.mark), len(flat) // 4) * 4
-        found = [flat[s:e] for s, e in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
-        if len(found) != len(plain):  # the tokenizer does not keep the mark apart
-            plain, found = [], []
-        for word, ids in [*zip(plain, found), *((w, self.direct(w)) for w in new if MARK in w or not plain)]:
-            self.words[word] = ids
-            self.word_size += len(word) + len(ids) + 180
+        parts = [plain[k : k + PART] for k in range(0, len(plain), PART)]
+        got = self.tokenizer.encode_batch_fast([GAP.join(part).decode() for part in parts], add_special_tokens=False)
+        for part, encoding in zip(parts, got):
+            ids = np.array(encoding.ids, dtype="<u4")
+            flat, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
+            ends.append(4 * len(ids))
+            if len(ends) == len(part):  # else the tokenizer does not keep the mark apart
+                self.words.update(zip(part, [flat[s:e] for s, e in zip([0, *[e + 4 for e in ends[:-1]]], ends)]))
+                self.word_size += len(flat)
+        self.words.update([(w, self.direct(w)) for w in new if w not in self.words])
+        self.word_size += sum(map(len, new)) + 180 * len(new)
 
     def encode_words(self, words: list[bytes]) -> bytes:
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            self.learn(words)
+            self.learn(set(words))
             return b"".join(map(self.words.__getitem__, words))
 
+    def prepare(self, texts: list[bytes]) -> None:
+        """Learn the words of many texts in one call; texts beyond a store's worth are left for later."""
+        words: set[bytes] = set()
+        size = 0
+        for data in texts:
+            words.update(data.split())
+            size += len(data)
+            if size > self.store_bytes:
+                break
+        self.learn(words)
+
     def encode_chunk(self, core: bytes) -> bytes:
         ids = self.chunks.get(core)
         if ids is None:
@@ -152,7 +168,7 @@ class ChunkEncoder:
         """Text of the ids, in parts that follow one another."""
         ids = [np.frombuffer(p, dtype="<u4").tolist() for p in pieces if p]
         if self.tokenizer.decoder is None:  # decoding then sets blanks between the tokens
-            parts = [" ".join([self.tokens[k] for k in piece]) for piece in ids]
+            parts = [" ".join(map(self.tokens.__getitem__, piece)) for piece in ids]
             return [part if n == 0 else " " + part for n, part in enumerate(parts)]
         return [self.tokenizer.decode([k for piece in ids for k in piece], skip_special_tokens=False)]
 
@@ -166,9 +182,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         def fn(batch):
             rows = []
-            for text in batch.column(1).to_pylist():
+            texts = [(text or "").encode() for text in batch.column(1).to_pylist()]
+            encoder.prepare(texts)
+            for data in texts:
                 ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
-                pieces = encoder.encode((text or "").encode())
+                pieces = encoder.encode(data)
                 for piece in pieces:
                     ids.update(piece)
                     n += len(piece) // 4
