@@ -136,7 +136,8 @@ class ChunkEncoder:
                 return False
             if len(self.agreed) > 100_000:
                 self.agreed = set()
-            self.agreed.add(key)
+            if sum(map(len, key)) < 1024:
+                self.agreed.add(key)
         return True
 
     def encode(self, data: bytes) -> list[bytes]:
@@ -150,16 +151,14 @@ class ChunkEncoder:
                 continue
             last = max(chunk.rfind(s) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
             join, core = pending + chunk[: first.start()], chunk[first.start() : last]
-            after = core[:256].split(None, 1)[:1]
             if join:
-                if out and not self.agrees(before, join, after[0] if after else b""):
+                after = (core.split(None, 1)[:1] or [b""])[0]
+                if out and not self.agrees(before, join, after):
                     return [self.direct(data)]
                 out.append(self.encode_words([join]))
             if core:
                 out.append(self.encode_chunk(core))
-            before, pending = (core[-256:].rsplit(None, 1)[-1:] or [b""])[0], chunk[last + 1 :]
-            if not before.isascii():
-                before = b""  # the slice may have cut a character
+            before, pending = (core.rsplit(None, 1)[-1:] or [b""])[0], chunk[last + 1 :]
         if pending:
             out.append(self.encode_words([pending]))
         return out

@@ -186,3 +186,21 @@ def test_copied_passages_give_equal_chunks():
     cuts = [bpe.cut_points(b"x" * shift + passage) for shift in (0, 5, 77)]
     inner = [{c - s for c in own} for own, s in zip(cuts, (0, 5, 77))]
     assert len(inner[0] & inner[1] & inner[2]) >= len(inner[0]) - 1 > 5
+
+
+def test_bpe_long_words_of_multi_byte_text(documents):
+    """Paragraphs without blanks, longer than any prefix in bytes, on both sides of a cut."""
+    tokenizer = bpe.load_tokenizer(bpe.vocabulary_path())
+    rng = random.Random(7)
+    texts = []
+    for low, high in ((0x4E00, 0x9FA5), (0x3041, 0x3096), (0x0E01, 0x0E2E), (0x1F300, 0x1F5FF)):
+        for size in (86, 200, 700):
+            texts.append("\n\n".join("".join(chr(rng.randrange(low, high)) for _ in range(size)) for _ in range(40)))
+    texts.append("\n\n".join("".join(rng.choice("ab\u4e2d") for _ in range(300)) + " word" * rng.randrange(3) for _ in range(60)))
+    rows = {r.doc_id: r for r in bpe.encode_documents(documents(texts)).collect()}
+    assert len(rows) == len(texts)
+    for k, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert rows[k].n_tokens == len(ids)
+        assert rows[k].ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        assert rows[k].decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
