@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sequence import Seq, adjacent, framed, key_join, neighbours, number_rows, running, segments
 
@@ -642,18 +645,48 @@ def neighbour_outliers(df: DataFrame, seq: Seq, level: str, full_scale: float =
     return framed(df, seq, -1, 1, exprs)
 
 
-def periodic_motion(df: DataFrame, seq: Seq, value: str, max_lag: int = 64, peaks: int = 3, distance: int = 5) -> DataFrame:
-    """per key, whether the autocorrelation of ``value`` has more than ``peaks`` peaks.
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _lag_sums(a: pa.Array, b: pa.Array, same: pa.Array) -> pa.Array:
+    """Sums of products of two blocks, by growing lag; from lag 0 on if they are the ``same`` block. Null
+    where no product of the lag has both values."""
 
-    The sums of products at every lag up to ``max_lag`` come from row frames of that width, so a long
-    sequence is spread over blocks. A peak is a lag whose sum exceeds both neighbours'; of peaks closer
-    than ``distance`` the higher one counts.
+    def one(left, right, same):
+        first = len(left) - 1 if same else 0
+        x, y = (v.fill_null(0.0).to_numpy(zero_copy_only=False) for v in (left, right))
+        sums = np.correlate(y, x, "full")[first:]
+        if not left.null_count and not right.null_count:
+            return pa.array(sums)
+        x, y = (v.is_valid().to_numpy(zero_copy_only=False).astype(float) for v in (left, right))
+        return pa.array(sums, mask=np.correlate(y, x, "full")[first:] < 0.5)
+
+    rows = [one(left.values, right.values, is_same) for left, right, is_same in zip(a, b, same.to_pylist())]
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(rows) if rows else pa.array([], pa.float64()))
+
+
+def periodic_motion(df: DataFrame, seq: Seq, value: str, peaks: int = 3, distance: int = 5, block: int = 16384) -> DataFrame:
+    """per key, whether the autocorrelation of ``value`` over all lags has more than ``peaks`` peaks.
+
+    The rows of a key are cut into blocks of ``block`` values; every two blocks are one row, which gives
+    the sums of products at the lags between them. A peak is a lag whose sum exceeds both neighbours'; of
+    peaks closer than ``distance`` the higher one counts. Each one that counts can hide only the few
+    peaks near it, so the highest ones of a key are enough to find ``peaks + 1`` that count.
     """
-    x = F.col(value)
-    products = framed(df, seq, 0, max_lag, lambda frame, order: {"_p": F.array(*[x * (F.lead(x, k).over(order) if k else x) for k in range(max_lag + 1)])})
-    sums = products.groupBy(*seq.keys).agg(*[F.sum(F.get("_p", F.lit(k))).alias(f"_s{k}") for k in range(max_lag + 1)])
-    over = lambda a, b: F.col(a) > F.col(b) + 1e-9
-    tops = [F.when(over(f"_s{k}", f"_s{k - 1}") & over(f"_s{k}", f"_s{k + 1}"), F.struct(F.col(f"_s{k}").alias("v"), F.lit(k).alias("k"))) for k in range(1, max_lag)]
-    ranked = F.sort_array(F.array_compact(F.array(*tops)), asc=False)
+    keys = [*seq.keys]
+    numbered = number_rows(df.select(*keys, *seq.order, F.col(value).cast("double").alias("_x")), seq, "_at", 0)
+    blocks = numbered.groupBy(*keys, F.floor(F.col("_at") / block).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_at", "_x")))["_x"].alias("_v"))
+    last = blocks.groupBy(*keys).agg(F.max("_b").alias("_last"))
+    left = blocks.transform(key_join, last, keys).select(*keys, F.col("_b").alias("_i"), F.explode(F.sequence("_b", "_last")).alias("_j"), F.col("_v").alias("_a"))
+    right = blocks.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("_i"), F.col("_b").alias("_j"), F.col("_v").alias("_c"))
+    same = F.col("_i") == F.col("_j")
+    pairs = left.transform(key_join, right, [*keys, "_i", "_j"]).withColumn("_sums", _lag_sums("_a", "_c", same))
+    base = F.when(same, 0).otherwise((F.col("_j") - F.col("_i") - 1) * block + 1)
+    products = pairs.select(*keys, base.alias("_base"), F.posexplode("_sums").alias("_k", "_s"))
+    sums = products.groupBy(*keys, (F.col("_base") + F.col("_k")).alias("_lag")).agg(F.sum("_s").alias("_s"))
+    over = lambda side: F.col("_s") > F.col(side) + 1e-9
+    tops = neighbours(sums, Seq(seq.keys, ("_lag",), block), {"_p": "_s"}, {"_n": "_s"}).where(over("_p") & over("_n"))
+    highest = newest_n(tops, keys, ["_s", "_lag"], peaks * (1 + 2 * ((distance - 1) // 2)) + 1)
+    ranked = highest.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_s").alias("v"), F.col("_lag").alias("k"))), asc=False).alias("_top"))
     apart = lambda kept, top: F.when(F.exists(kept, lambda k: F.abs(k - top["k"]) < distance), kept).otherwise(F.concat(kept, F.array(top["k"])))
-    return sums.select(*seq.keys, (F.size(F.aggregate(ranked, F.array().cast("array<int>"), apart)) > peaks).alias("periodic"))
+    found = ranked.select(*keys, (F.size(F.aggregate("_top", F.array().cast("array<bigint>"), apart)) > peaks).alias("_found"))
+    return last.transform(key_join, found, keys, "left").select(*keys, F.coalesce("_found", F.lit(False)).alias("periodic"))

@@ -97,3 +97,33 @@ def test_film_cadence(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(values)], "v int, frame_no long, x double")
     row = tl.film_cadence(df, SEQ, "x", 30.0).first()
     assert row["duplicate_ratio"] == pytest.approx(0.4) and row["pattern"] == "3:2"
+
+
+def test_periodic_motion_takes_all_lags(spark):
+    def series(key, n):
+        if key is None:
+            return [3.0] * n
+        if key < 0:
+            return [float((f * f * 7919) % 23 - 11) if f % 9 or n > 90 else None for f in range(n)]
+        return [9 * math.sin(2 * math.pi * f / key) for f in range(n)]
+
+    def brute(x):
+        sums = []
+        for lag in range(len(x)):
+            both = [a * b for a, b in zip(x, x[lag:]) if a is not None and b is not None]
+            sums.append(sum(both) if both else None)
+        tops = [(sums[k], k) for k in range(1, len(x) - 1) if None not in sums[k - 1 : k + 2] and sums[k] > max(sums[k - 1], sums[k + 1]) + 1e-9]
+        kept = []
+        for _, k in sorted(tops, reverse=True):
+            if all(abs(k - other) >= 5 for other in kept):
+                kept.append(k)
+        return len(kept) > 3
+
+    sizes = {16: 400, 20: 400, 30: 400, 60: 400, 150: 400, 9: 200, 8: 30, 12: 1, -1: 60, -2: 100, None: 300}
+    values = {key: series(key, n) for key, n in sizes.items()}
+    df = spark.createDataFrame([(key, f, v) for key, x in values.items() for f, v in enumerate(x)], "video_id int, frame_no int, dy double")
+    want = {key: brute(x) for key, x in values.items()}
+    assert all(want[period] for period in (16, 20, 30, 60)) and not want[None] and not want[150]
+    for options in ({}, {"block": 7}, {"block": 64}):
+        got = {r["video_id"]: r["periodic"] for r in tl.periodic_motion(df, Seq(("video_id",), ("frame_no",), 100), "dy", **options).collect()}
+        assert got == want
