@@ -33,6 +33,13 @@ def prepared(raw):
     return raw.withColumn("ts", C("ts").cast("timestamp")).withColumn("second", F.unix_micros("ts") / 1e6).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
+def with_open(t, stream, every, keys, end):
+    """Windows that the stream writes, and those which its watermark has not passed."""
+    folder = live.work_folder(t.spark)
+    written = live.run_available(stream, folder)
+    return live.with_open_windows(written, every, keys, end, live.last_watermark(t.spark, folder))
+
+
 WATCHED = [n for n in TABLES if n != "region"]
 
 
@@ -54,7 +61,7 @@ def _(t):
 @query("ST3_event_counts", f"SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
     build = lambda events: live.event_counts(events, "ts", ["event_type"], "1 hour")
-    return live.with_open_windows(live.run_available(build(event_stream(t))), build(prepared(t.events)), ["window_start", "event_type"])
+    return with_open(t, build(event_stream(t)), build(prepared(t.events)), ["window_start", "event_type"], C("window_start") + F.expr("INTERVAL 1 HOUR"))
 
 
 def limiter_sql(per, window, gap):
@@ -145,7 +152,7 @@ def _(t):
 @query("ST10_completed_chunks", f"SELECT to_timestamp(epoch_us(ts) // 86400000000 * 86400)::TIMESTAMP AS chunk_start, event_type, count(*) AS frames, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1, 2")
 def _(t):
     build = lambda events: live.completed_chunks(events, "ts", ["event_type"], 86400)
-    return live.with_open_windows(live.run_available(build(event_stream(t))), build(prepared(t.events)), ["chunk_start", "event_type"])
+    return with_open(t, build(event_stream(t)), build(prepared(t.events)), ["chunk_start", "event_type"], C("chunk_start") + F.expr("INTERVAL 86400 SECONDS"))
 
 
 @query("ST11_failure_streaks", """WITH x AS (SELECT video_id, event_id, frame_no, event_type IN ('error', 'click', 'view') AS bad FROM frames), g AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_no) AS grp FROM x)
@@ -164,8 +171,8 @@ def _(t):
 @query("ST13_job_sessions", f"""WITH m AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR AS gap FROM events), g AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM g GROUP BY user_id, s""")
 def _(t):
-    closed = live.run_available(live.job_sessions(event_stream(t), "ts", ["user_id"], "12 hours"))
-    return live.with_open_windows(closed, live.job_sessions_table(prepared(t.events), "ts", ["user_id"], 12 * 3600.0, 7 * 86400), ["user_id", "session_start"])
+    every = live.job_sessions_table(prepared(t.events), "ts", ["user_id"], 12 * 3600.0, 7 * 86400)
+    return with_open(t, live.job_sessions(event_stream(t), "ts", ["user_id"], "12 hours"), every, ["user_id", "session_start"], C("session_end"))
 
 
 # --- UD ----------------------------------------------------------------------------------------

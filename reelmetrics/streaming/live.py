@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import ordered_fold
 from ..operators.joins import route_events
-from ..operators.sequence import Seq, adjacent, framed, running, segments
+from ..operators.sequence import Seq, adjacent, framed, key_join, running, segments
 from ..session import shared_folder
 
 C, L = F.col, F.lit
@@ -295,14 +295,27 @@ def completed_chunks(frames: DataFrame, ts: str, by: list[str], seconds: int = 3
     return agg.select(C("w.start").alias("chunk_start"), *by, "frames", "first_at", "last_at")
 
 
-def with_open_windows(written: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
+def last_watermark(spark: SparkSession, folder: str) -> int:
+    """Milliseconds of the watermark by which the stream that :func:`run_available` ran in ``folder`` has
+    last written windows (0: none yet), from the stream's own log."""
+    marks = spark.read.text(f"{folder}/state/offsets").select(F.get_json_object("value", "$.batchWatermarkMs").cast("long").alias("ms"))
+    return marks.agg(F.max("ms")).first()[0] or 0
+
+
+def with_open_windows(written: DataFrame, every: DataFrame, keys: list[str], end: Column | None = None, watermark_ms: int | None = None) -> DataFrame:
     """ST3, ST10, ST13: the table a windowed stream has written, and the windows that are still open.
 
     A stream in append mode writes a window when the watermark has passed its end, so its table lacks
     the newest windows. ``every`` has all windows of a table of the events, by the same operator or its
-    batch twin; what the written table does not have by ``keys`` (window start, groups) is the open tail.
+    batch twin. Of these, the windows are added whose ``end`` lies after the watermark; a closed window
+    that the stream did not write stays missing. Without ``end`` and ``watermark_ms`` (see
+    :func:`last_watermark`) all windows that are not written by ``keys`` (window start, groups) count as open.
     """
-    return written.unionByName(every.select(*written.columns).join(written.select(*keys), keys, "left_anti"))
+    if (end is None) != (watermark_ms is None):
+        raise ValueError("end and watermark_ms go together")
+    if end is not None:
+        every = every.where(F.unix_micros(end) > L(watermark_ms * 1000))
+    return written.unionByName(key_join(every.select(*written.columns), written.select(*keys), keys, "left_anti"))
 
 
 def unique_events(events: DataFrame, ts: str, keys: list[str], watermark: str = WATERMARK) -> DataFrame:

@@ -89,3 +89,18 @@ def test_watch_folder_once_and_by_age(spark, tmp_path):
     done = found.where(F.col("path").endswith("a.mp4"))
     ready = live.ready_files(found, done, F.current_timestamp(), 5.0)
     assert [r["path"].rsplit("/", 1)[1] for r in ready.collect()] == ["b.mp4"]
+
+
+def test_only_open_windows_are_added(spark, events, rows, tmp_path):
+    """States of every fourth row are null; closed windows come from the stream alone."""
+    null_state = lambda df: df.withColumn("state", F.when(F.col("frame_no") % 4 != 2, F.col("state")))
+    build = lambda df: live.event_counts(null_state(df), "ts", ["state"], "1 minute", "30 seconds")
+    written = live.run_available(build(stream(spark, events)), str(tmp_path))
+    mark = live.last_watermark(spark, str(tmp_path))
+    assert mark == int(T0.timestamp() * 1000) + 366_000  # the newest row, 30 seconds back
+    every, keys, end = build(events[1]), ["window_start", "state"], F.col("window_start") + F.expr("INTERVAL 1 MINUTE")
+    assert every.where("state IS NULL").count() == 7
+    assert rows(live.with_open_windows(written, every, keys, end, mark)) == rows(every)
+    assert rows(live.with_open_windows(written, every, keys)) == rows(every)  # null keys stand once
+    lost = live.with_open_windows(written.limit(0), every, keys, end, mark)
+    assert {r["window_start"].minute for r in lost.collect()} == {6}
