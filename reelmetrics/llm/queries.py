@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing a module registers its query."""
 
-from . import bpe, exact_dedup, mixing, ngram_join, pii, quality_embed, quality_rules, suffix_dedup, toxicity, url_filter  # noqa: F401
+from . import bpe, byte_bpe, exact_dedup, merkle, mixing, ngram_join, periodic_runs, pii, quality_embed, quality_rules, suffix_dedup, toxicity, url_filter  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
