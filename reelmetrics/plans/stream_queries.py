@@ -5,7 +5,7 @@ Streams read the events file as a stream, run it to the end and return the writt
 
 from __future__ import annotations
 
-import functools
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,6 +16,8 @@ from ..functions.rules import event_filter
 from ..operators import plugins as ud
 from ..operators import timeline as tl
 from ..operators.sequence import Seq
+from ..session import durable_checkpoint
+from ..sources.keyed import KeyedTable, history_rows
 from ..streaming import live
 from .bindings import TABLES
 from .join_queries import endpoints
@@ -33,6 +35,31 @@ def prepared(raw):
     return raw.withColumn("ts", C("ts").cast("timestamp")).withColumn("second", F.unix_micros("ts") / 1e6).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
+#: Events arrive up to a day late; the watermark allows for two.
+LATE_S, DELAY, SLOT_S = 86400, "2 days", 5 * 86400.0
+
+
+def dealt_run(t, build, deals: int = 2, sink=live.run_available):
+    """Run ``build(event stream)`` over events that arrive out of order: they are dealt over ``deals`` sets
+    of files by time and up to a day of delay, and every set is a run of its own that goes on from the
+    state of the one before.  A last row without an id carries only a time, which closes what is open.
+    """
+    folder, spark = live.work_folder(t.spark), t.spark
+    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    late = F.pmod(F.xxhash64("event_id"), L(LATE_S))
+    span = seconds(L(last)) - seconds(L(first)) + LATE_S + 1
+    deal = F.floor((seconds(C("ts")) + late - seconds(L(first))) / span * deals)
+    closing = spark.range(1).select(*[(L(last) + F.expr("INTERVAL 200 DAYS") if f.name == "ts" else L(None)).cast(f.dataType).alias(f.name) for f in t.events.schema])
+    for k in range(deals):
+        rows = t.events.where(deal == k)
+        (rows if k + 1 < deals else rows.unionByName(closing)).write.mode("append").parquet(f"{folder}/in")
+        if not k:
+            stream = build(prepared(spark.readStream.schema(t.events.schema).parquet(f"{folder}/in")))
+        out = sink(stream, f"{folder}/run")
+    return out
+
+
 def with_open(t, stream, every, keys, end):
     """Windows that the stream writes, and those which its watermark has not passed."""
     folder = live.work_folder(t.spark)
@@ -48,14 +75,17 @@ def _(t):
     """Files found, the processed one left out, and the rows of each file of the work list."""
     found = live.run_available(live.watch_folder(t.spark, t.folder, "*.parquet"))
     ready = live.ready_files(found, found.where(C("path").endswith("/region.parquet")), F.current_timestamp(), 5.0)
-    parts = [t.spark.read.parquet(r["path"]).agg(F.count(L(1)).alias("n_rows")).select(L(r["path"].rsplit("/", 1)[1]).alias("file"), "n_rows") for r in ready.select("path").toLocalIterator()]
-    return functools.reduce(DataFrame.unionByName, parts)
+    rows = live.read_ready(t.spark, ready.where(C("path").endswith(".parquet")), "none string")
+    return rows.groupBy("file").agg(F.count(L(1)).alias("n_rows"))
 
 
 @query("ST2_routed_stream", "WITH e AS (SELECT n_name AS endpoint, unnest([CASE WHEN n_nationkey % 2 = 0 THEN 'view' ELSE 'click' END, CASE WHEN n_nationkey % 3 = 0 THEN 'error' ELSE 'signup' END]) AS ev FROM nation WHERE n_nationkey % 4 <> 0) SELECT event_id, event_type, endpoint FROM events JOIN e ON ev = event_type WHERE event_type IN ('view', 'error')")
 def _(t):
     routed = live.route_stream(event_stream(t).select("event_id", "event_type"), endpoints(t), event_filter(types=["view", "error"]))
-    return live.run_available(routed.select("event_id", "event_type", "endpoint"))
+    folder, names = live.work_folder(t.spark), ["event_id", "event_type", "endpoint"]
+    kind = lambda name: lambda rows: rows.where(C("event_type") == name).select(*names)
+    live.fan_out(routed, {"views": kind("view"), "errors": kind("error")}, folder, f"{folder}/state").awaitTermination()
+    return live.read_target(t.spark, folder, "views").unionByName(live.read_target(t.spark, folder, "errors"))
 
 
 @query("ST3_event_counts", f"SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -73,16 +103,24 @@ def limiter_sql(per, window, gap):
 SELECT user_id, event_id, verdict FROM w"""
 
 
+def limited(s, **limits):
+    """Verdicts of a stream that may come out of order; a key is forgotten once no limit reaches back."""
+    idle = max(limits["window_s"], limits["gap_s"])
+    return live.limit_stream(
+        s.withColumn("progress", C("event_type") == "view"), ["user_id"], "event_id", "second", "progress", delay=DELAY, event_time="ts", slot_s=SLOT_S, idle_s=idle, **limits
+    )
+
+
 @query("ST4_rate_limiter", limiter_sql(3, 200000, 0))
 def _(t):
-    s = event_stream(t).withColumn("progress", C("event_type") == "view")
-    return live.run_available(live.limit_stream(s, ["user_id"], "event_id", "second", "progress", per_window=3, window_s=200000.0, gap_s=0.0))
+    limits = {"per_window": 3, "window_s": 200000.0, "gap_s": 0.0}
+    return dealt_run(t, lambda s: limited(s, **limits))
 
 
 @query("ST5_progress_throttle", limiter_sql(4, 200000, 300000))
 def _(t):
-    s = event_stream(t).withColumn("progress", C("event_type") == "view")
-    return live.run_available(live.limit_stream(s, ["user_id"], "event_id", "second", "progress", per_window=4, window_s=200000.0, gap_s=300000.0))
+    limits = {"per_window": 4, "window_s": 200000.0, "gap_s": 300000.0}
+    return dealt_run(t, lambda s: limited(s, **limits))
 
 
 @query("ST5_throttled_table", limiter_sql(4, 200000, 300000))
@@ -108,10 +146,13 @@ def shown(t, df):
     return rounded(out, "avg_time_ms", "eta_seconds", "avg_psnr")
 
 
+def live_progress(s):
+    return live.progress_stream(progress_rows(s), ["video_id"], ["ts", "event_id"], delay=DELAY, slot_s=SLOT_S)
+
+
 @query("ST6_live_progress", PROG)
 def _(t):
-    rows = progress_rows(event_stream(t))
-    return shown(t, live.run_available(live.progress_stream(rows, ["video_id"], ["ts", "event_id"])))
+    return shown(t, dealt_run(t, live_progress))
 
 
 NEWEST = PROG.replace("FROM r", "FROM r QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY frame_no DESC) <= 3")
@@ -119,11 +160,13 @@ NEWEST = PROG.replace("FROM r", "FROM r QUALIFY row_number() OVER (PARTITION BY
 
 @query("ST7_progress_snapshots", NEWEST)
 def _(t):
-    folder = live.work_folder(t.spark)
-    rows = live.progress_stream(progress_rows(event_stream(t)), ["video_id"], ["ts", "event_id"])
-    live.start_snapshots(rows, f"{folder}/out", f"{folder}/state", None).awaitTermination()
-    snaps = shown(t, t.spark.read.schema(rows.schema).parquet(f"{folder}/out"))
-    return tl.newest_n(snaps, ["video_id"], ["frame_no"], 3).drop("recency_rank")
+    """Two runs of a stream whose rows come out of order; the table keeps the current row and two before."""
+    table = KeyedTable(t.spark, f"snapshots_{uuid.uuid4().hex}", ["video_id"], 4, 4)
+    build = lambda s: live_progress(s).withColumnRenamed("frame_no", "event_id").join(t.events.select("event_id", C("ts").cast("timestamp").alias("at")), "event_id")
+    dealt_run(t, build, sink=lambda s, folder: live.snapshot_stream(s, table, ["at", "event_id"], 2, f"{folder}/state", None).awaitTermination())
+    kept = durable_checkpoint(history_rows(table).withColumnRenamed("event_id", "frame_no").drop("at", "is_current"))
+    table.drop()
+    return shown(t, kept)
 
 
 @query("ST7_snapshots_of_a_table", NEWEST)
@@ -145,8 +188,11 @@ def _(t):
  UNION ALL SELECT f.video_id, f.event_id, f.frame_no, CASE WHEN w.ema = 0 THEN f.value / 1.07e0 ELSE 0.05e0 * (f.value / 1.07e0) + 0.95e0 * w.ema END FROM walk w JOIN frames f ON f.video_id = w.video_id AND f.frame_no = w.frame_no + 1)
 SELECT video_id, event_id, round(ema, 6) AS ema FROM walk""")
 def _(t):
-    s = event_stream(t).select(C("user_id").alias("video_id"), "ts", "event_id", (C("value") / 1.07).alias("value"))
-    return rounded(live.run_available(live.ema_stream(s, ["video_id"], ["ts", "event_id"], "value", 0.05)).select("video_id", "event_id", "ema"), "ema")
+    def build(s):
+        rows = s.select(C("user_id").alias("video_id"), "ts", "event_id", (C("value") / 1.07).alias("value"))
+        return live.ema_stream(rows, ["video_id"], ["ts", "event_id"], "value", 0.05, delay=DELAY, slot_s=SLOT_S, idle_s=60 * 86400.0)
+
+    return rounded(dealt_run(t, build).select("video_id", "event_id", "ema"), "ema")
 
 
 @query("ST10_completed_chunks", f"SELECT to_timestamp(epoch_us(ts) // 86400000000 * 86400)::TIMESTAMP AS chunk_start, event_type, count(*) AS frames, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1, 2")
@@ -158,8 +204,11 @@ def _(t):
 @query("ST11_failure_streaks", """WITH x AS (SELECT video_id, event_id, frame_no, event_type IN ('error', 'click', 'view') AS bad FROM frames), g AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_no) AS grp FROM x)
 SELECT video_id, event_id, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER w AS INTEGER) AS consecutive_failures, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER w > 3 AS aborted FROM g WINDOW w AS (PARTITION BY video_id, grp ORDER BY frame_no)""")
 def _(t):
-    s = event_stream(t).select(C("user_id").alias("video_id"), "ts", "event_id", C("event_type").isin("error", "click", "view").alias("failed"))
-    return live.run_available(live.failure_stream(s, ["video_id"], ["ts", "event_id"], "event_id", "failed", 3))
+    def build(s):
+        rows = s.select(C("user_id").alias("video_id"), "ts", "event_id", C("event_type").isin("error", "click", "view").alias("failed"))
+        return live.failure_stream(rows, ["video_id"], ["ts", "event_id"], "event_id", "failed", 3, delay=DELAY, slot_s=SLOT_S)
+
+    return dealt_run(t, build)
 
 
 @query("ST12_unique_events", "SELECT DISTINCT user_id, event_type FROM events")

@@ -3,27 +3,35 @@
 Windowed and filter operators take any DataFrame, batch or streaming.  Decisions that depend on
 earlier decisions (rate limits, running averages, failure counts) are written once as a step
 ``(rows in order, state) -> (rows, state)`` and used both by :func:`stateful` on streams and by
-``ordered_fold`` on tables, so that the two agree on input that arrives in order.
+``ordered_fold`` on tables.  With a ``delay`` rows wait in the state for the watermark, so that the two
+agree on input that arrives in any order, over any number of micro-batches.
 
 Event time and late data: the default watermark is ten minutes; later rows are dropped by the
-windowed aggregates.
+windowed aggregates and by the steps that wait.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.folds import ordered_fold
 from ..operators.joins import route_events
 from ..operators.sequence import Seq, adjacent, framed, key_join, running, segments
 from ..session import shared_folder
+from ..sources.keyed import KeyedTable, merge_history
 
 C, L = F.col, F.lit
 WATERMARK = "10 minutes"
@@ -35,66 +43,219 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries that start inside keep their state in RocksDB, which state with timers needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Process everything available into a parquet sink and return the written table."""
     spark = stream.sparkSession
     folder = folder or work_folder(spark)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/state")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    with rocksdb_state(spark):
+        query = writer.outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 # --- stateful steps ----------------------------------------------------------------------------
-Step = Callable[[pd.DataFrame, Any], tuple[pd.DataFrame, Any]]
+#: (input columns of rows in order, state or None) -> (output columns, state or None to forget the key)
+Step = Callable[[list[list], Any], tuple[list[list], Any]]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stateful(stream: DataFrame, keys: list[str], order: list[str], step: Step, out_fields: str, idle_ms: int | None = None) -> DataFrame:
-    """Apply a step per key with an ``array<double>`` state; idle keys lose their state after ``idle_ms``.
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    Rows of one key are ordered inside a micro-batch; bound it with ``maxFilesPerTrigger`` or
-    ``maxOffsetsPerTrigger``.  Use ``idle_ms`` with a processing-time trigger only: a pending
-    timeout keeps an ``availableNow`` query running.
-    """
-    key_fields = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable", ignore_index=True)
-        before = list(state.get[0]) if state.exists else None
-        out, after = step(rows, before)
-        state.update(([float(x) for x in after],))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield out
-
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return stream.groupBy(*keys).applyInPandasWithState(
-        run, f"{key_fields}, {out_fields}", "s array<double>", "append", timeout
-    )
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
 
 
-def limiter_step(keys: list[str], event_id: str, second: str, progress: str, per_window: int = 60, window_s: float = 60.0, gap_s: float = 10.0) -> Step:
+class OrderedSteps(StatefulProcessor):
+    """Runs a step over the rows of a key in their order.
+
+    State of a key: ``waiting`` rows by (slot, part), ``parts`` of each slot, and the step's own ``state``
+    with the time until which it is kept.  A slot is a stretch of ``slot`` seconds.  Rows arrive piece by piece and are filed under their slots, so a key's batch is never held
+    whole.  With ``held`` a slot runs when a timer says that the watermark has passed its end: rows may
+    come in any order and in any micro-batch before that.  Otherwise all slots run at the end of the
+    micro-batch.  The state ends when the step returns none, or ``idle`` seconds after the last row.
+    """
+
+    def __init__(self, names, told, keys, order, inputs, keep, outputs, step, held, slot, idle):
+        self.names, self.told = names, told
+        self.keys, self.order, self.inputs, self.keep, self.outputs, self.step = keys, order, inputs, keep, outputs, step
+        self.held, self.slot, self.idle = held, slot, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slot bigint, part int", "data binary")
+        self.parts = handle.getMapState("parts", "slot bigint", "n int")
+        self.state = handle.getValueState("state", "s array<double>, until bigint")
+
+    def _run(self, key, rows: pd.DataFrame, last_ms: int | None) -> pd.DataFrame:
+        rows = rows.sort_values(["_ms", *self.order], kind="stable", ignore_index=True)
+        old = self.state.get() if self.state.exists() else None
+        if self.held and self.idle is not None and old is not None and old[1] <= int(rows["_ms"].iloc[0]):
+            self.handle.deleteTimer(old[1])
+            self.state.clear()
+            old = None
+        new, after = self.step([rows[c].tolist() for c in self.inputs], None if old is None else list(old[0]))
+        if after is None:
+            if old is not None:
+                self.state.clear()
+        else:
+            until = 0 if self.idle is None else last_ms + int(self.idle * 1000)
+            if self.idle is not None and self.held:
+                # Ends of state lie one millisecond off the ends of slots.
+                until = -(-until // self._slot_ms()) * self._slot_ms() + 1
+            if self.idle is not None and (old is None or until > old[1]):
+                if old is not None and old[1]:
+                    self.handle.deleteTimer(old[1])
+                self.handle.registerTimer(until)
+            self.state.update(([float(x) for x in after], until))
+        return pd.concat([rows[[*self.keys, *self.keep]].set_axis(self.told, axis=1), pd.DataFrame(dict(zip(self.outputs, new)))], axis=1)
+
+    def _slot_ms(self) -> int:
+        return max(2, int(self.slot * 1000))
+
+    def _file(self, rows: pd.DataFrame) -> set[int]:
+        slots = (rows["_ms"] // self._slot_ms()).to_numpy()
+        found = np.unique(slots)
+        for slot in found.tolist():
+            n = self.parts.getValue((slot,))[0] if self.parts.containsKey((slot,)) else 0
+            self.waiting.updateValue((slot, n), (_packed(rows[slots == slot]),))
+            self.parts.updateValue((slot,), (n + 1,))
+            if self.held:
+                self.handle.registerTimer((slot + 1) * self._slot_ms())
+        return set(found.tolist())
+
+    def _take(self, slot: int) -> pd.DataFrame | None:
+        if not self.parts.containsKey((slot,)):
+            return None
+        rows = []
+        for part in range(self.parts.getValue((slot,))[0]):
+            rows.append(_unpacked(self.waiting.getValue((slot, part))[0]))
+            self.waiting.removeKey((slot, part))
+        self.parts.removeKey((slot,))
+        return pd.concat(rows, ignore_index=True)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, slots = None, set()
+        for piece in rows:
+            piece = piece.set_axis(self.names, axis=1)
+            if first is None and not slots and not self.held:
+                first = piece  # a key with one piece needs no filing
+                continue
+            if first is not None:
+                slots |= self._file(first)
+                first = None
+            slots |= self._file(piece)
+        if self.held:
+            return
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle is not None else None
+        if first is not None:
+            yield self._run(key, first, now)
+        for slot in sorted(slots):
+            yield self._run(key, self._take(slot), now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.held and at % self._slot_ms() == 0:
+            rows = self._take(at // self._slot_ms() - 1)
+            if rows is not None:
+                yield self._run(key, rows, at)
+            # A timer that is set now runs in the next batch, which may be long in coming.
+            if self.idle is not None and self.state.exists() and not self.parts.exists():
+                until = self.state.get()[1]
+                if until <= timerValues.getCurrentWatermarkInMs():
+                    self.handle.deleteTimer(until)
+                    self.state.clear()
+        elif self.state.exists() and self.state.get()[1] == at:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stateful(
+    stream: DataFrame,
+    keys: list[str],
+    order: list[str],
+    inputs: list[str],
+    step: Step,
+    outputs: str,
+    keep: list[str],
+    delay: str | None = None,
+    event_time: str | None = None,
+    slot_s: float = 60.0,
+    idle_s: float | None = None,
+) -> DataFrame:
+    """Apply a step per key, in the order of ``order``; returns keys, ``keep`` and ``outputs`` (DDL).
+
+    With ``delay``, the watermark on ``event_time`` (the first order column if it is a timestamp), rows
+    wait until the watermark has passed the slot of ``slot_s`` seconds they fall in; then the order
+    holds across micro-batches and files, and rows later than the watermark are dropped.  Rows without
+    a value in an order column only move the watermark.  Rows of the newest ``delay`` stay in the state
+    until later rows come.  Without ``delay`` rows are ordered inside a micro-batch and leave with it.
+
+    ``order`` must not contradict the time.  ``idle_s`` ends a key's state that many seconds after its last row: of event time with ``delay``
+    (rounded up to a slot), else of processing time.  A key that comes back starts anew.
+    """
+    time_col = event_time or order[0]
+    kind = lambda c: stream.schema[c].dataType.simpleString()
+    outs = [f.name for f in T._parse_datatype_string(outputs)]
+    needed = list(dict.fromkeys([*([time_col] if delay else []), *order, *keep, *inputs]))
+    timed = isinstance(stream.schema[time_col].dataType, (T.TimestampType, T.TimestampNTZType))
+    ms = F.unix_millis(C(time_col).cast("timestamp")) if timed else F.floor(C(time_col) * 1000).cast("long")
+    # Columns travel under plain names: pandas renames those that begin with an underscore.  Keys travel as
+    # text and are grouped as one value, so that nulls among them make a key like others.
+    plain = {c: f"c{k}" for k, c in enumerate(needed)}
+    texts = [C(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys)]
+    rows = stream.select(F.to_json(F.struct(*texts)).alias("g"), *texts, *(C(c).alias(n) for c, n in plain.items()), ms.alias("ms"))
+    if delay:
+        known = L(True)
+        for c in order:
+            known = known & C(plain[c]).isNotNull()
+        # The condition names the time, else it would be moved below the watermark.
+        time = plain[time_col]
+        rows = rows.withWatermark(time, delay).where(C(time).isNotNull() & (known | C(time).isNull()))
+    packed = [f"k{n}" for n in range(len(keys))]
+    told = [*packed, *(f"c{n}" for n in range(len(keep)))]
+    processor = OrderedSteps(["g", *packed, *needed, "_ms"], told, packed, order, inputs, keep, outs, step, delay is not None, slot_s, idle_s)
+    mode = "EventTime" if delay else "None" if idle_s is None else "ProcessingTime"
+    schema = ", ".join([*(f"{k} string" for k in packed), *(f"c{n} {kind(c)}" for n, c in enumerate(keep)), outputs])
+    done = rows.groupBy("g").transformWithStateInPandas(processor, T._parse_datatype_string(schema), "Append", mode)
+    return done.select(*(C(n).cast(stream.schema[k].dataType).alias(k) for n, k in zip(packed, keys)), *(C(f"c{n}").alias(c) for n, c in enumerate(keep)), *outs)
+
+
+def limiter_step(per_window: int = 60, window_s: float = 60.0, gap_s: float = 10.0) -> Step:
     """ST4 + ST5: send unless the endpoint already got ``per_window`` sends in the last ``window_s``
     seconds, and progress events at most every ``gap_s`` seconds.
 
     Times are seconds.  State: last progress time, then the send times still inside the window.
     """
 
-    def step(rows: pd.DataFrame, state):
+    def step(cols, state):
         last_progress = state[0] if state is not None else float("-inf")
-        sent = list(state[1:]) if state is not None else []
+        sent = deque(state[1:] if state is not None else ())
         verdicts = []
-        for now, is_progress in zip(rows[second].astype(float), rows[progress].astype(bool)):
-            sent = [x for x in sent if x > now - window_s]
+        for now, is_progress in zip(*cols):
+            now = float(now)
+            while sent and sent[0] <= now - window_s:
+                sent.popleft()
             if len(sent) >= per_window:
                 verdicts.append("rate_limited")
             elif is_progress and now - last_progress < gap_s:
@@ -104,111 +265,117 @@ def limiter_step(keys: list[str], event_id: str, second: str, progress: str, per
                 sent.append(now)
                 if is_progress:
                     last_progress = now
-        return rows[[*keys, event_id]].assign(verdict=verdicts), [last_progress, *sent]
+        return [verdicts], [last_progress, *sent]
 
     return step
 
 
-def limit_stream(stream: DataFrame, keys: list[str], event_id: str, second: str, progress: str, **limits) -> DataFrame:
-    """ST4 / ST5 on a stream."""
-    cols = stream.select(*keys, event_id, second, progress)
-    kind = stream.schema[event_id].dataType.simpleString()
-    return stateful(cols, keys, [second, event_id], limiter_step(keys, event_id, second, progress, **limits), f"`{event_id}` {kind}, verdict string")
+def limit_stream(
+    stream: DataFrame, keys: list[str], event_id: str, second: str, progress: str, delay: str | None = None, event_time: str | None = None, slot_s: float = 60.0,
+    idle_s: float | None = None, **limits,
+) -> DataFrame:
+    """ST4 / ST5 on a stream.  An ``idle_s`` of at least the window and the gap changes no verdict."""
+    return stateful(stream, keys, [second, event_id], [second, progress], limiter_step(**limits), "verdict string", [event_id], delay, event_time, slot_s, idle_s)
 
 
 def limit_table(df: DataFrame, keys: list[str], event_id: str, second: str, progress: str, width: float | None = 86400, **limits) -> DataFrame:
     """Batch twin of :func:`limit_stream`."""
-    cols = df.select(*keys, event_id, second, progress)
-    kind = df.schema[event_id].dataType.simpleString()
-    return ordered_fold(
-        cols, Seq(tuple(keys), (second, event_id), width), limiter_step(keys, event_id, second, progress, **limits), f"`{event_id}` {kind}, verdict string", "array<double>"
-    )
+    return ordered_fold(df, Seq(tuple(keys), (second, event_id), width), [second, progress], limiter_step(**limits), "verdict string", "array<double>", [event_id])
 
 
-def ema_step(keys: list[str], order: list[str], value: str, alpha: float) -> Step:
+def ema_step(alpha: float) -> Step:
     """ST9: moving average that starts over while it is exactly zero."""
 
-    def step(rows: pd.DataFrame, state):
+    def step(cols, state):
         avg, out = (state[0] if state is not None else 0.0), []
-        for x in rows[value].astype(float):
+        for x in cols[0]:
+            x = float("nan") if x is None else float(x)
             avg = x if avg == 0 else alpha * x + (1 - alpha) * avg
             out.append(avg)
-        return rows[[*keys, *order]].assign(ema=out), [avg]
+        return [out], [avg]
 
     return step
 
 
-def ema_stream(stream: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = 0.1) -> DataFrame:
+def ema_stream(
+    stream: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = 0.1, delay: str | None = None, event_time: str | None = None, slot_s: float = 60.0,
+    idle_s: float | None = None,
+) -> DataFrame:
     """ST9 on a stream; the batch twin is ``folds.moving_ema``."""
-    fields = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in order)
-    return stateful(stream.select(*keys, *order, value), keys, order, ema_step(keys, order, value, alpha), f"{fields}, ema double")
+    return stateful(stream, keys, order, [value], ema_step(alpha), "ema double", order, delay, event_time, slot_s, idle_s)
 
 
-def failure_step(keys: list[str], event_id: str, failed: str, limit: int) -> Step:
-    """ST11: consecutive failures per job; more than ``limit`` in a row abort, a success resets."""
+def failure_step(limit: int) -> Step:
+    """ST11: consecutive failures per job; more than ``limit`` in a row abort, a success resets (and ends
+    the state)."""
 
-    def step(rows: pd.DataFrame, state):
+    def step(cols, state):
         count, counts = (int(state[0]) if state is not None else 0), []
-        for bad in rows[failed].astype(bool):
+        for bad in cols[0]:
             count = count + 1 if bad else 0
             counts.append(count)
-        out = rows[[*keys, event_id]].assign(consecutive_failures=counts)
-        return out.assign(aborted=[c > limit for c in counts]), [count]
+        return [counts, [c > limit for c in counts]], [count] if count else None
 
     return step
 
 
-def failure_stream(stream: DataFrame, keys: list[str], order: list[str], event_id: str, failed: str, limit: int = 5) -> DataFrame:
+def failure_stream(
+    stream: DataFrame, keys: list[str], order: list[str], event_id: str, failed: str, limit: int = 5, delay: str | None = None, event_time: str | None = None,
+    slot_s: float = 60.0, idle_s: float | None = None,
+) -> DataFrame:
     """ST11 on a stream."""
-    kind = stream.schema[event_id].dataType.simpleString()
-    cols = stream.select(*keys, *dict.fromkeys([*order, event_id]), failed)
-    return stateful(cols, keys, order, failure_step(keys, event_id, failed, limit), f"`{event_id}` {kind}, consecutive_failures int, aborted boolean")
+    return stateful(stream, keys, order, [failed], failure_step(limit), "consecutive_failures int, aborted boolean", [event_id], delay, event_time, slot_s, idle_s)
 
 
 PROGRESS_FIELDS = (
-    "frame_no bigint, frames_completed bigint, frames_failed bigint, frames_pending bigint, avg_time_ms double, eta_seconds double, avg_psnr double, avg_ssim double"
+    "frames_completed bigint, frames_failed bigint, frames_pending bigint, avg_time_ms double, eta_seconds double, avg_psnr double, avg_ssim double"
 )
 
 
-def progress_step(keys: list[str], window: int = 100) -> Step:
-    """ST6: progress after every frame result (``frame_no, state, time_ms, psnr, ssim, total_frames``).
+def progress_step(window: int = 100) -> Step:
+    """ST6: progress after every frame result (``state, time_ms, psnr, ssim, total_frames``).
 
     The mean time covers the last ``window`` positive times; quality means skip nulls in the last
     ``window`` results that have any.  State: completed, failed, number of times, times, quality pairs.
     """
     nan = float("nan")
 
+    def known(v):
+        return nan if v is None or v != v else float(v)
+
     def mean(xs):
-        known = [x for x in xs if x == x]
-        return sum(known) / len(known) if known else None
+        xs = [x for x in xs if x == x]
+        return sum(xs) / len(xs) if xs else None
 
-    def step(rows: pd.DataFrame, state):
+    def step(cols, state):
         s = state if state is not None else [0.0, 0.0, 0.0]
         done, failed, n = int(s[0]), int(s[1]), int(s[2])
-        times, pairs = list(s[3 : 3 + n]), list(s[3 + n :])
+        times, pairs = deque(s[3 : 3 + n], window), deque(zip(s[3 + n :: 2], s[4 + n :: 2]), window)
         out = []
-        for r in rows.itertuples(index=False):
-            if r.time_ms == r.time_ms and r.time_ms is not None and r.time_ms > 0:
-                times = [*times, float(r.time_ms)][-window:]
-            p, q = (nan if v is None or v != v else float(v) for v in (r.psnr, r.ssim))
+        for status, ms, p, q, total in zip(*cols):
+            ms, p, q = known(ms), known(p), known(q)
+            if ms > 0:
+                times.append(ms)
             if p == p or q == q:
-                pairs = [*pairs, p, q][-2 * window :]
-            done += r.state == "completed"
-            failed += r.state == "failed"
-            avg, left = mean(times), int(r.total_frames) - done
+                pairs.append((p, q))
+            done += status == "completed"
+            failed += status == "failed"
+            avg, left = mean(times), int(total) - done
             eta = left * avg / 1000 if avg is not None and left > 0 else None
-            out.append((int(r.frame_no), done, failed, left - failed, avg, eta, mean(pairs[0::2]), mean(pairs[1::2])))
-        names = ["frame_no", "frames_completed", "frames_failed", "frames_pending", "avg_time_ms", "eta_seconds", "avg_psnr", "avg_ssim"]
-        frame = pd.DataFrame(out, columns=names, index=rows.index)
-        return pd.concat([rows[keys], frame], axis=1), [float(done), float(failed), float(len(times)), *times, *pairs]
+            out.append((done, failed, left - failed, avg, eta, mean(p for p, _ in pairs), mean(q for _, q in pairs)))
+        return [list(c) for c in zip(*out)], [float(done), float(failed), float(len(times)), *times, *(x for pair in pairs for x in pair)]
 
     return step
 
 
-def progress_stream(stream: DataFrame, keys: list[str], order: list[str], window: int = 100, idle_ms: int | None = None) -> DataFrame:
+def progress_stream(
+    stream: DataFrame, keys: list[str], order: list[str], window: int = 100, idle_ms: int | None = None, delay: str | None = None, event_time: str | None = None,
+    slot_s: float = 60.0,
+) -> DataFrame:
     """ST6 on a stream."""
-    cols = stream.select(*keys, *dict.fromkeys([*order, "frame_no", "state", "time_ms", "psnr", "ssim", "total_frames"]))
-    return stateful(cols, keys, order, progress_step(keys, window), PROGRESS_FIELDS, idle_ms)
+    idle_s = None if idle_ms is None else idle_ms / 1000
+    inputs = ["state", "time_ms", "psnr", "ssim", "total_frames"]
+    return stateful(stream, keys, order, inputs, progress_step(window), PROGRESS_FIELDS, ["frame_no"], delay, event_time, slot_s, idle_s)
 
 
 def progress_table(df: DataFrame, keys: list[str], order: list[str], window: int = 100, width: float | None = 65536) -> DataFrame:
@@ -234,8 +401,8 @@ def progress_table(df: DataFrame, keys: list[str], order: list[str], window: int
         out = framed(rows, Seq(tuple(keys), (number,)), -(window - 1), 0, lambda frame, _o: {n: F.avg(c).over(frame) for n, c in cols.items()})
         return out.select(*keys, number, *cols)
 
-    out = base.join(last_means(timed, "_nt", {"avg_time_ms": "time_ms"}), [*keys, "_nt"], "left")
-    out = out.join(last_means(rated, "_nq", {"avg_psnr": "psnr", "avg_ssim": "ssim"}), [*keys, "_nq"], "left")
+    out = key_join(base, last_means(timed, "_nt", {"avg_time_ms": "time_ms"}), [*keys, "_nt"], "left")
+    out = key_join(out, last_means(rated, "_nq", {"avg_psnr": "psnr", "avg_ssim": "ssim"}), [*keys, "_nq"], "left")
     left = C("total_frames") - C("frames_completed")
     return out.select(
         *keys,
@@ -252,9 +419,49 @@ def progress_table(df: DataFrame, keys: list[str], order: list[str], window: int
 
 def start_snapshots(progress: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds"):
     """ST7: write progress rows every few seconds, or all there is now (``every=None``); keep a bounded
-    history with ``newest_n`` on the sink."""
+    history with ``newest_n`` on the sink, or use :func:`snapshot_stream`."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return progress.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
+    writer = progress.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    with rocksdb_state(progress.sparkSession):
+        return writer.outputMode("append").trigger(**trigger).start()
+
+
+def snapshot_stream(progress: DataFrame, table: KeyedTable, order: list[str], history: int, checkpoint: str, every: str | None = "5 seconds", mode: str = "append"):
+    """ST7: every few seconds, or for all there is now (``every=None``), merge the new progress rows into
+    ``table``: the current row of each key is replaced, at most ``history`` older ones are kept.  A batch
+    that runs again leaves the table as it is.  ``mode`` is ``update`` for aggregates that change."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+
+    def merge(rows: DataFrame, _batch: int) -> None:
+        # A stream runs in a session of its own.
+        own = KeyedTable(rows.sparkSession, table.name, table.keys, table.parts, table.buckets)
+        merge_history(own, rows, order, history)
+
+    with rocksdb_state(progress.sparkSession):
+        return progress.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode(mode).trigger(**trigger).start()
+
+
+def fan_out(stream: DataFrame, targets: Mapping[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str, every: str | None = None):
+    """ST2: one reading of the stream, several sinks: every micro-batch is written once to
+    ``path/<target>/batch=<id>`` of each target.  The folder is named by the batch, so a batch that runs
+    again replaces what it wrote and no sink has rows twice.  Read a sink with :func:`read_target`."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist(StorageLevel.DISK_ONLY)
+        try:
+            for name, choose in targets.items():
+                choose(rows).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+        finally:
+            rows.unpersist()
+
+    with rocksdb_state(stream.sparkSession):
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_target(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Rows of one target of :func:`fan_out`."""
+    return spark.read.parquet(f"{path}/{name}").drop("batch")
 
 
 # --- windows, filters, folders -----------------------------------------------------------------
@@ -277,6 +484,21 @@ def ready_files(found: DataFrame, processed: DataFrame, now: Column, min_age_s:
     return found.where(old & (C("length") > 0)).join(processed.select("path"), "path", "left_anti")
 
 
+def read_ready(spark: SparkSession, ready: DataFrame, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """ST1 (contents): the rows of all files of a work list in one scan, with the ``path`` they stand in
+    and the ``file`` name.  The list of paths goes through the driver, as any scan's file list does."""
+    paths = [r[0] for r in ready.select("path").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, path string, file string")
+    rows = spark.read.schema(schema).options(**options).format(fmt).load(paths)
+    return rows.select(*rows.columns, C("_metadata.file_path").alias("path"), C("_metadata.file_name").alias("file"))
+
+
+def mark_processed(ready: DataFrame, path: str) -> None:
+    """ST1: append a work list that has been read to the table of processed files at ``path``."""
+    ready.select("path", F.current_timestamp().alias("processed_at")).write.mode("append").parquet(path)
+
+
 def route_stream(stream: DataFrame, endpoints: DataFrame, condition: Column) -> DataFrame:
     """ST2: filter events and route them to the static endpoint table."""
     return route_events(stream.where(condition), endpoints)
