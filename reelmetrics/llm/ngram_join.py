@@ -8,8 +8,8 @@ share many elements, so the join looks for sets that occur often enough in each
    lists. Linked sets share at least ``l`` of them (of the smaller of the two ``l``).
 3. Lists are divided: short ones (at most ``SHORT`` sets) are merged into counts a pair, and a pair
    stays when its count reaches ``l`` less the long lists either set is in. Long lists are skipped;
-   only sets with at least ``l`` long lists could meet in nothing else, and each long list ties those
-   to its smallest member. Connected pairs and ties are candidate groups: no link leaves a group.
+   only sets with at least ``l`` long lists could meet in nothing else, and long lists tie those
+   together. Connected pairs and ties are candidate groups: no link leaves a group.
 4. A group's texts go to one task, which runs DivideSkip over the whole sets: short lists are merged,
    sets that occur at least ``T - L`` times are probed in the ``L`` longest lists by binary search, and
    the exact overlap decides. It searches breadth first and only among sets not reached yet, so a
@@ -17,13 +17,15 @@ share many elements, so the join looks for sets that occur often enough in each
 5. A group of more than ``BLOCK`` shingles is cut into blocks that share two of its members; what does
    not end up in the largest cluster is then searched for in every block.
 
-No list, pair or candidate is dropped for its length. The tokens skipped before the shuffle
-(``HOT`` at most) only decide where a set is searched for.
+No list, pair or candidate is dropped for its length. Lists are merged by sorting and counting; the
+skipped ones are probed by binary search.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. With fewer words than a shingle the
 whole sequence is one shingle. A null text or one without words has no shingles and links with nothing;
-its component is its own id. Rows without id join their class but never name a component. Repeated
-rows get the same answer. Columns other than id and text are ignored.
+its component is its own id. Rows without id link like others but never name a component. Repeated
+rows get the same answer; an id that repeats with different texts is as many documents, each with its
+own set, which may give their components the same name. Ids are longs (others are cast). Long texts
+are hashed whole. An empty table gives no rows. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from collections import deque
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_batch, components, cut, drop_table, table
@@ -42,7 +44,6 @@ from .registry import query
 WORDS, PERCENT = 4, 85
 SLACK = 20
 SHORT = 32
-HOT = 100_000
 BLOCK = 1 << 21
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _LONG_WORD = 4096
@@ -95,23 +96,34 @@ def slack_column(n):
     return (F.lit(1) + F.floor(n / SLACK)).cast("long")
 
 
+def text_tag(text: Column) -> Column:
+    """Tells rows apart that repeat an id with different texts."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, key, prefix): size, digest and indexed part of every document's set."""
+    """(doc_id, tag, n, key, prefix): size, digest and indexed part of every document's set."""
 
     def fn(batch):
-        sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+        sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
         n = np.array([len(s) for s in sets], dtype=np.int64)
         prefix = [s[: len(s) - least_overlap(len(s), percent) + slack(len(s))].view(np.int64) for s in sets]
         ends = np.append(0, np.cumsum([len(p) for p in prefix])).astype(np.int32)
-        keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+        keys = pa.array(list(map(set_key, sets)), pa.binary())
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))
-        return pa.record_batch([batch.column(0), pa.array(n), keys, lists], ["doc_id", "n", "key", "prefix"])
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(n), keys, lists], ["doc_id", "tag", "n", "key", "prefix"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag(F.col("text")).alias("tag"), "text")
+    return by_batch(rows, fn, "doc_id long, tag long, n long, key binary, prefix array<long>")
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, n long, key binary, prefix array<long>")
 
+def set_key(elements: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(elements.tobytes())
 
-def hot_tokens(sets: DataFrame, local: int = 16, limit: int = HOT) -> DataFrame:
-    """Tokens that many sets of one batch have, the most frequent ``limit``: a bounded hint."""
+
+def hot_tokens(sets: DataFrame, local: int = 16, limit: int = 100_000) -> DataFrame:
+    """(token): the most common elements of sets, counted inside batches; a report, the join does not
+    depend on it."""
 
     def fn(batch):
         tokens, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
@@ -124,15 +136,15 @@ def hot_tokens(sets: DataFrame, local: int = 16, limit: int = HOT) -> DataFrame:
 
 def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) whose components hold every link between the sets (id, n, prefix)."""
-    hot = cut(hot_tokens(sets), "hot")
     posts = sets.select(F.explode("prefix").alias("token"), "id", "n")
-    own = Window.partitionBy("token")
-    lists = posts.join(F.broadcast(hot), "token", "left_anti").withColumn("m", F.count("*").over(own)).where("m > 1")
-    skipped = posts.join(F.broadcast(hot), "token").withColumn("m", F.lit(None).cast("long"))
-    lists = cut(lists.select("token", "id", "n", "m"), "lists")
-    long_lists = lists.where(F.col("m") > SHORT).select("token", "id", "n").unionByName(skipped.select("token", "id", "n"))
-    longs = cut(long_lists.groupBy("id").agg(F.count("*").alias("longs")), "longs")
-    need = slack_column(F.col("n"))
+    # Lengths are counted before the shuffle; each posting then finds the length of its list.
+    lengths = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    lists = cut(posts.join(lengths, "token", "left").where("m IS NOT NULL").select("token", "id", "n", "m"), "lists")
+    long_lists = lists.where(F.col("m") > SHORT).groupBy("id").agg(
+        F.count("*").alias("longs"), F.first("n").alias("n"), F.max_by("token", F.struct("m", "token")).alias("main"), F.collect_list("token").alias("tokens")
+    )
+    long_lists = cut(long_lists, "longs")
+    longs = long_lists.select("id", "longs")
     # Short lists: at most SHORT sets each, merged into counts a pair.
     short = lists.where(F.col("m") <= SHORT).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("own"))
     pairs = short.select(F.explode(F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
@@ -143,12 +155,28 @@ def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     la, lb = longs.select(F.col("id").alias("a"), F.col("longs").alias("la")), longs.select(F.col("id").alias("b"), F.col("longs").alias("lb"))
     enough = F.col("c") >= F.col("need") - F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
     met = counted.join(la, "a", "left").join(lb, "b", "left").where(enough).select("a", "b")
-    # Long lists: only sets with enough of them.
+    return met.unionByName(ties(long_lists, percent))
+
+
+def ties(long_lists: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect all sets which are in one long list, among the sets with enough long lists to
+    meet in nothing else. ``long_lists``: a row a set (id, n, longs, main, tokens).
+
+    A set is tied to the smallest set with its ``main`` token, the longest of its lists; those heads are
+    tied by every token that stands beside different main ones. A family of copies has few main tokens,
+    so its many equal (main, token) pairs shrink to a few before anything is joined.
+    """
     least = slack_column(F.ceil(F.col("n") * percent / 100))
-    deep = long_lists.join(longs, "id").where(F.col("longs") >= F.least(least, need)).select("token", "id")
-    heads = deep.groupBy("token").agg(F.min("id").alias("a"))
-    ties = deep.join(heads, "token").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    return met.unionByName(ties)
+    deep = long_lists.where(F.col("longs") >= F.least(least, slack_column(F.col("n"))))
+    heads = cut(deep.groupBy("main").agg(F.min("id").alias("head")), "heads")
+    own = deep.select("id", "main").join(heads, "main").where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    beside = cut(deep.select("main", F.explode("tokens").alias("token")).distinct(), "beside")
+    # A token with one main token ties nothing.
+    shared = beside.join(beside.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "token", "left_semi")
+    met = cut(shared.join(heads, "main").select("token", "head").distinct(), "met")
+    first = met.groupBy("token").agg(F.min("head").alias("a"))
+    across = met.join(first, "token").where("a < head").select("a", F.col("head").alias("b")).distinct()
+    return own.unionByName(across)
 
 
 def search(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -221,71 +249,87 @@ def search(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, quer
 
 
 def _search_groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges found inside each (component, block); rows: component, block, doc_id, text, asked."""
+    """Edges found inside each (component, block); rows: component, block, node, key, text, asked. Of the
+    rows of a node one counts whose text has the node's set: ids may repeat with other texts."""
 
     def fn(got: pa.Table) -> pa.Table:
-        ids = got.column("doc_id").to_numpy()
-        sets = [shingle_set(t, words) for t in got.column("text").to_pylist()]
-        asked = got.column("asked").to_numpy()
-        edges = search(ids, sets, percent, asked if asked.any() else None)
+        nodes, sets, asked = [], [], []
+        seen = set()
+        for node, key, text, asks in zip(*(got.column(c).to_pylist() for c in ("node", "key", "text", "asked"))):
+            own = shingle_set(text, words) if node not in seen else None
+            if own is not None and set_key(own) == key:
+                seen.add(node)
+                nodes.append(node)
+                sets.append(own)
+                asked.append(asks)
+        if not nodes:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        asked = np.array(asked, dtype=bool)
+        edges = search(np.array(nodes, dtype=np.int64), sets, percent, asked if asked.any() else None)
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     return rows.groupBy("component", "block").applyInArrow(fn, "a long, b long")
 
 
 def link_components(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(node, component) of every class of sets (id, n, prefix) that links with another one."""
+    """(node, component) of every class of sets (id, doc_id, tag, key, n, prefix) that links with another
+    one; ``id`` numbers the classes, ``doc_id`` and ``tag`` say which document stands for it."""
     groups = components(candidate_edges(sets, percent))
-    sized = groups.join(sets.select(F.col("id").alias("node"), "n"), "node")
+    sized = groups.join(sets.select(F.col("id").alias("node"), "doc_id", "tag", "key", "n"), "node")
     totals = sized.groupBy("component").agg(
         F.sum("n").alias("total"), F.min_by("node", F.xxhash64("node")).alias("first"), F.max_by("node", F.xxhash64("node")).alias("last")
     )
+    # A table of its own: the join's exchange is then its own too, and a large component can be split.
+    totals = cut(totals, "totals")
     blocks = F.ceil(F.col("total") / F.lit(block)).cast("int")
     shared = F.col("node").isin(F.col("first"), F.col("last")) & (blocks > 1)
-    placed = cut(
-        sized.join(totals, "component").select(
-            "node", "component", blocks.alias("blocks"), F.when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))).alias("own")
-        ),
-        "placed",
-    )
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, F.col("doc_id") == F.col("node")), "texts")
-    inside = texts.select("component", F.explode("own").alias("block"), "doc_id", "text", F.lit(False).alias("asked"))
+    own = F.when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
+    placed = cut(sized.join(totals, "component").select("node", "component", "key", F.col("doc_id").alias("of"), F.col("tag").alias("text_tag"), blocks.alias("blocks"), own.alias("own")), "placed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag(F.col("text")).alias("tag"), "text")
+    texts = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("text_tag"))).drop("of", "doc_id", "tag", "text_tag")
+    texts = cut(texts, "texts")
+    inside = texts.select("component", F.explode("own").alias("block"), "node", "key", "text", F.lit(False).alias("asked"))
     edges = cut(_search_groups(inside, words, percent), "links")
     large = texts.where("blocks > 1")
     if not large.isEmpty():
         found = components(edges)
-        of = large.select("doc_id", "component", "blocks", "text", "own").join(
-            found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id", "left"
-        ).withColumn("cluster", F.coalesce("cluster", "doc_id"))
+        of = large.join(found.select("node", F.col("component").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
         of = cut(of, "clusters")
         counts = of.groupBy("component", "cluster").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"))
         rest = of.join(counts, "component").where("cluster <> main").drop("main")
         # Every set outside the main cluster asks in every block; askers come in blocks of their own.
-        asking = rest.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.col("own")[0].alias("q"), "doc_id", "text", F.lit(True).alias("asked"))
+        asking = rest.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.col("own")[0].alias("q"), "node", "key", "text", F.lit(True).alias("asked"))
         wanted = asking.select("component", "b", "q").distinct()
-        asked = of.select("component", F.explode("own").alias("b"), "doc_id", "text", F.lit(False).alias("asked")).join(wanted, ["component", "b"])
-        both = asking.unionByName(asked).groupBy("component", "b", "q", "doc_id").agg(F.first("text").alias("text"), F.bool_or("asked").alias("asked"))
+        asked = of.select("component", F.explode("own").alias("b"), "node", "key", "text", F.lit(False).alias("asked")).join(wanted, ["component", "b"])
+        both = asking.unionByName(asked).groupBy("component", "b", "q", "node", "key", "text").agg(F.bool_or("asked").alias("asked"))
         edges = cut(edges.unionByName(_search_groups(both.withColumn("block", F.concat_ws(":", "b", "q")), words, percent)), "links")
     return components(edges)
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) for every row: the smallest id reachable by links,
-    and the smallest id with exactly the same set."""
+    """(doc_id, n_shingles, component_id, class_id, tag, set_key, leads) for every row: the smallest id
+    reachable by links, the smallest id with exactly the same set, hashes of text and set, and whether the row stands
+    for its component: it has that smallest id, and of several sets of that id the first one. Rows that
+    repeat id and text lead together; a row without shingles leads itself."""
     full = cut(shingle_sets(docs, words, percent), "sets")
-    narrow = cut(full.select("doc_id", "n", "key"), "keys")
-    classes = narrow.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"))
-    reps = classes.where("id IS NOT NULL").select(F.col("id").alias("doc_id"), F.col("key").alias("own"))
-    picked = full.join(reps, "doc_id").where("key = own").select(F.col("doc_id").alias("id"), "n", "prefix")
+    narrow = cut(full.select("doc_id", "tag", "n", "key"), "keys")
+    # Each class of equal sets has a number and a row that stands for it, with an id if any has one.
+    rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("rep")
+    classes = narrow.where("n > 0").groupBy("key").agg(rep).select("key", F.col("rep.doc_id").alias("first"), F.col("rep.tag").alias("text"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "numbers")
+    reps = classes.select("first", "text", F.col("key").alias("own"), "id")
+    picked = full.join(reps, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("tag") == F.col("text"))).where("key = own")
+    picked = picked.groupBy("id").agg(*(F.first(c).alias(c) for c in ("doc_id", "tag", "key", "n", "prefix")))
     sets = cut(picked, "classes")
     drop_table(full)
-    linked = link_components(docs, sets, words, percent, block)
-    named = cut(
-        classes.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "named"
-    )
-    some = narrow.where("n > 0").join(named, "key").select("doc_id", "n", "component", "id")
-    none = narrow.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"), F.col("doc_id").alias("id"))
-    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").alias("class_id"))
+    linked = cut(link_components(docs, sets, words, percent, block), "linked")
+    of = classes.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = cut(of, "components")
+    heads = of.groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "key")).alias("head"))
+    named = cut(of.join(heads, "component").select("key", "first", F.col("head.first").alias("name"), (F.col("head.key") == F.col("key")).alias("main")), "named")
+    some = narrow.where("n > 0").join(named, "key").select("doc_id", "n", "name", "first", "tag", "key", (F.col("main") & F.col("doc_id").eqNullSafe(F.col("name"))).alias("leads"))
+    none = narrow.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("name"), F.col("doc_id").alias("first"), "tag", F.lit(None).cast("binary").alias("key"), F.lit(True).alias("leads"))
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), F.col("name").alias("component_id"), F.col("first").alias("class_id"), "tag", F.col("key").alias("set_key"), "leads")
 
 
 @query("op1_ngram_join")
