@@ -6,7 +6,7 @@ key), then the digests the index does not have are found by a sort-merge anti-jo
 index without shuffling it, and appended to it.
 
 Nulls: a null text is the empty text, and empty texts are equal to each other. A row without id is
-never preferred to one with an id. Rows that repeat id and text count once each in ``group_size``
+never preferred to one with an id. Ids are numbers of any size. Long texts are hashed whole. Rows that repeat id and text count once each in ``group_size``
 and get the same verdict. Columns other than id and text are ignored. An empty table gives no rows.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -53,37 +53,34 @@ class DigestIndex:
         new = self.unseen(batch).repartition(self.buckets, "digest")
         new.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.name)
 
-    def files(self) -> DataFrame:
-        """The index as plain files, without the bucket layout: a join then shuffles both sides and
-        Spark can split a hot digest."""
-        return self.spark.read.schema(self.read().schema).parquet(self.location())
-
-    def location(self) -> str:
-        rows = self.spark.sql(f"DESCRIBE FORMATTED {self.name}").where("col_name = 'Location'")
-        return rows.first()["data_type"]
-
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+def id_ranges(marks: DataFrame, batches: int) -> Column:
+    """Number of a row's batch: 0 for the largest ids, the last for null ids; the edges are percentiles."""
+    edges = marks.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
+    part = F.lit(0)
+    for edge in edges or ():
+        part = part + F.when(F.col("doc_id") > F.lit(edge), 0).otherwise(1)
+    return part
+
+
 def exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """Verdict for every row: (doc_id, keep_id, group_size, kept, text_sha256); the largest id stays.
 
     The documents go into the index in ``batches`` ranges of ids, the largest ids first, so that the
-    row that the index has of a digest is the one that stays.
+    row that the index has of a digest is the one that stays. The verdict joins the digests of these
+    documents with the index by its buckets; the index may be dropped once this has returned.
     """
     marks = cut(digests(docs, id_col, text_col), "digests")
-    low, high = marks.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        index.add(marks)
-    else:
-        part = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) * batches / F.lit(high - low + 1)), F.lit(batches - 1))
-        for k in range(batches):
-            index.add(marks.where(part == k))
-    # One row per digest: who stays (from the index) and how many rows there are.
-    sizes = marks.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(1).alias("n"))
-    known = index.files().select("digest", F.col("keep_id").cast("long").alias("keep_id"), F.lit(0).alias("n"))
-    classes = cut(known.unionByName(sizes).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")), "classes")
+    part = id_ranges(marks, batches)
+    for k in range(batches):
+        index.add(marks.where(part == k))
+    # One row per digest: who stays and how many rows there are; counted before the join, so that a hot
+    # digest is one row of it.
+    sizes = marks.groupBy("digest").agg(F.count("*").alias("group_size"))
+    classes = cut(sizes.join(index.read().select("digest", "keep_id").hint("merge"), "digest"), "classes")
     return marks.join(classes, "digest").select(
         "doc_id",
         "keep_id",
@@ -103,4 +100,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 @query("op3_exact_dedup", SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return exact_duplicates(table(spark, sf_dir), index)
+    try:
+        return exact_duplicates(table(spark, sf_dir), index)
+    finally:
+        index.drop()
