@@ -15,7 +15,8 @@ one group; beyond that they are ranked string by string, with counts combined be
 same way, so no common passage gathers in one task. Ranks are 64-bit hashes (round 3: 128 bits).
 
 Matches never cross documents. A null or short text loses nothing. Repeated rows repeat each other.
-Ids are expected to be unique; a null id is kept as it is. Other columns are ignored.
+Rows are told apart by a hash of id and text, so an id may repeat with other texts and may be null.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, cut, drop_table, table
@@ -98,6 +99,11 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
+def row_key() -> Column:
+    """Key of a row in all rounds; rows with equal keys are copies of one another."""
+    return F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
+
+
 def document_zones(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """A row a document: its distinct zones (gram, whole, packed place, whether it has them twice) and
     the runs that zones it has twice cover. A place is packed as first string times 512 plus length - 1."""
@@ -125,7 +131,7 @@ def document_zones(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
         )
 
     return by_batch(
-        docs.select("doc_id", "text"), fn, "doc long, gram array<long>, whole array<long>, place array<long>, twice array<boolean>, first array<long>, end array<long>"
+        docs.select(row_key().alias("doc"), "text"), fn, "doc long, gram array<long>, whole array<long>, place array<long>, twice array<boolean>, first array<long>, end array<long>"
     )
 
 
@@ -173,14 +179,15 @@ def settle(docs: DataFrame, found: DataFrame, ranked: DataFrame, threshold: int
     round 3 can add a run."""
     zone = F.struct("place", "done", "open", "gram", "many")
     lists = ranked.groupBy("doc").agg(F.collect_list(zone).alias("zones"))
-    local = found.where(F.size("first") > 0).select(F.col("doc").alias("d"), "first", "end")
+    local = found.where(F.size("first") > 0).groupBy(F.col("doc").alias("d")).agg(F.first("first").alias("first"), F.first("end").alias("end"))
     lists = lists.join(local, F.col("doc") == F.col("d"), "full").select(F.coalesce("doc", "d").alias("doc"), "zones", "first", "end")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "zones", "first", "end")
+    rows = docs.select("doc_id", row_key().alias("row"), "text")
+    joined = rows.join(lists, F.col("row") == F.col("doc"), "left").select("doc_id", "row", "text", "zones", "first", "end")
 
     def fn(batch):
         out = []
-        cols = [batch.column(k).to_pylist() for k in range(5)]
-        for doc, text, own, first, end in zip(*cols):
+        cols = [batch.column(k).to_pylist() for k in range(1, 6)]
+        for row, text, own, first, end in zip(*cols):
             data, own = (text or "").encode(), own or []
             begin = [*(first or []), *(z["place"] >> 9 for z in own if z["done"])]
             stop = [*(end or []), *((z["place"] >> 9) + (z["place"] & 511) + threshold for z in own if z["done"])]
@@ -191,13 +198,13 @@ def settle(docs: DataFrame, found: DataFrame, ranked: DataFrame, threshold: int
                 if z["open"]
             ]
             waits = any(a["needs"] for a in asks)
-            out.append((doc, len(data), s.tolist(), e.tolist(), asks, data if waits else None, None if waits else digest(data, s, e)))
+            out.append((row, len(data), s.tolist(), e.tolist(), asks, data if waits else None, None if waits else digest(data, s, e)))
         cols = list(zip(*out))
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), ASKS, pa.binary(), pa.string()]
-        names = ["doc_id", "n_bytes", "first", "end", "asks", "data", "kept_sha256"]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        names = ["doc_id", "doc", "n_bytes", "first", "end", "asks", "data", "kept_sha256"]
+        return pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    schema = "doc_id long, n_bytes long, first array<long>, end array<long>, asks array<struct<gram:long,many:int,needs:boolean,start:long,part:binary>>, data binary, kept_sha256 string"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc long, n_bytes long, first array<long>, end array<long>, asks array<struct<gram:long,many:int,needs:boolean,start:long,part:binary>>, data binary, kept_sha256 string"
     return by_batch(joined, fn, schema)
 
 
@@ -238,7 +245,7 @@ def repeats_among(parts, threshold: int) -> list[tuple[int, int, int]]:
 
 def repeated_strings(state: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Round 3: (doc, first, end) runs of repeated strings in zones whose whole does not repeat."""
-    asks = state.select(F.col("doc_id").alias("doc"), F.explode("asks").alias("z")).select("doc", "z.*")
+    asks = state.select("doc", F.explode("asks").alias("z")).select("doc", "z.*")
     groups = asks.where("many = 0").groupBy("gram").agg(F.collect_list(F.struct("doc", "start", "needs", "part")).alias("parts"))
     names = ["doc", "first", "end"]
 
@@ -275,7 +282,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     state = cut(settle(docs, found, ranked_zones(found), threshold), "runs")
     drop_table(found)
     more = repeated_strings(state, threshold).groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("more"))
-    waiting = state.where("data IS NOT NULL").select("doc_id", "n_bytes", "first", "end", "data").join(more, F.col("doc_id") == F.col("doc"), "left").drop("doc")
+    waiting = state.where("data IS NOT NULL").select("doc_id", "n_bytes", "first", "end", "data", "doc").join(more, "doc", "left").drop("doc")
 
     def fn(batch):
         firsts, ends, kept = [], [], []
@@ -286,7 +293,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
             kept.append(digest(data, s, e))
         return pa.record_batch([batch.column(0), batch.column(1), _lists(firsts, pa.int64()), _lists(ends, pa.int64()), pa.array(kept)], ["doc_id", "n_bytes", "first", "end", "kept_sha256"])
 
-    last = by_batch(waiting, fn, "doc_id long, n_bytes long, first array<long>, end array<long>, kept_sha256 string")
+    last = by_batch(waiting, fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, first array<long>, end array<long>, kept_sha256 string")
     every = state.where("data IS NULL").select(*last.columns).unionByName(last)
     return every.select(
         "doc_id", "n_bytes", F.aggregate(F.zip_with("first", "end", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
