@@ -12,7 +12,8 @@ target by half its smallest document at most, unless the cap binds. Inside a siz
 the documents in an order given by a hash of the id; reruns agree.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order. Documents of size
-0 are never copied. Repeated rows are documents of their own. An empty table gives no rows. Columns
+0 are never copied. Repeated rows are documents of their own, ids may be null or repeat. Long texts are
+counted whole. An empty table gives no rows. Columns
 other than id, text and source are ignored.
 """
 
@@ -33,8 +34,9 @@ SLICES = 64
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of the text."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, tag, size): words of the text, and a hash of it that tells apart the rows of an id."""
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), tag, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -115,9 +117,9 @@ def whole_copies(rates: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies) for every row; ``copies`` says how
+    """(doc_id, source, tag, size, source_size, target, rate, copies) for every row; ``copies`` says how
     often the mix takes the document."""
-    sizes = cut(document_sizes(docs).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int")), "sizes")
+    sizes = cut(document_sizes(docs).withColumn("slice", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SLICES)).cast("int")), "sizes")
     by_slice = sizes.groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
     by_slice = cut(by_slice, "slices")
     counts = by_slice.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -129,13 +131,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     plan = by_slice.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("slice").alias("l"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     plan = plan.join(copies.select("source", "size", "n", "copies", "rate"), F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")), "left").drop("source", "size")
     plan = plan.join(targets.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    inside = Window.partitionBy("source", "size", "slice").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    inside = Window.partitionBy("source", "size", "slice").orderBy(F.xxhash64("doc_id", "tag", F.lit(7)), "doc_id", "tag")
     numbered = sizes.withColumn("place", F.row_number().over(inside) - 1)
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("slice") == F.col("l"))
     placed = numbered.join(plan, on, "left")
     extra = (F.col("ahead") + F.col("place") < F.expr("copies % n")).cast("long")
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce(F.expr("copies DIV n") + extra, F.lit(0)).cast("long").alias("copies")
+        "doc_id", "source", "tag", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce(F.expr("copies DIV n") + extra, F.lit(0)).cast("long").alias("copies")
     )
 
 
