@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -113,8 +113,23 @@ def labelled_sample(labels: DataFrame, target: str, limits: dict[int, int], keep
     return out
 
 
-def sample_texts(docs: DataFrame, sample: DataFrame) -> tuple[list[bytes], list[int]]:
-    """Texts (UTF-8, null as empty) and labels of a bounded sample, in order of the id."""
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    rows = picked.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+#: Bytes of text that a sample brings to the driver.
+SAMPLE_BYTES = 64 << 20
+
+
+def sampled_rows(docs: DataFrame, sample: DataFrame, limit: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, label) of a bounded sample (doc_id, label), with one text an id (the smallest, if an
+    id repeats; null as empty). In the order of the sample, rows are taken as long as their
+    texts come to ``limit`` bytes together; a single longer text is left out."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    small = own.where(F.octet_length("text") <= limit)
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    taken = small.select("doc_id", F.sum(F.octet_length("text").cast("long")).over(order).alias("bytes")).where(F.col("bytes") <= limit).select("doc_id")
+    return small.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "label")
+
+
+def sample_texts(docs: DataFrame, sample: DataFrame, limit: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int]]:
+    """Texts (UTF-8, null as empty) and labels of a bounded sample, in order of the id: at most as many
+    rows as the sample has, and ``limit`` bytes of text."""
+    rows = sampled_rows(docs, sample, limit).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return [t.encode() for t in rows.column("text").to_pylist()], rows.column("label").to_pylist()

@@ -166,7 +166,9 @@ def train(stats: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, ma
     from .common import held_out
 
     sample = labelled_sample(labels, "quality", {0: max_rows, 1: max_rows}, ~held_out(F.col("doc_id"), folds, fold))
-    got = stats.join(F.broadcast(sample), "doc_id").select("doc_id", *FEATURES, "label").toArrow().sort_by("doc_id")
+    # One row an id, whatever the table repeats: the sample stays as small as its bound.
+    picked = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*FEATURES)).alias("own"))
+    got = picked.select("doc_id", "own.*", "label").toArrow().sort_by("doc_id")
     rows = np.stack([got.column(c).to_numpy() for c in FEATURES], axis=1) if got.num_rows else np.zeros((0, len(FEATURES)))
     return grow(rows, got.column("label").to_numpy(), list(FEATURES.values()))
 
