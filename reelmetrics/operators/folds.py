@@ -8,7 +8,7 @@ once, each from its own entry:
 * With ``tails`` the rule can start anew at some rows (a frame is kept, a scene opens).  Following
   the jumps from such a row to the next one gives the states in which a block can be left at all,
   usually one or two.  They are tried on the block that follows, and those that pass it unchanged
-  on twice as many blocks each time, so that 64 blocks take at most seven passes.  One walk over
+  on four times as many blocks each time, so that 64 blocks take at most seven passes.  One walk over
   the summaries of a key then tells every block its entry.
 * Without ``tails`` each block first assumes that the sequence begins with it; exits are handed on,
   and blocks whose entry changed run again until nothing changes: as many rounds as the number of
@@ -172,7 +172,7 @@ def _entries_by_rounds(long, keys, inputs, step, _tails, state_type, key_fields,
 
 
 def _entries_by_tails(long, keys, inputs, step, tails, state_type, key_fields, pass_over) -> DataFrame:
-    """(keys, block, _head): jumps inside blocks, states tried on 1, 2, 4, ... blocks, one walk a key."""
+    """(keys, block, _head): jumps inside blocks, states tried on 1, 4, 16, ... blocks, one walk a key."""
     group, place = [*keys, BLOCK], [*keys, "_rank"]
     schema = f"{key_fields}{BLOCK} bigint, _fresh boolean, _entry {state_type}, _exit {state_type}"
 
@@ -211,7 +211,7 @@ def _entries_by_tails(long, keys, inputs, step, tails, state_type, key_fields, p
         passed = asked.transform(key_join, new.select(*place, F.col("_entry").alias("_s"), "_exit"), [*place, "_s"])
         whole = passed.groupBy(*keys, "_s", "_blocks", "_from").agg(F.bool_and(F.col("_exit").eqNullSafe(F.col("_s"))).alias("_ok"), F.max("_rank").alias("_rank"))
         front = whole.where("_ok").select(*place, "_blocks", "_s").transform(key_join, left.select(*place, "_s"), [*place, "_s"], "left_anti")
-        ahead *= 2
+        ahead *= 4
 
     def walk(cols: dict[str, list]) -> list[list]:
         steps: dict[int, dict] = {}

@@ -171,7 +171,7 @@ def bar_geometry(df: DataFrame, keys: tuple[str, ...], width: int, height: int,
     """
     sides = ("top", "bottom", "left", "right")
     long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(s).alias("side"), C(s).cast("double").alias("v")) for s in sides])))
-    med = exact_percentiles(long, (*keys, "side"), "v", {"m": 0.5}, 64.0)
+    med = exact_percentiles(long, (*keys, "side"), "v", {"m": 0.5})
     med = med.groupBy(*keys).agg(*[F.max(F.when(C("side") == s, C("m"))).cast("int").alias(f"{s}_bar") for s in sides])
     spread = df.groupBy(*keys).agg(F.stddev_pop("top").alias("_st"), F.stddev_pop("bottom").alias("_sb"))
     out = med.transform(key_join, spread, keys)
@@ -494,11 +494,11 @@ def chunk_statistics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def median_array(df: DataFrame, keys: tuple[str, ...], arr: str, width: float = 1.0) -> DataFrame:
+def median_array(df: DataFrame, keys: tuple[str, ...], arr: str) -> DataFrame:
     """Element-wise median of arrays, cut to the shortest one."""
     shortest = df.groupBy(*keys).agg(F.min(F.size(arr)).alias("_len"))
     long = df.select(*keys, F.posexplode(arr).alias("_pos", "_v")).withColumn("_v", C("_v").cast("double"))
-    med = exact_percentiles(long, (*keys, "_pos"), "_v", {"_m": 0.5}, width)
+    med = exact_percentiles(long, (*keys, "_pos"), "_v", {"_m": 0.5})
     med = med.transform(key_join, shortest, keys).where(C("_pos") < C("_len"))
     return med.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_m"))), lambda x: x["_m"]).alias(f"median_{arr}")
@@ -719,7 +719,7 @@ def luminance_statistics(pixels: DataFrame, keys: tuple[str, ...], luma: str) ->
     """Luminance of a frame in nits, dynamic range in stops, clipped shares (8-bit input, 0-1)."""
     nits = F.pow(F.greatest(F.lit(0.001), F.least(F.lit(1.0), C(luma))), F.lit(2.2)) * 100.0
     lit = pixels.select(*keys, C(luma).alias("_l"), nits.alias("_nits"))
-    peak = exact_percentiles(lit, keys, "_nits", {"peak_nits": 0.99}, 1.0)
+    peak = exact_percentiles(lit, keys, "_nits", {"peak_nits": 0.99})
     out = lit.groupBy(*keys).agg(
         F.min("_nits").alias("min_nits"),
         F.max("_nits").alias("max_nits"),
@@ -840,7 +840,7 @@ def light_levels(frames: DataFrame, keys: Sequence[str], is_hdr: Column) -> Data
     )
 
 
-def pooled_scores(df: DataFrame, keys: tuple[str, ...], score: str, width: float = 1.0) -> DataFrame:
+def pooled_scores(df: DataFrame, keys: tuple[str, ...], score: str) -> DataFrame:
     """Mean, min, max, deviation, harmonic mean and percentiles of frame scores."""
     ps = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
     out = df.groupBy(*keys).agg(
@@ -850,4 +850,4 @@ def pooled_scores(df: DataFrame, keys: tuple[str, ...], score: str, width: float
         F.stddev_pop(score).alias("std"),
         F.when(F.min(score) == 0, 0.0).otherwise(F.count(score) / F.sum(1 / F.nullif(C(score), L(0.0)))).alias("harmonic_mean"),
     )
-    return out.transform(key_join, exact_percentiles(df, keys, score, ps, width), keys)
+    return out.transform(key_join, exact_percentiles(df, keys, score, ps), keys)

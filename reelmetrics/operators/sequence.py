@@ -9,6 +9,10 @@ and every window runs over ``(keys, block)``.  What a row needs from outside its
 * from a **halo**: copies of the few rows next to a block edge - used for row frames, where the
   order column is a gap-free position (frame number), so that the edge is plain arithmetic.
 
+Blocks of ``Seq(rows=n)`` are bounded in rows instead: the rows are sorted across the cluster by
+sampled splitters, so a key that holds most rows of one hour is cut like any other.  Such a frame is
+counted first and, unless it fits one block, kept in a reliable checkpoint.
+
 ``Seq(width=None)`` declares that keys are known to be small and uses plain windows; results
 are the same, which the tests check.
 """
@@ -16,7 +20,7 @@ are the same, which the tests check.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,6 +32,8 @@ from ..session import durable_checkpoint
 BLOCK = "_blk"
 PART = "_part"
 DEFAULT_WIDTH = 65536
+#: Rows that one task may sort and scan where blocks are bounded in rows.
+TARGET_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -35,12 +41,14 @@ class Seq:
     """Rows of ``keys`` ordered by ``order`` (unique inside a key).
 
     ``width`` is the block width in units of the first order column (seconds for
-    timestamps); pick it so that one block of one key fits comfortably in a task.
+    timestamps); pick it so that one block of one key fits comfortably in a task.  With ``rows`` blocks
+    have at most about that many rows whatever the order column holds, and ``width`` is ignored.
     """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     width: float | None = DEFAULT_WIDTH
+    rows: int | None = None
 
     @property
     def first(self) -> str:
@@ -73,7 +81,25 @@ def _position(df: DataFrame, seq: Seq) -> Column:
     return F.col(seq.first)
 
 
+def settle(df: DataFrame, seq: Seq) -> tuple[DataFrame, Seq]:
+    """Cut a frame whose blocks are bounded in rows: (frame with its blocks, sequence to go on with).
+
+    Runs at once: a count and, for more rows than one block takes, a sort by sampled splitters of twice
+    as many blocks as needed, which leaves room for the error of the sample.
+    """
+    if seq.rows is None or BLOCK in df.columns:
+        return df, seq
+    total = df.count()
+    if total <= seq.rows:
+        return df, replace(seq, rows=None, width=None)
+    blocks = -(-2 * total // seq.rows)
+    ranged = df.repartitionByRange(blocks, *seq.keys, *seq.order).withColumn(BLOCK, F.spark_partition_id().cast("long"))
+    return durable_checkpoint(ranged), replace(seq, width=DEFAULT_WIDTH)
+
+
 def with_block(df: DataFrame, seq: Seq) -> DataFrame:
+    if seq.rows is not None:
+        return in_block(df, seq.keys)
     if seq.width is None:
         return in_block(df.withColumn(BLOCK, F.lit(0).cast("long")), seq.keys)
     return in_block(df.withColumn(BLOCK, F.floor(_position(df, seq) / F.lit(seq.width)).cast("long")), seq.keys)
@@ -131,6 +157,7 @@ def running(
     ``last`` is the last non-null value so far (``reverse``: the next one); with
     ``inclusive=False`` the current row is left out.
     """
+    df, seq = settle(df, seq)
     blocked = with_block(df, seq)
     frame = seq.window(reverse).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
 
@@ -156,7 +183,7 @@ def running(
                 out[n] = F.least(here, there)
             else:
                 out[n] = F.coalesce(here, there)
-    keep = [c for c in df.columns if c not in spec]
+    keep = [c for c in df.columns if c not in spec and c != BLOCK]
     return local.select(*keep, *[c.alias(n) for n, c in out.items()])
 
 
@@ -180,6 +207,7 @@ def neighbours(
         return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in cols.items()])
 
     sides = [(side, pack(cols), cols) for side, cols in (("p", prev), ("n", nxt)) if cols]
+    df, seq = settle(df, seq)
     blocked = with_block(df, seq)
     order = seq.window()
     local = {s: (F.lag if s == "p" else F.lead)(packed, 1).over(order).alias(f"_{s}") for s, packed, _ in sides}
@@ -195,11 +223,12 @@ def neighbours(
         out = out.join(in_block(edges, seq.keys).drop(*seq.keys, BLOCK), PART, "left")
         out = out.withColumns({f"_{s}": F.coalesce(f"_{s}", f"_c{s}") for s, _, _ in sides})
     new = {n: F.col(f"_{s}.{n}") for s, _, cols in sides for n in cols}
-    return out.select(*[c for c in df.columns if c not in new], *[c.alias(n) for n, c in new.items()])
+    return out.select(*[c for c in df.columns if c not in new and c != BLOCK], *[c.alias(n) for n, c in new.items()])
 
 
 def surrounding(df: DataFrame, seq: Seq, value: Column, prev_name: str, next_name: str) -> DataFrame:
     """Last non-null value up to and including the row, and the next one after it."""
+    df, seq = settle(df, seq)
     blocked = with_block(df.withColumn("_v", value), seq)
     order = seq.window()
     out = blocked.select(
@@ -222,7 +251,7 @@ def surrounding(df: DataFrame, seq: Seq, value: Column, prev_name: str, next_nam
         out = out.join(in_block(edges, seq.keys).drop(*seq.keys, BLOCK), PART, "left").withColumns(
             {"_p": F.coalesce("_p", "_cp"), "_n": F.coalesce("_n", "_cn")}
         )
-    return out.select(*df.columns, F.col("_p").alias(prev_name), F.col("_n").alias(next_name))
+    return out.select(*[c for c in df.columns if c != BLOCK], F.col("_p").alias(prev_name), F.col("_n").alias(next_name))
 
 
 def adjacent(df: DataFrame, seq: Seq, cols: Mapping[str, Column | str], direction: int = -1) -> DataFrame:
@@ -299,6 +328,7 @@ def segments(
     across block edges, so a long run or a hot key costs one partial row per block and the input is
     read once.
     """
+    df, seq = settle(df, seq)
     blocked = with_block(df, seq).withColumn("_start", F.when(F.coalesce(starts, F.lit(False)), F.col(seq.first)))
     order = seq.window()
     local = blocked.withColumn(

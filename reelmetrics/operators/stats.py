@@ -9,20 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sequence import Seq, key_join, running
+from .sequence import TARGET_ROWS, Seq, key_join, running
 
 
 def exact_percentiles(
-    df: DataFrame, keys: tuple[str, ...], value: str, ps: dict[str, float], width: float | None = 1.0
+    df: DataFrame, keys: tuple[str, ...], value: str, ps: dict[str, float], width: float | None = None, rows: int | None = TARGET_ROWS
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key, ``{name: p}``; nulls are skipped.
 
     The built-in exact percentile holds all distinct values of a group in one buffer.  Here equal
-    values are counted first and the ranks are found from running counts over value blocks of
-    ``width``, so that a group of any size is spread over many tasks.
+    values are counted first and the ranks are found from running counts over blocks of at most about
+    ``rows`` distinct values (with ``rows=None``: value blocks of ``width``), so that a group of any size
+    and any distribution is spread over many tasks.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running(counted, Seq(keys, (value,), width), {"_cum": ("sum", F.col("_c"))})
+    ranked = running(counted, Seq(keys, (value,), width, rows), {"_cum": ("sum", F.col("_c"))})
     n = df.groupBy(*keys).agg(F.count(value).alias("_n"))
     ranked = ranked.transform(key_join, n, keys)
     spots = {name: (F.col("_n") - 1) * p for name, p in ps.items()}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import Seq, key_join, running
+from .sequence import TARGET_ROWS, Seq, key_join, running
 
 C, L = F.col, F.lit
 
@@ -27,12 +27,13 @@ def next_frame(df: DataFrame, job: str, frame: str, pending: Column) -> DataFram
     return df.where(pending).groupBy(job).agg(F.min(frame).alias("next_frame"))
 
 
-def eviction_list(index: DataFrame, order: Sequence[str], size: str, bytes_needed: int, width: float) -> DataFrame:
+def eviction_list(index: DataFrame, order: Sequence[str], size: str, bytes_needed: int, rows: int = TARGET_ROWS) -> DataFrame:
     """T5: least recently used entries until enough bytes are freed.
 
-    The running size is computed per block of the access time, so the index is never sorted in one task.
+    The running size is computed in blocks of at most about ``rows`` entries, so the index is never sorted
+    in one task.
     """
-    out = running(index, Seq((), tuple(order), width), {"freed": ("sum", C(size))})
+    out = running(index, Seq((), tuple(order), rows=rows), {"freed": ("sum", C(size))})
     return out.where(C("freed") - C(size) < bytes_needed)
 
 

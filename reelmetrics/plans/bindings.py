@@ -7,15 +7,15 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sequence import Seq, number_rows
+from ..operators.sequence import TARGET_ROWS, Seq, number_rows
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# One block of the raw event order is a week; one block of the numbered timeline 65,536 frames.
-EVENT_ORDER = Seq(("video_id",), ("ts", "event_id"), 7 * 86400)
+# Blocks of the raw event order are bounded in rows; one block of the numbered timeline is 65,536 frames.
+EVENT_ORDER = Seq(("video_id",), ("ts", "event_id"), rows=TARGET_ROWS)
 TIMELINE = Seq(("video_id",), ("frame_no",))
 JOB_KEYS = ("job_id", "frame_no")
 

@@ -487,7 +487,7 @@ def _(t):
 @query("A40_median_arrays", """WITH x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, median(CAST(v AS DOUBLE)) AS m FROM x GROUP BY 1, 2)
 SELECT label, list(round(m, 6) ORDER BY i) AS median_embedding FROM m GROUP BY 1""")
 def _(t):
-    out = ru.median_array(t.embeddings, ("label",), "embedding", 0.05)
+    out = ru.median_array(t.embeddings, ("label",), "embedding")
     return out.withColumn("median_embedding", F.transform("median_embedding", lambda x: F.round(x, 6)))
 
 
@@ -679,5 +679,5 @@ def _(t):
 
 @query("A66_pooled_scores", "SELECT user_id, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(stddev_pop(value), 6) AS std, round(count(*) / sum(1 / value), 6) AS harmonic_mean, " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{n}" for n, p in ((5, "0.05"), (25, "0.25"), (50, "0.5"), (75, "0.75"), (95, "0.95"))) + " FROM events GROUP BY 1")
 def _(t):
-    out = ru.pooled_scores(t.events, ("user_id",), "value", 16.0)
+    out = ru.pooled_scores(t.events, ("user_id",), "value")
     return rounded(out, "mean", "std", "harmonic_mean", "p5", "p25", "p50", "p75", "p95")

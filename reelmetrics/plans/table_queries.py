@@ -45,7 +45,7 @@ def _(t):
 @query("T5_eviction_list", """WITH e AS (SELECT o_orderkey, o_orderdate, CAST(floor(o_totalprice) AS BIGINT) AS sz FROM orders), r AS (SELECT *, sum(sz) OVER (ORDER BY o_orderdate, o_orderkey) AS freed FROM e) SELECT o_orderkey, sz, CAST(freed AS BIGINT) AS freed FROM r WHERE freed - sz < 90000000""")
 def _(t):
     df = t.orders.select("o_orderkey", C("o_orderdate").cast("timestamp").alias("o_orderdate"), F.floor("o_totalprice").alias("sz"))
-    return tb.eviction_list(df, ["o_orderdate", "o_orderkey"], "sz", 90_000_000, 90 * 86400).select("o_orderkey", "sz", "freed")
+    return tb.eviction_list(df, ["o_orderdate", "o_orderkey"], "sz", 90_000_000).select("o_orderkey", "sz", "freed")
 
 
 @query("T6_stale_entries", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 2000 DAY")
