@@ -8,12 +8,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .folds import by_group
 from .sequence import Seq, adjacent, framed, key_join, neighbours, number_rows, running, segments
 
 
@@ -645,45 +644,115 @@ def neighbour_outliers(df: DataFrame, seq: Seq, level: str, full_scale: float =
     return framed(df, seq, -1, 1, exprs)
 
 
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _lag_sums(a: pa.Array, b: pa.Array, same: pa.Array) -> pa.Array:
-    """Sums of products of two blocks, by growing lag; from lag 0 on if they are the ``same`` block. Null
-    where no product of the lag has both values."""
+#: Rows of a key whose transform is one call, and the side of the tiles in which longer ones travel.
+WHOLE, TILE = 1 << 16, 32
 
-    def one(left, right, same):
-        first = len(left) - 1 if same else 0
-        x, y = (v.fill_null(0.0).to_numpy(zero_copy_only=False) for v in (left, right))
-        sums = np.correlate(y, x, "full")[first:]
-        if not left.null_count and not right.null_count:
-            return pa.array(sums)
-        x, y = (v.is_valid().to_numpy(zero_copy_only=False).astype(float) for v in (left, right))
-        return pa.array(sums, mask=np.correlate(y, x, "full")[first:] < 0.5)
 
-    rows = [one(left.values, right.values, is_same) for left, right, is_same in zip(a, b, same.to_pylist())]
-    ends = np.cumsum([0, *map(len, rows)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(rows) if rows else pa.array([], pa.float64()))
+def lag_sums(df: DataFrame, seq: Seq, value: str, whole: int = WHOLE, tile: int = TILE) -> DataFrame:
+    """(keys, ``_lag``, ``_s``): sums of products of ``value`` with itself at every lag of a key, null where
+    no product has both values.  By Fourier transform: the power of the transform, transformed back.
 
-
-def periodic_motion(df: DataFrame, seq: Seq, value: str, peaks: int = 3, distance: int = 5, block: int = 16384) -> DataFrame:
+    A key of more than ``whole`` rows is laid out as a matrix of about as many rows as columns and is
+    transformed along the columns, turned by the phase of each cell, and transformed along the rows; the
+    way back begins on the same rows.  Matrices travel in tiles and a task holds a band of columns or
+    rows, so a key of n rows takes three shuffles and n log n steps, and no task more than a band.
+    """
+    keys = [*seq.keys]
+    numbered = number_rows(df.select(*keys, *seq.order, F.col(value).cast("double").alias("_x")), seq, "_at", 0).select(*keys, "_at", "_x")
+    size = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count("_x").alias("_known"))
+    rows = numbered.transform(key_join, size, keys)
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def correlate(x: np.ndarray) -> np.ndarray:
+        n = 1 << (2 * len(x) - 1).bit_length()
+        return np.fft.irfft(np.abs(np.fft.rfft(x, n)) ** 2, n)[: len(x)]
+
+    def at_once(cols: dict[str, list]) -> list[list]:
+        x = np.array([0.0 if v is None else v for v in cols["_x"]])
+        sums = correlate(x).tolist()
+        if cols["_known"][0] < len(x):
+            both = correlate(np.array([v is not None for v in cols["_x"]], dtype=float))
+            sums = [s if c >= 0.5 else None for s, c in zip(sums, both.tolist())]
+        return [*([cols[k][0]] * len(x) for k in keys), list(range(len(x))), sums]
+
+    short = by_group(rows.where(F.col("_n") <= whole), keys, ["_at"], at_once, f"{kinds}_lag bigint, _s double")
+    if size.where(F.col("_n") > whole).isEmpty():
+        return short
+
+    # Value i of a key stands in row i div C and column i mod C of R rows and C columns; R C >= 2 n.
+    bits = F.ceil(F.log2(2 * F.col("_n")) - 1e-9).cast("int")
+    down = F.shiftright(bits, 1)
+    cells = rows.where(F.col("_n") > whole).withColumns({"_bits": bits, "_down": down})
+    plain = cells.withColumns({"_kind": F.lit(0), "_v": F.coalesce("_x", F.lit(0.0))})
+    gaps = cells.where("_known < _n").withColumns({"_kind": F.lit(1), "_v": F.col("_x").isNotNull().cast("double")})
+    across = F.expr("shiftleft(1L, _bits - _down)")
+    laid = plain.unionByName(gaps).withColumns({"_row": F.floor(F.col("_at") / across).cast("long"), "_col": F.pmod(F.col("_at"), across)})
+    laid = laid.withColumn("_band", F.floor(F.col("_col") / tile).cast("long"))
+    group = [*keys, "_kind", "_band"]
+    shape = f"{kinds}_kind int, _n bigint, _bits int, _down int"
+    tiles = f"{shape}, _band bigint, _from bigint, _cell binary"
+
+    def sides(cols):
+        down = 1 << cols["_down"][0]
+        return down, (1 << cols["_bits"][0]) // down, cols["_band"][0] * tile
+
+    def turned(spectrum: np.ndarray, own: int, width: int, total: int) -> np.ndarray:
+        """Cells of (frequency, column from ``own`` on) by the phase of their product."""
+        phase = np.outer(np.arange(len(spectrum)), own + np.arange(width)) % total
+        return spectrum * np.exp(-2j * np.pi * phase / total)
+
+    def told(cols, matrix: np.ndarray) -> list[list]:
+        """Tiles of a band's matrix (other side, band), by the band of the other side they belong to."""
+        cuts = [matrix[k : k + tile] for k in range(0, len(matrix), tile)]
+        head = [[cols[c][0]] * len(cuts) for c in (*keys, "_kind", "_n", "_bits", "_down")]
+        return [*head, list(range(len(cuts))), [cols["_band"][0]] * len(cuts), [np.ascontiguousarray(c).tobytes() for c in cuts]]
+
+    def assembled(cols, height: int) -> np.ndarray:
+        """The tiles of a band, side by side in the order of their origin."""
+        parts = [np.frombuffer(c, dtype=np.complex128).reshape(height, -1) for c in cols["_cell"]]
+        return np.concatenate(parts, axis=1)
+
+    def columns(cols):
+        r, c, first = sides(cols)
+        width = min(tile, c - first)
+        x = np.zeros((r, width))
+        x[np.array(cols["_row"]), np.array(cols["_col"]) - first] = cols["_v"]
+        return told(cols, turned(np.fft.fft(x, axis=0), first, width, r * c))
+
+    def power(cols):
+        r, c, first = sides(cols)
+        height = min(tile, r - first)
+        freq = np.abs(np.fft.fft(assembled(cols, height), axis=1)) ** 2
+        return told(cols, turned(np.fft.fft(freq, axis=1).T, first, height, r * c))
+
+    def back(cols):
+        r, c, first = sides(cols)
+        width, n = min(tile, c - first), cols["_n"][0]
+        sums = np.fft.fft(assembled(cols, width), axis=1).real / (r * c)
+        lag = first + np.arange(width)[:, None] + c * np.arange(r)[None, :]
+        kept = lag < n
+        lag, sums = lag[kept], sums[kept]
+        return [*([cols[k][0]] * len(lag) for k in (*keys, "_kind")), lag.tolist(), sums.tolist()]
+
+    first = by_group(laid.select(*group, "_n", "_bits", "_down", "_row", "_col", "_v"), group, [], columns, tiles)
+    second = by_group(first, group, ["_from"], power, tiles)
+    third = by_group(second, group, ["_from"], back, f"{kinds}_kind int, _lag bigint, _s double")
+    both = third.groupBy(*keys, "_lag").agg(F.max(F.when(F.col("_kind") == 0, F.col("_s"))).alias("_s"), F.max(F.when(F.col("_kind") == 1, F.col("_s"))).alias("_c"))
+    return short.unionByName(both.select(*keys, "_lag", F.when(F.coalesce("_c", F.lit(1.0)) >= 0.5, F.col("_s")).alias("_s")))
+
+
+def periodic_motion(df: DataFrame, seq: Seq, value: str, peaks: int = 3, distance: int = 5, block: int = 16384, whole: int = WHOLE) -> DataFrame:
     """per key, whether the autocorrelation of ``value`` over all lags has more than ``peaks`` peaks.
 
-    The rows of a key are cut into blocks of ``block`` values; every two blocks are one row, which gives
-    the sums of products at the lags between them. A peak is a lag whose sum exceeds both neighbours'; of
-    peaks closer than ``distance`` the higher one counts. Each one that counts can hide only the few
-    peaks near it, so the highest ones of a key are enough to find ``peaks + 1`` that count.
+    The sums come from :func:`lag_sums`. A peak is a lag whose sum exceeds both neighbours' by more than
+    rounding; of peaks closer than ``distance`` the higher one counts. Each one that counts can hide only
+    the few peaks near it, so the highest ones of a key are enough to find ``peaks + 1`` that count.
     """
     keys = [*seq.keys]
-    numbered = number_rows(df.select(*keys, *seq.order, F.col(value).cast("double").alias("_x")), seq, "_at", 0)
-    blocks = numbered.groupBy(*keys, F.floor(F.col("_at") / block).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_at", "_x")))["_x"].alias("_v"))
-    last = blocks.groupBy(*keys).agg(F.max("_b").alias("_last"))
-    left = blocks.transform(key_join, last, keys).select(*keys, F.col("_b").alias("_i"), F.explode(F.sequence("_b", "_last")).alias("_j"), F.col("_v").alias("_a"))
-    right = blocks.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("_i"), F.col("_b").alias("_j"), F.col("_v").alias("_c"))
-    same = F.col("_i") == F.col("_j")
-    pairs = left.transform(key_join, right, [*keys, "_i", "_j"]).withColumn("_sums", _lag_sums("_a", "_c", same))
-    base = F.when(same, 0).otherwise((F.col("_j") - F.col("_i") - 1) * block + 1)
-    products = pairs.select(*keys, base.alias("_base"), F.posexplode("_sums").alias("_k", "_s"))
-    sums = products.groupBy(*keys, (F.col("_base") + F.col("_k")).alias("_lag")).agg(F.sum("_s").alias("_s"))
-    over = lambda side: F.col("_s") > F.col(side) + 1e-9
+    sums = lag_sums(df, seq, value, whole)
+    least = sums.groupBy(*keys).agg(F.max(F.when(F.col("_lag") == 0, F.col("_s"))).alias("_energy"), F.max("_lag").alias("_last"))
+    last, sums = least, sums.transform(key_join, least, keys)
+    over = lambda side: F.col("_s") > F.col(side) + F.greatest(F.lit(1e-9), F.col("_energy") * 1e-13)
     tops = neighbours(sums, Seq(seq.keys, ("_lag",), block), {"_p": "_s"}, {"_n": "_s"}).where(over("_p") & over("_n"))
     highest = newest_n(tops, keys, ["_s", "_lag"], peaks * (1 + 2 * ((distance - 1) // 2)) + 1)
     ranked = highest.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_s").alias("v"), F.col("_lag").alias("k"))), asc=False).alias("_top"))

@@ -405,17 +405,16 @@ def _(t):
 @query(
     "F43_camera_motion",
     """WITH mo AS (SELECT video_id, frame_no, (value - 20) / (video_id % 40 + 1) AS dx,
-  CASE WHEN video_id % 3 = 0 THEN 9 * sin(frame_no * 0.7e0) ELSE (video_id % 30) / 3.0e0 END AS dy FROM frames),
+  CASE WHEN video_id % 3 = 0 THEN 9 * sin(frame_no * 2 * pi() / (20 + video_id % 41)) ELSE (video_id % 30) / 3.0e0 END AS dy FROM frames),
  l AS (SELECT *, dx - lag(dx) OVER w AS hx, dy - lag(dy) OVER w AS hy FROM mo WINDOW w AS (PARTITION BY video_id ORDER BY frame_no)),
  g AS (SELECT video_id, count(*) AS n, avg(sqrt(dx * dx + dy * dy)) AS m, avg(dx) AS mx, avg(dy) AS my, stddev_pop(dx) AS sx, stddev_pop(dy) AS sy, stddev_pop(hx) + stddev_pop(hy) AS hf FROM l GROUP BY 1),
- lg AS (SELECT unnest(range(0, 65)) AS lag_no),
- ac AS (SELECT a.video_id, lag_no, sum(a.dy * b.dy) AS v FROM mo a JOIN lg ON true JOIN mo b ON b.video_id = a.video_id AND b.frame_no = a.frame_no + lag_no GROUP BY 1, 2),
+ ac AS (SELECT a.video_id, b.frame_no - a.frame_no AS lag_no, sum(a.dy * b.dy) AS v FROM mo a JOIN mo b ON b.video_id = a.video_id AND b.frame_no >= a.frame_no GROUP BY 1, 2),
  pk AS (SELECT video_id, count(*) AS peaks FROM (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM ac WINDOW w AS (PARTITION BY video_id ORDER BY lag_no)) WHERE v > p + 1e-9 AND v > q + 1e-9 GROUP BY 1)
 SELECT g.video_id, CASE WHEN m < 0.5e0 THEN 'static' WHEN abs(mx) / (sx + 1) + abs(my) / (sy + 1) > 2 THEN 'panning' WHEN hf > 5 AND m < 20 THEN 'handheld'
   WHEN n > 20 AND coalesce(peaks, 0) > 3 THEN 'walking' ELSE 'handheld' END AS motion, round(m, 6) AS magnitude, round(hf, 6) AS jitter FROM g LEFT JOIN pk ON pk.video_id = g.video_id""",
 )
 def _(t):
-    dy = F.when(C("video_id") % 3 == 0, F.sin(C("frame_no") * 0.7) * 9).otherwise((C("video_id") % 30) / 3.0)
+    dy = F.when(C("video_id") % 3 == 0, F.sin(C("frame_no") * 2 * F.pi() / (C("video_id") % 41 + 20)) * 9).otherwise((C("video_id") % 30) / 3.0)
     df = t.frames.select("video_id", "frame_no", ((C("value") - 20) / (C("video_id") % 40 + 1)).alias("dx"), dy.alias("dy"))
     g = tl.lagged(df, TIMELINE, {"px": "dx", "py": "dy"}).groupBy("video_id").agg(
         F.count(L(1)).alias("n"), F.avg(F.sqrt(C("dx") * C("dx") + C("dy") * C("dy"))).alias("m"), F.avg("dx").alias("mx"), F.avg("dy").alias("my"), F.stddev_pop("dx").alias("sx"), F.stddev_pop("dy").alias("sy"),

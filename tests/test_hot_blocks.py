@@ -3,10 +3,11 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelmetrics.operators import folds, jobs, sequence, stats, tables
+from reelmetrics.operators import folds, jobs, sequence, stats, tables, timeline
 from reelmetrics.operators.sequence import BLOCK, Seq
 
 T0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -147,3 +148,32 @@ def test_averages_over_many_stretches(spark, alpha, stretch):
     assert set(got) == set(series)
     for k, xs in series.items():
         assert [got[k][i] for i in range(len(xs))] == pytest.approx(plain_ema(xs, alpha), rel=1e-9, abs=1e-300)
+
+
+# --- sums of products at all lags --------------------------------------------------------------
+@pytest.mark.parametrize("whole", [1 << 16, 8])
+def test_lag_sums_equal_direct_ones(spark, whole):
+    rng = np.random.default_rng(3)
+    series = {1: rng.normal(size=300).tolist(), 2: [1.0], 3: np.sin(np.arange(500) / 7).tolist(), None: rng.normal(size=40).tolist()}
+    series[4] = [None if k % 3 == 0 or k > 50 else float(k) for k in range(90)]
+    df = spark.createDataFrame([(k, i, x) for k, xs in series.items() for i, x in enumerate(xs)], "v int, n long, x double").repartition(4)
+    got = {}
+    for r in timeline.lag_sums(df, Seq(("v",), ("n",), 64), "x", whole, 4).collect():
+        got.setdefault(r["v"], {})[r["_lag"]] = r["_s"]
+    for k, xs in series.items():
+        assert sorted(got[k]) == list(range(len(xs)))
+        for lag in range(len(xs)):
+            pairs = [a * b for a, b in zip(xs, xs[lag:]) if a is not None and b is not None]
+            assert (got[k][lag] is None) == (not pairs)
+            assert not pairs or got[k][lag] == pytest.approx(sum(pairs), abs=1e-8)
+
+
+def test_a_million_frames_of_one_key(spark):
+    df = spark.range(1 << 20).select(F.lit(1).alias("v"), F.col("id").alias("n"), F.sin(F.col("id") * 2 * F.pi() / 45).alias("x"))
+    sums = timeline.lag_sums(df, Seq(("v",), ("n",), 1 << 17), "x")
+    assert sums.count() == 1 << 20
+    some = {r["_lag"]: r["_s"] for r in sums.where("_lag < 100").collect()}
+    x = np.sin(np.arange(1 << 20) * 2 * np.pi / 45)
+    for lag in (0, 1, 22, 45, 99):
+        assert some[lag] == pytest.approx(float(x[: len(x) - lag] @ x[lag:]), rel=1e-9)
+    assert timeline.periodic_motion(df, Seq(("v",), ("n",), 1 << 17), "x").first()["periodic"]
