@@ -231,12 +231,13 @@ def _(t):
  z AS (SELECT *, n / 100.0e0 + n / (CASE tier WHEN 'cpu' THEN 0.05e0 WHEN 'high_end_gpu' THEN 2.5e0 WHEN 'mid_gpu' THEN 1 ELSE 0.3e0 END / (w * h / 2073600.0e0 * (sc / 4.0e0))) + CASE WHEN itp THEN o / CASE tier WHEN 'cpu' THEN 0.5e0 WHEN 'high_end_gpu' THEN 30 WHEN 'mid_gpu' THEN 15 ELSE 5 END ELSE 0 END + o / 30.0e0 AS tot,
   n * CAST(floor(w * h * 1.5e0) AS BIGINT) + n * CAST(floor(w * sc * h * sc * 1.5e0) AS BIGINT) + CASE WHEN itp THEN o * CAST(floor(w * sc * h * sc * 1.5e0) AS BIGINT) ELSE 0 END + CASE WHEN au THEN CAST(floor(sec / 60 * 10 * 1024 * 1024) AS BIGINT) ELSE 0 END AS tmp,
   CAST(floor(sec * floor(w * sc * (h * sc) / 2073600.0e0 * 8000000 * pow(2.0e0, (18 - crf) / 6.0e0)) / 8) AS BIGINT) AS outb FROM y)
-SELECT ok, ln, pk, tier, CAST(floor(tot / 60 + 0.003e0) AS BIGINT) AS minutes, tmp AS temp_bytes, outb AS output_bytes, CAST(floor(w * sc * h * sc / 1e6 * 450) AS BIGINT) + 500 AS vram_mb, CASE WHEN floor(tot * 1.5e0 / 60) >= 120 THEN 'hours' ELSE CAST(floor(tot * 0.8e0 / 60) AS BIGINT) || '-' || CAST(floor(tot * 1.5e0 / 60) AS BIGINT) || ' minutes' END AS time_range FROM z""")
+SELECT ok, ln, pk, tier, round(tot / 3, 5) AS seconds_third, tmp AS temp_bytes, outb AS output_bytes, CAST(floor((tmp + outb) * 1.2e0) AS BIGINT) AS total_bytes, CAST(floor(w * sc * h * sc / 1e6 * 450) AS BIGINT) + 500 AS vram_mb,
+ CASE WHEN hi >= 120 THEN (lo + 3) // 6 // 10 || '.' || (lo + 3) // 6 % 10 || '-' || (hi + 3) // 6 // 10 || '.' || (hi + 3) // 6 % 10 || ' hours' ELSE lo || '-' || hi || ' minutes' END AS time_range
+ FROM (SELECT *, CAST(floor(tot * 0.8e0 / 60) AS BIGINT) AS lo, CAST(floor(tot * 1.5e0 / 60) AS BIGINT) AS hi FROM z)""")
 def _(t):
     d = est.dry_run(C("pk") * 30, C("pk") * 60, (C("q") * 40).cast("long"), (C("q") * 20).cast("long"), F.when(C("ln") % 2 == 0, 4).otherwise(2), C("pk").cast("double"), C("ln") + 14, C("rf") != "R", C("ls") == "F", F.when(C("sk") % 4 != 0, C("sk") * 200), L("realesrgan-x4plus"))
     df = t.rows.select("ok", "ln", "pk", d.alias("d"))
-    text = F.when(C("d.time_range").endswith("hours"), "hours").otherwise(C("d.time_range"))
-    return df.select("ok", "ln", "pk", "d.tier", F.floor(C("d.seconds") / 60 + 0.003).alias("minutes"), "d.temp_bytes", "d.output_bytes", "d.vram_mb", text.alias("time_range"))
+    return df.select("ok", "ln", "pk", "d.tier", F.round(C("d.seconds") / 3, 5).alias("seconds_third"), "d.temp_bytes", "d.output_bytes", "d.total_bytes", "d.vram_mb", "d.time_range")
 
 
 over_rows("X20_psnr_from_mse", "round(CASE WHEN d > 0 THEN 10 * log10(65025 / (d * 100)) ELSE 100 END, 6) AS psnr, CASE WHEN d > 0 THEN NULL ELSE CAST('inf' AS DOUBLE) END AS lossless",

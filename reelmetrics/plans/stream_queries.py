@@ -306,13 +306,43 @@ def _(t):
     return t.spark.sql("SELECT o_orderkey, f.entry_no, f.frame_no FROM reel_indexes, LATERAL reel_frame_index(packed) f")
 
 
-@query("UD9_frame_features", PX + """, n AS (SELECT a.video_id, a.frame_no, a.x, a.y, a.p, u.p + d.p + l.p + r.p - 4 * a.p AS lap FROM xy a JOIN xy u ON u.frame_no = a.frame_no AND u.x = a.x AND u.y = abs(a.y - 1) JOIN xy d ON d.frame_no = a.frame_no AND d.x = a.x AND d.y = 7 - abs(7 - (a.y + 1)) JOIN xy l ON l.frame_no = a.frame_no AND l.y = a.y AND l.x = abs(a.x - 1) JOIN xy r ON r.frame_no = a.frame_no AND r.y = a.y AND r.x = 7 - abs(7 - (a.x + 1))),
- m AS (SELECT frame_no, avg(p) AS m FROM xy GROUP BY 1)
-SELECT video_id, n.frame_no, round(avg(p), 6) AS brightness, round(stddev_pop(p), 6) AS contrast, round(var_pop(lap) / 3, 6) AS sharpness_third, count(CASE WHEN p > m THEN 1 END) AS hash_bits, round(avg(CASE WHEN p < 5 THEN 1.0e0 ELSE 0.0e0 END), 6) AS dark_share FROM n JOIN m USING (frame_no) GROUP BY 1, 2""")
+#: Place of a row or column beyond the edge of 8, reflected at the edge.
+EDGE = "7 - abs(7 - abs({0}))"
+WORD = "list_sum(list_transform(range(64), lambda i: CASE WHEN {0} THEN CAST(pow(2::DOUBLE, 63 - i) AS HUGEINT) ELSE 0::HUGEINT END))"
+SIGNED = "CAST(CASE WHEN {0} >= 9223372036854775808::HUGEINT THEN {0} - 18446744073709551616::HUGEINT ELSE {0} END AS VARCHAR)"
+
+
+def five(values, at):
+    """A pass of the five-tap blur over the values of a list, along rows or columns."""
+    return f"list_transform(range(64), lambda i: list_sum(list_transform(range(5), lambda j: ([1.0e0, 4, 6, 4, 1])[j + 1] / 16.0e0 * {values}[{at}])))"
+
+
+UD9 = f"""{PX}, a AS (SELECT video_id, frame_no, list(p ORDER BY i) AS a, avg(p) AS mean, stddev_pop(p) AS contrast FROM (SELECT video_id, frame_no, y * 8 + x AS i, p FROM xy) GROUP BY 1, 2),
+ l AS (SELECT *, list_transform(range(64), lambda i: a[({EDGE.format('i // 8 - 1')}) * 8 + i % 8 + 1] + a[({EDGE.format('i // 8 + 1')}) * 8 + i % 8 + 1]
+   + a[i // 8 * 8 + {EDGE.format('i % 8 - 1')} + 1] + a[i // 8 * 8 + {EDGE.format('i % 8 + 1')} + 1] - 4 * a[i + 1]) AS lap,
+  {five('a', f"({EDGE.format('i // 8 + j - 2')}) * 8 + i % 8 + 1")} AS b FROM a),
+ r AS (SELECT *, list_transform({five('b', f"i // 8 * 8 + {EDGE.format('i % 8 + j - 2')} + 1")}, lambda v, n: a[n] - v) AS rest FROM l),
+ d AS (SELECT *, list_aggregate(rest, 'median') AS middle,
+  len(list_filter(range(49), lambda k: abs(a[k // 7 * 8 + k % 7 + 9] - a[k // 7 * 8 + k % 7 + 1]) > 30 OR abs(a[k // 7 * 8 + k % 7 + 2] - a[k // 7 * 8 + k % 7 + 1]) > 30)) / 49.0e0 AS edges,
+  {WORD.format('a[i + 1] > mean')} AS aw, {WORD.format('a[i % 56 // 7 * 8 + i % 56 % 7 + 1] > a[i % 56 // 7 * 8 + i % 56 % 7 + 2]')} AS dw FROM r)
+SELECT video_id, frame_no, round(mean, 6) AS brightness, round(contrast, 6) AS contrast, round(list_aggregate(lap, 'var_pop') / 3, 6) AS sharpness_third,
+ round(1.4826e0 * list_aggregate(list_transform(rest, lambda v: abs(v - middle)), 'median') / 3, 6) AS noise_third, round(edges, 6) AS edge_density,
+ round(len(list_filter(a, lambda v: v < 5)) / 64.0e0, 6) AS dark_share, round(len(list_filter(a, lambda v: v >= 251)) / 64.0e0, 6) AS bright_share,
+ {SIGNED.format('aw')} AS average_hash, {SIGNED.format('dw')} AS difference_hash, array_to_string(list_transform(a, lambda v: CAST(v AS BIGINT)), ',') AS thumb,
+ array_to_string(list_transform(range(256), lambda n: len(list_filter(a, lambda v: v = n))), ',') AS histogram FROM d"""
+
+
+@query("UD9_frame_features", UD9)
 def _(t):
+    """All eleven measurements; arrays as text, two shares of a third so that no value ends in a half."""
     out = ud.frame_features(images(t), ["video_id", "frame_no"])
-    bits = F.aggregate("average_hash", L(0).cast("long"), lambda s, w: s + F.bit_count(w))
-    return out.select("video_id", "frame_no", F.round("brightness", 6).alias("brightness"), F.round("contrast", 6).alias("contrast"), F.round(C("sharpness") / 3, 6).alias("sharpness_third"), bits.alias("hash_bits"), F.round("dark_share", 6).alias("dark_share"))
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("long").cast("string")), ",").alias(c)
+    r = lambda c: F.round(c, 6).alias(c)
+    thirds = [F.round(C(c) / 3, 6).alias(f"{c}_third") for c in ("sharpness", "noise")]
+    return out.select(
+        "video_id", "frame_no", r("brightness"), r("contrast"), *thirds, r("edge_density"), r("dark_share"), r("bright_share"),
+        text("average_hash"), text("difference_hash"), text("thumb"), text("histogram"),
+    )
 
 
 @query("UD10_consecutive_scores", PX + """, o AS (SELECT video_id, frame_no, row_number() OVER (PARTITION BY video_id ORDER BY frame_no) AS r FROM (SELECT DISTINCT video_id, frame_no FROM xy)), a AS (SELECT xy.*, r FROM xy JOIN o USING (video_id, frame_no)),
