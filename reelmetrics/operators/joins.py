@@ -8,13 +8,15 @@ estimate or AQE proves small, and splits skewed partitions otherwise.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dims
-from .sequence import Seq, adjacent, segments, surrounding
+from ..session import durable_checkpoint
+from .sequence import TARGET_ROWS, Seq, adjacent, number_rows, segments, surrounding
 
 C, L = F.col, F.lit
 
@@ -326,39 +328,81 @@ def value_lookup(df: DataFrame, table: DataFrame, key: str, value: str, default:
 OFFER_NEEDS = ("gb", "disk_gb", "up_mbps", "down_mbps")
 
 
+def cheapest_offers(wanted: DataFrame, offers: DataFrame, keys: list[str], needs: list[str], k: int, block: int = 64) -> DataFrame:
+    """The ``k`` cheapest offers of each set of minima ``wanted`` (keys and ``_<need>``, all set): rows
+    (keys, minima, offer_id, price, offer_rank).
+
+    Offers stand in order of price in blocks of ``block``, with the maximum of each need, and the maxima
+    of ``block`` blocks make a page.  A set turns page after page, skips the blocks in which some maximum
+    is too small, reads the others in order and stops when it has ``k`` offers; pages and blocks a round
+    grow as long as it has not.  So a set meets about ``k / block`` blocks and those that only seem to fit.
+    """
+    sets = [f"_{n}" for n in needs]
+    own, on_set = list(keys), [*keys, *sets]
+    numbered = number_rows(offers.select(*own, "offer_id", "price", *needs), Seq(tuple(own), ("price", "offer_id"), rows=TARGET_ROWS), "_at", 0)
+    offer = F.struct("_at", "offer_id", "price", *(C(n).cast("double").alias(n) for n in needs))
+    blocks = numbered.groupBy(*own, F.expr(f"_at div {block}").alias("_b")).agg(F.sort_array(F.collect_list(offer)).alias("_offers"), *[F.max(C(n).cast("double")).alias(n) for n in needs])
+    blocks = durable_checkpoint(blocks)
+    pages = blocks.groupBy(*own, F.expr(f"_b div {block}").alias("_page")).agg(F.sort_array(F.collect_list(F.struct("_b", *needs))).alias("_index"))
+    pages = durable_checkpoint(pages)
+    last = pages.groupBy(*own).agg(F.max("_page").alias("_last"))
+    fits = lambda row: reduce(lambda x, y: x & y, (row[n] >= C(f"_{n}") for n in needs), L(True))
+    got_type = "array<struct<_at:bigint,offer_id:%s,price:%s>>" % tuple(offers.schema[c].dataType.simpleString() for c in ("offer_id", "price"))
+    state = wanted.select(*on_set).distinct()
+    state = state.join(last, own) if own else state.crossJoin(last)  # one row on the right
+    state = state.select(*on_set, "_last", L(0).cast("long").alias("_page"), L(-1).cast("long").alias("_after"), F.array().cast(got_type).alias("_got"))
+    state, found = durable_checkpoint(state), None
+    turn = 0
+    while True:
+        pages_now, blocks_now = 2**turn, 2**turn
+        end = F.least(C("_page") + pages_now, C("_last") + 1)
+        look = state.select(*on_set, "_after", F.explode(F.sequence("_page", end - 1)).alias("_page")).join(pages, [*own, "_page"])
+        seen = F.transform(F.filter("_index", lambda x: (x["_b"] > C("_after")) & fits(x)), lambda x: x["_b"])
+        listed = look.groupBy(*on_set).agg(F.array_sort(F.flatten(F.collect_list(seen))).alias("_all"))
+        plan = state.join(listed, on_set).withColumn("_read", F.slice("_all", 1, blocks_now)).withColumn("_end", end)
+        plan = durable_checkpoint(plan.withColumn("_left", F.size("_all") > blocks_now).drop("_all"))
+        read = plan.select(*on_set, F.explode("_read").alias("_b")).join(blocks.select(*own, "_b", "_offers"), [*own, "_b"])
+        good = F.transform(F.filter("_offers", fits), lambda x: F.struct(x["_at"].alias("_at"), x["offer_id"].alias("offer_id"), x["price"].alias("price")))
+        new = read.groupBy(*on_set).agg(F.flatten(F.collect_list(good)).alias("_new"))
+        merged = plan.join(new, on_set, "left").withColumn("_got", F.slice(F.array_sort(F.concat("_got", F.coalesce("_new", F.array().cast(got_type)))), 1, k))
+        after = F.when(C("_left"), F.element_at("_read", -1)).otherwise(C("_after"))
+        # With blocks left to read the page of the last one is looked at again.
+        nxt = merged.select(*on_set, "_last", F.when(C("_left"), F.floor(after / block)).otherwise(C("_end")).cast("long").alias("_page"), after.alias("_after"), "_got")
+        nxt = durable_checkpoint(nxt)
+        open_ = (F.size("_got") < k) & (C("_page") <= C("_last"))
+        done = nxt.where(~open_).select(*on_set, "_got")
+        found = done if found is None else found.unionByName(done)
+        state = nxt.where(open_)
+        if state.isEmpty():
+            break
+        turn += 1
+    flat = found.select(*on_set, F.posexplode("_got").alias("_rank", "_o"))
+    return flat.select(*on_set, "_o.offer_id", "_o.price", (C("_rank") + 1).cast("int").alias("offer_rank"))
+
+
 def suitable_offers(jobs: DataFrame, offers: DataFrame, k: int = 10) -> DataFrame:
     """Cheapest ``k`` offers per job; jobs without any offer of their model may take any model.
 
     ``jobs``: job_id, model, max_price and any of ``min_gb, min_disk_gb, min_up_mbps, min_down_mbps``;
     ``offers``: offer_id, model, price, the same names without ``min_`` and any of the flags verified,
-    rentable, external (true, true, false to count). A null requirement asks for nothing.
+    rentable, external (true, true, false to count). A null requirement asks for nothing, an offer with a
+    null where something is asked for does not fit.
 
-    The cheapest offers are looked for once per distinct set of requirements; a price limit only
-    shortens that list. Requirement sets and offers meet by power-of-two memory level (an offer stands
-    on every level up to its own), so there is no threshold table and no upper limit.
+    The cheapest offers are looked for once per distinct set of requirements (:func:`cheapest_offers`);
+    a price limit only shortens that list. Runs jobs while the plan is built.
     """
     needs = [n for n in OFFER_NEEDS if f"min_{n}" in jobs.columns and n in offers.columns]
     for flag, wanted in (("verified", True), ("rentable", True), ("external", False)):
         if flag in offers.columns:
             offers = offers.where(C(flag) == wanted)
-    level = lambda x: F.floor(F.log2(F.greatest(x.cast("double"), L(1.0)))).cast("int")
+    lowest = float("-inf")
+    offers = offers.select("offer_id", "model", "price", *(F.coalesce(C(n).cast("double"), L(lowest)).alias(n) for n in needs))
     asked = jobs.select("job_id", "model", "max_price", *[F.coalesce(C(f"min_{n}").cast("double"), L(0.0)).alias(f"_{n}") for n in needs])
     sets = [f"_{n}" for n in needs]
-    at = level(C("_gb")) if "gb" in needs else L(0)
-    stand = F.sequence(L(0), level(C("gb"))) if "gb" in needs else F.array(L(0))
-    shelf = offers.select("offer_id", "model", "price", *needs, F.explode(stand).alias("_level"))
-
-    def cheapest(keys: list[str]) -> DataFrame:
-        wanted = asked.select(*keys, *sets).distinct().withColumn("_level", at)
-        fits = L(True)
-        for n in needs:
-            fits = fits & (C(n) >= C(f"_{n}"))
-        found = wanted.join(shelf.select(*keys, "offer_id", "price", *needs, "_level"), [*keys, "_level"]).where(fits)
-        order = W.partitionBy(*keys, *sets).orderBy("price", "offer_id")
-        return found.withColumn("offer_rank", F.row_number().over(order)).where(C("offer_rank") <= k).select(*keys, *sets, "offer_id", "price", "offer_rank")
 
     def affordable(takers: DataFrame, keys: list[str], any_model: bool) -> DataFrame:
-        met = takers.join(cheapest(keys), [*keys, *sets]) if keys or sets else takers.crossJoin(cheapest(keys))
+        best = cheapest_offers(takers.select(*keys, *sets), offers, keys, needs, k)
+        met = takers.join(best, [*keys, *sets]) if keys or sets else takers.crossJoin(best)  # k rows on the right
         met = met.where(C("max_price").isNull() | (C("price") <= C("max_price")))
         return met.select("job_id", "offer_id", "price", "offer_rank", L(any_model).alias("any_model"))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelmetrics.operators import folds, jobs, sequence, stats, tables, timeline
+from reelmetrics.operators import folds, jobs, joins, sequence, stats, tables, timeline
 from reelmetrics.operators.sequence import BLOCK, Seq
 
 T0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -177,3 +177,38 @@ def test_a_million_frames_of_one_key(spark):
     for lag in (0, 1, 22, 45, 99):
         assert some[lag] == pytest.approx(float(x[: len(x) - lag] @ x[lag:]), rel=1e-9)
     assert timeline.periodic_motion(df, Seq(("v",), ("n",), 1 << 17), "x").first()["periodic"]
+
+
+# --- offers ------------------------------------------------------------------------------------
+@pytest.mark.parametrize("block", [3, 64])
+def test_cheapest_offers_equal_brute_force(spark, block):
+    """Needs that few blocks meet, that blocks seem to meet and do not, and that nothing meets."""
+    rng = random.Random(block)
+    offers = [(k, rng.choice(["A", "A", "A", "B", None]), float(rng.randrange(30)), float(rng.choice([1, 2, 4, 900])), float(rng.choice([5, 6, 70]))) for k in range(400)]
+    wanted = [(m, float(a), float(b)) for m in ("A", "B", "C", None) for a in (0, 2, 3, 900, 901) for b in (0, 6, 70)]
+    odf = spark.createDataFrame(offers, "offer_id int, model string, price double, gb double, disk_gb double")
+    wdf = spark.createDataFrame(wanted * 2, "model string, _gb double, _disk_gb double")
+    for keys in (["model"], []):
+        rows = joins.cheapest_offers(wdf.select(*keys, "_gb", "_disk_gb"), odf, keys, ["gb", "disk_gb"], 4, block).collect()
+        got = {}
+        for r in rows:
+            got.setdefault((*(r[c] for c in keys), r["_gb"], r["_disk_gb"]), []).append((r["offer_rank"], r["offer_id"], r["price"]))
+        want = {}
+        for m, a, b in wanted:
+            fit = sorted((p, i) for i, om, p, g, d in offers if g >= a and d >= b and (not keys or (om is not None and om == m)))[:4]
+            if fit:
+                want[(m, a, b) if keys else (a, b)] = [(n + 1, i, p) for n, (p, i) in enumerate(fit)]
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_rows_met_grow_with_sets_times_k(spark, monkeypatch):
+    """Ten thousand offers that fit: a set reads the first block only."""
+    read = []
+    kept = joins.durable_checkpoint
+    monkeypatch.setattr(joins, "durable_checkpoint", lambda df: read.append(kept(df)) or read[-1])
+    offers = spark.range(10_000).select(F.col("id").alias("offer_id"), F.lit("A").alias("model"), F.col("id") * 1.0, F.lit(8.0).alias("gb")).toDF("offer_id", "model", "price", "gb")
+    wanted = spark.range(100).select(F.lit("A").alias("model"), (F.col("id") % 8 * 1.0).alias("_gb"))
+    out = joins.cheapest_offers(wanted, offers, ["model"], ["gb"], 5)
+    assert out.count() == 8 * 5
+    plans = [df for df in read if "_read" in df.columns]
+    assert len(plans) == 1 and plans[0].select(F.sum(F.size("_read"))).first()[0] == 8
