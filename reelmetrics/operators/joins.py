@@ -344,17 +344,15 @@ def cheapest_offers(wanted: DataFrame, offers: DataFrame, keys: list[str], needs
     blocks = numbered.groupBy(*own, F.expr(f"_at div {block}").alias("_b")).agg(F.sort_array(F.collect_list(offer)).alias("_offers"), *[F.max(C(n).cast("double")).alias(n) for n in needs])
     blocks = durable_checkpoint(blocks)
     pages = blocks.groupBy(*own, F.expr(f"_b div {block}").alias("_page")).agg(F.sort_array(F.collect_list(F.struct("_b", *needs))).alias("_index"))
-    pages = durable_checkpoint(pages)
     last = pages.groupBy(*own).agg(F.max("_page").alias("_last"))
     fits = lambda row: reduce(lambda x, y: x & y, (row[n] >= C(f"_{n}") for n in needs), L(True))
     got_type = "array<struct<_at:bigint,offer_id:%s,price:%s>>" % tuple(offers.schema[c].dataType.simpleString() for c in ("offer_id", "price"))
     state = wanted.select(*on_set).distinct()
     state = state.join(last, own) if own else state.crossJoin(last)  # one row on the right
     state = state.select(*on_set, "_last", L(0).cast("long").alias("_page"), L(-1).cast("long").alias("_after"), F.array().cast(got_type).alias("_got"))
-    state, found = durable_checkpoint(state), None
-    turn = 0
+    found, turn = None, 0
     while True:
-        pages_now, blocks_now = 2**turn, 2**turn
+        pages_now, blocks_now = 8**turn, 8**turn
         end = F.least(C("_page") + pages_now, C("_last") + 1)
         look = state.select(*on_set, "_after", F.explode(F.sequence("_page", end - 1)).alias("_page")).join(pages, [*own, "_page"])
         seen = F.transform(F.filter("_index", lambda x: (x["_b"] > C("_after")) & fits(x)), lambda x: x["_b"])
