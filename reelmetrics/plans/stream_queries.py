@@ -36,7 +36,7 @@ def prepared(raw):
 
 
 #: Events arrive up to a day late; the watermark allows for two.
-LATE_S, DELAY, SLOT_S = 86400, "2 days", 5 * 86400.0
+LATE_S, DELAY, SLOT_S = 86400, "2 days", 10 * 86400.0
 
 
 def dealt_run(t, build, deals: int = 2, sink=live.run_available):
