@@ -89,21 +89,34 @@ def t_two_sided_p(t: Column, dof: Column) -> Column:
     return _t_two_sided(t.cast("double"), dof.cast("double"))
 
 
-def paired_test(df: DataFrame, keys: tuple[str, ...], a: str, b: str, alpha: float = 0.05) -> DataFrame:
-    """Paired t statistic, p-value, significance, and the variance-based fallback rule."""
+def paired_test(df: DataFrame, keys: tuple[str, ...], a: str, b: str, alpha: float = 0.05, fallback: bool = True) -> DataFrame:
+    """Paired t statistic, p-value, significance, and the variance-based fallback rule.
+
+    Differences that are all equal have no finite t.  With ``fallback`` they have no p-value either and
+    the variance-based rule decides on them; without it t is infinite and p is 0 (both NaN if all
+    differences are 0), a single pair has neither, and significance is that of the p-value alone.  A spread
+    within the rounding error of the values counts as none there.
+    """
     d = F.col(b) - F.col(a)
     out = df.groupBy(*keys).agg(
-        F.count(d).alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("_s"), F.stddev_pop(d).alias("_p")
-    )
+        F.count(d).alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("_s"), F.stddev_pop(d).alias("_p"),
+        F.max(F.greatest(F.abs(a), F.abs(b))).alias("_m"),
+    )
     t = F.when(F.col("_s") > 0, F.col("mean_diff") / (F.col("_s") / F.sqrt("n")))
-    out = out.withColumn("t_stat", t).withColumn("p_value", t_two_sided_p(F.col("t_stat"), F.col("n") - 1))
-    fallback = F.when(F.col("_p") > 0, F.abs("mean_diff") > 2 * F.col("_p")).otherwise(F.col("mean_diff") != 0)
+    p = t_two_sided_p(F.col("t_stat"), F.col("n") - 1)
+    if not fallback:
+        sign, noise = F.signum("mean_diff"), F.col("_m") * 1e-14
+        flat = F.when(F.abs("mean_diff") > noise, sign * F.lit(math.inf)).otherwise(F.lit(math.nan))
+        t = F.when(F.col("_s") <= noise, flat).otherwise(t)
+        p = F.when(F.isnan("t_stat"), F.lit(math.nan)).otherwise(p)
+    out = out.withColumn("t_stat", t).withColumn("p_value", p)
+    spread = F.when(F.col("_p") > 0, F.abs("mean_diff") > 2 * F.col("_p")).otherwise(F.col("mean_diff") != 0)
     return out.select(
         *keys,
         "n",
         "mean_diff",
         "t_stat",
         "p_value",
-        F.coalesce(F.col("p_value") < alpha, fallback).alias("significant"),
-        fallback.alias("significant_fallback"),
+        F.coalesce(F.col("p_value") < alpha, spread if fallback else F.lit(None)).alias("significant"),
+        spread.alias("significant_fallback"),
     )

@@ -84,6 +84,17 @@ def test_paired_t_known_values(spark):
     assert out[2]["p_value"] is None and out[2]["significant"]
 
 
+def test_paired_t_of_equal_differences(spark):
+    data = [(1, 1.0, 1.5), (2, 1.0, 3.0), (2, 2.0, 4.0), (3, 3.0, 1.0), (3, 2.0, 0.0), (4, 1.0, 1.0), (4, 2.0, 2.0), (5, 0.1, 0.3), (5, 0.3, 0.1 + 0.4)]
+    df = spark.createDataFrame(data, "k int, a double, b double")
+    out = {r["k"]: r for r in paired_test(df, ("k",), "a", "b", fallback=False).collect()}
+    assert (out[1]["t_stat"], out[1]["p_value"], out[1]["significant"]) == (None, None, None)
+    assert (out[2]["t_stat"], out[2]["p_value"], out[2]["significant"]) == (float("inf"), 0.0, True)
+    assert (out[3]["t_stat"], out[3]["p_value"], out[3]["significant"]) == (float("-inf"), 0.0, True)
+    assert (out[5]["t_stat"], out[5]["p_value"], out[5]["significant"]) == (float("inf"), 0.0, True)
+    assert np.isnan(out[4]["t_stat"]) and np.isnan(out[4]["p_value"]) and out[4]["significant"] is False
+
+
 def test_gates_skip_missing_inputs(spark, rows):
     ddl = "v int, avg_psnr double, avg_ssim double, total_frames long, failed long, black long, blurry long, bitrate long, size_mb double"
     data = [(1, 35.0, 0.95, 100, 0, 0, 0, 5_000_000, 10.0), (2, 30.0, None, None, None, None, None, None, None), (3, 20.0, 0.99, 100, 2, 6, 0, 900_000, 10.0)]
