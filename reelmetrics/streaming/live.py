@@ -332,11 +332,11 @@ PROGRESS_FIELDS = (
 )
 
 
-def progress_step(window: int = 100) -> Step:
+def progress_step(window: int = 100, any_time: bool = False) -> Step:
     """ST6: progress after every frame result (``state, time_ms, psnr, ssim, total_frames``).
 
-    The mean time covers the last ``window`` positive times; quality means skip nulls in the last
-    ``window`` results that have any.  State: completed, failed, number of times, times, quality pairs.
+    The mean time covers the last ``window`` positive times (with ``any_time`` all that are not null, where
+    0 is a measured time); quality means skip nulls in the last ``window`` results that have any.  State: completed, failed, number of times, times, quality pairs.
     """
     nan = float("nan")
 
@@ -354,7 +354,7 @@ def progress_step(window: int = 100) -> Step:
         out = []
         for status, ms, p, q, total in zip(*cols):
             ms, p, q = known(ms), known(p), known(q)
-            if ms > 0:
+            if ms > 0 or (any_time and ms == ms):
                 times.append(ms)
             if p == p or q == q:
                 pairs.append((p, q))
@@ -370,21 +370,22 @@ def progress_step(window: int = 100) -> Step:
 
 def progress_stream(
     stream: DataFrame, keys: list[str], order: list[str], window: int = 100, idle_ms: int | None = None, delay: str | None = None, event_time: str | None = None,
-    slot_s: float = 60.0,
+    slot_s: float = 60.0, any_time: bool = False,
 ) -> DataFrame:
     """ST6 on a stream."""
     idle_s = None if idle_ms is None else idle_ms / 1000
     inputs = ["state", "time_ms", "psnr", "ssim", "total_frames"]
-    return stateful(stream, keys, order, inputs, progress_step(window), PROGRESS_FIELDS, ["frame_no"], delay, event_time, slot_s, idle_s)
+    return stateful(stream, keys, order, inputs, progress_step(window, any_time), PROGRESS_FIELDS, ["frame_no"], delay, event_time, slot_s, idle_s)
 
 
-def progress_table(df: DataFrame, keys: list[str], order: list[str], window: int = 100, width: float | None = 65536) -> DataFrame:
+def progress_table(df: DataFrame, keys: list[str], order: list[str], window: int = 100, width: float | None = 65536, any_time: bool = False) -> DataFrame:
     """Batch twin of :func:`progress_stream`, as running counts and row frames instead of a fold.
 
     Times and quality pairs have their own numbering, because results without them do not enter
     the last ``window``; the means are joined back on that number.
     """
-    timed, rated = C("time_ms") > 0, C("psnr").isNotNull() | C("ssim").isNotNull()
+    timed = C("time_ms").isNotNull() & ~F.isnan("time_ms") if any_time else C("time_ms") > 0
+    rated = C("psnr").isNotNull() | C("ssim").isNotNull()
     base = running(
         df.select(*keys, *dict.fromkeys([*order, "frame_no", "state", "time_ms", "psnr", "ssim", "total_frames"])),
         Seq(tuple(keys), tuple(order), width),

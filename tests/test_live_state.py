@@ -72,6 +72,20 @@ def test_progress_averages_and_streaks_in_any_order(spark, shuffled, rows):
     assert near(got) == near(want)
 
 
+def test_progress_counts_times_of_zero_where_they_are_measured(spark, shuffled, rows):
+    run, df, _ = shuffled
+    got = run(lambda s: live.progress_stream(s, ["job"], ["ts", "frame_no"], window=5, delay="1 minute", slot_s=15.0, any_time=True))
+    twin = live.progress_table(df, ["job"], ["ts", "frame_no"], window=5, width=60, any_time=True)
+    want, seen = [], {}
+    for job, frame, *_, ms, _, _, _ in sorted(frame_rows(), key=lambda r: r[1]):
+        last = [*seen.get(job, []), ms][-5:]
+        seen[job] = last
+        want.append((job, frame, round(sum(last) / len(last), 9)))
+    near = lambda d: [(*r[:2], round(r[2], 9)) for r in rows(d, "job", "frame_no", "avg_time_ms")]
+    assert any(r[4] == 0.0 for r in frame_rows())
+    assert near(got) == near(twin) == sorted(want, key=repr)
+
+
 def test_averages_in_any_order(shuffled, rows):
     run, df, _ = shuffled
     got = run(lambda s: live.ema_stream(s, ["job"], ["ts", "frame_no"], "time_ms", 0.3, delay="1 minute", slot_s=15.0))
