@@ -12,11 +12,13 @@ windowed aggregates and by the steps that wait.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from typing import Any
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -467,15 +469,23 @@ def read_target(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 # --- windows, filters, folders -----------------------------------------------------------------
 def watch_folder(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """ST1 (discovery): every file of a folder once, as the file source keeps track of seen paths.
+    """ST1 (discovery): every file of a folder and of the folders in it once, as the file source keeps
+    track of seen paths.
 
     Append the stream to a table; :func:`ready_files` then gives the work list.
     """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select("path", C("modificationTime").alias("modified_at"), "length")
 
 
+def folder_entry(path: Column, folder: str) -> Column:
+    """ST1: the entry of a watched folder that a path leads through: a file, or the folder of its parts."""
+    plain = re.sub("^file:/+", "/", folder).rstrip("/")
+    ways = "|".join(re.escape(way) for way in dict.fromkeys([plain, quote(plain, safe="/:")]))
+    return F.regexp_extract(path, f"^(?:[a-z0-9]+:(?://)?)?(?:{ways})/+([^/]+)", 1)
+
+
 def ready_files(found: DataFrame, processed: DataFrame, now: Column, min_age_s: float = 5.0) -> DataFrame:
     """ST1 (work list): found files that are old enough, not empty and not processed yet.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelmetrics.operators import folds
 from reelmetrics.operators.sequence import Seq
+from reelmetrics.plans import QUERIES
 from reelmetrics.streaming import live
 
 T0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -91,6 +92,18 @@ def test_watch_folder_once_and_by_age(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in ready.collect()] == ["b.mp4"]
 
 
+def test_watched_tables_in_one_file_or_many(spark, rows, tmp_path):
+    folder = f"{tmp_path}/in put"
+    for name, n, files in (("whole", 7, 1), ("parts", 9, 3), ("none", 0, 1), ("region", 5, 2)):
+        spark.range(n).repartition(files).write.parquet(f"{folder}/{name}.parquet")
+    spark.range(4).coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("*.parquet")).rename(f"{folder}/flat.parquet")
+    for p in (tmp_path / "in put").rglob("*.parquet"):
+        os.utime(p, (time.time() - 100,) * 2)
+    got = QUERIES["ST1_watch_folder"](spark, folder)
+    assert rows(got, "file", "n_rows") == [("flat.parquet", 4), ("none.parquet", 0), ("parts.parquet", 9), ("whole.parquet", 7)]
+
+
 def test_only_open_windows_are_added(spark, events, rows, tmp_path):
     """States of every fourth row are null; closed windows come from the stream alone."""
     null_state = lambda df: df.withColumn("state", F.when(F.col("frame_no") % 4 != 2, F.col("state")))
