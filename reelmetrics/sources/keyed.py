@@ -17,12 +17,18 @@ from pyspark.sql import Window as W
 from ..session import durable_checkpoint
 
 KEY, PART = "_k", "_part"
+#: Rows of the first changes that one bucket takes; the merge of a bucket is one task.
+BUCKET_ROWS = 100_000
 #: (value in the table, value of the change) -> new value; either is null if its side has no row.
 Combine = Callable[[Column, Column], Column]
 
 
 class KeyedTable:
-    """A bucketed table ``name`` with one row per ``keys``."""
+    """A bucketed table ``name`` with one row per ``keys``.
+
+    It has at least ``buckets`` buckets; the first merge makes more where it brings more than
+    ``BUCKET_ROWS`` rows a bucket, so that the share of a task does not grow with the table.
+    """
 
     def __init__(self, spark: SparkSession, name: str, keys: list[str], parts: int = 16, buckets: int = 8):
         self.spark, self.name, self.keys, self.parts, self.buckets = spark, name, list(keys), parts, buckets
@@ -62,8 +68,9 @@ class KeyedTable:
         placed = durable_checkpoint(self._placed(changes))
         if not self.exists():
             columns = [c for c in placed.columns if c not in (KEY, PART)]
-            first = placed.select(*columns, KEY, PART).repartition(self.buckets, KEY)
-            first.write.partitionBy(PART).bucketBy(self.buckets, KEY).sortBy(KEY).format("parquet").saveAsTable(self.name)
+            buckets = max(self.buckets, -(-placed.count() // BUCKET_ROWS))
+            first = placed.select(*columns, KEY, PART).repartition(buckets, KEY)
+            first.write.partitionBy(PART).bucketBy(buckets, KEY).sortBy(KEY).format("parquet").saveAsTable(self.name)
             return
         touched = [r[0] for r in placed.select(PART).distinct().collect()]  # at most ``parts`` numbers
         if not touched:

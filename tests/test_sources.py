@@ -1,11 +1,12 @@
 """Readers and writers on files."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from reelmetrics.sources import cues, edl, records, sinks
+from reelmetrics.sources import cues, edl, keyed, records, sinks
 
 SRT = "1\n00:00:00,000 --> 00:00:02,000\nHello\nthere\n\n2\n00:00:03,000 --> 00:00:05,500\nWorld"
 
@@ -95,3 +96,17 @@ def test_manifests_and_history(spark, tmp_path, rows):
 def test_job_upserts(spark, rows):
     df = spark.createDataFrame([("j1", 1, "pending", None), ("j1", 2, None, 0.5), ("j1", 3, "done", None), ("j2", 1, "pending", None)], "id string, seq int, state string, progress double")
     assert rows(sinks.current_view(df, ["id"], "seq"), "id", "state", "progress", "seq") == [("j1", "done", 0.5, 3), ("j2", "pending", None, 1)]
+
+
+def test_keyed_table_has_more_buckets_for_more_rows(spark, rows, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKET_ROWS", 50)
+    table = keyed.KeyedTable(spark, f"grown_{uuid.uuid4().hex}", ["k"], 2, 2)
+    change = lambda lo, hi, v: spark.range(lo, hi).selectExpr("id AS k", f"{v} AS v", f"{v} AS at")
+    try:
+        keyed.merge_current(table, change(0, 300, 1), "at")
+        keyed.merge_current(table, change(200, 400, 2), "at")
+        described = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED {table.name}").collect()}
+        assert described["Num Buckets"] == "6"
+        assert rows(keyed.current_rows(table, "at")) == sorted(((k, 2 if k >= 200 else 1, 2 if k >= 200 else 1) for k in range(400)), key=repr)
+    finally:
+        table.drop()
