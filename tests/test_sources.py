@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from reelmetrics.plans import QUERIES
 from reelmetrics.sources import cues, edl, keyed, records, sinks
 
 SRT = "1\n00:00:00,000 --> 00:00:02,000\nHello\nthere\n\n2\n00:00:03,000 --> 00:00:05,500\nWorld"
@@ -110,3 +111,8 @@ def test_keyed_table_has_more_buckets_for_more_rows(spark, rows, monkeypatch):
         assert rows(keyed.current_rows(table, "at")) == sorted(((k, 2 if k >= 200 else 1, 2 if k >= 200 else 1) for k in range(400)), key=repr)
     finally:
         table.drop()
+
+
+@pytest.mark.parametrize("key", ["X11_request_tags", "F62_request_plan"])
+def test_costly_rows_of_one_file_are_many_tasks(spark, key):
+    assert QUERIES[key](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
