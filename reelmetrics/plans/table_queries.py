@@ -13,7 +13,7 @@ from ..operators import joins as jn
 from ..operators import tables as tb
 from ..operators import timeline as tl
 from ..operators.sequence import Seq
-from ..session import durable_checkpoint
+from ..session import dealt, durable_checkpoint
 from ..sources import cues, edl, keyed, records, sinks
 from .bindings import TIMELINE
 from .function_queries import pad2
@@ -236,7 +236,8 @@ def cut_list(t):
         return F.concat(L(f"00{i}  R"), k.cast("string"), L("   V     C    "), a, L(" "), b, L(" "), a, L(" "), b)
 
     parts = [L("TITLE: Reel "), k.cast("string"), L("\nFCM: NON-DROP FRAME\n\n"), event(1), L("\n* FROM CLIP NAME: clip "), C("o_orderpriority"), L("\n* a note\n"), event(2), L("\nM2   R1       050.0\n"), event(3), L("\n* SOURCE FILE: f.mov\n* second note\n")]
-    return t.orders.select("o_orderkey", F.concat(*parts).alias("value"))
+    orders = dealt(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
+    return orders.select("o_orderkey", F.concat(*parts).alias("value"))
 
 
 @query("SRC8_cmx3600", """WITH x AS (SELECT o_orderkey, o_custkey AS k, o_orderpriority AS p, unnest([1, 2, 3]) AS i FROM orders)

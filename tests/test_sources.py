@@ -113,6 +113,6 @@ def test_keyed_table_has_more_buckets_for_more_rows(spark, rows, monkeypatch):
         table.drop()
 
 
-@pytest.mark.parametrize("key", ["X11_request_tags", "F62_request_plan"])
+@pytest.mark.parametrize("key", ["X11_request_tags", "F62_request_plan", "SRC8_cmx3600"])
 def test_costly_rows_of_one_file_are_many_tasks(spark, key):
     assert QUERIES[key](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
