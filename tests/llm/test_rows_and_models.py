@@ -171,6 +171,21 @@ def test_toxicity_equals_plain_recomputation():
             assert score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
 
 
+def test_toxicity_trains_without_texts_on_the_driver(spark, sf_dir, monkeypatch):
+    docs, labels = common.table(spark, sf_dir), common.table(spark, sf_dir, "labels")
+    sample = common.labelled_sample(labels, "toxic", {1: 30, 0: 60}, ~common.held_out(F.col("doc_id"), 3, 1))
+    twin = toxicity.fit(*common.sample_texts(docs, sample))
+    monkeypatch.setattr(toxicity, "CHUNK", 100)
+
+    def on_the_driver(text):
+        raise AssertionError("a text is hashed on the driver")
+
+    monkeypatch.setattr(toxicity, "buckets", on_the_driver)  # tasks import the module anew
+    model = toxicity.train(docs, labels, max_toxic=30, max_clean=60)
+    assert len(twin.features) > 100 and model.features.tolist() == twin.features.tolist()
+    assert np.allclose(model.weights, twin.weights, atol=1e-9) and abs(model.bias - twin.bias) < 1e-9
+
+
 def plain_features(text):
     """Hashed words and n-grams, with repeats."""
     words = text.split()
