@@ -22,6 +22,9 @@ from .timeline import lagged
 
 C, L = F.col, F.lit
 
+#: Rows that a task of a user aggregate gathers before it forms states.
+AGGREGATE_ROWS = 200_000
+
 
 def to_array(pixels: bytes, height: int, width: int, channels: int = 1) -> np.ndarray:
     flat = np.frombuffer(pixels, dtype=np.uint8)
@@ -95,30 +98,44 @@ def custom_aggregate(
 ) -> DataFrame:
     """UD7: a user aggregate whose state is a vector of numbers.
 
-    ``partial`` reduces the rows of one key in one batch to a state, ``merge`` reduces a matrix of
-    states (one a row) to one, ``finish`` turns the last state into the columns ``names``. States are
-    formed before the shuffle and merged by salt first, so no task sees the rows of a whole key.
+    ``partial`` reduces rows of one key, of ``AGGREGATE_ROWS`` rows that a task takes at once, to a state, ``merge``
+    reduces a matrix of states (one a row) to one, ``finish`` turns the last state into the columns ``names``. States
+    are formed before the shuffle and merged by salt first, so no task sees the rows of a whole key; merges run over
+    batches of keys.
     """
     keys = list(keys)
     key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
+    def reduced(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [(*(k if isinstance(k, tuple) else (k,)), [float(x) for x in partial(own)]) for k, own in rows.groupby(keys, dropna=False, sort=False)]
+        return pd.DataFrame(found, columns=[*keys, "_state"])
+
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, n = [], 0
         for rows in batches:
-            found = [(*(k if isinstance(k, tuple) else (k,)), [float(x) for x in partial(own)]) for k, own in rows.groupby(keys, dropna=False, sort=False)]
-            yield pd.DataFrame(found, columns=[*keys, "_state"])
+            waiting.append(rows)
+            n += len(rows)
+            if n >= AGGREGATE_ROWS:
+                yield reduced(pd.concat(waiting, ignore_index=True))
+                waiting, n = [], 0
+        if n:
+            yield reduced(pd.concat(waiting, ignore_index=True))
 
-    def merged(rows: pd.DataFrame) -> list[float]:
-        return [float(x) for x in merge(np.stack(rows["_state"].to_numpy()))]
+    def merged(found) -> list[float]:
+        return [float(x) for x in merge(np.stack(list(found)))]
 
-    def some(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[keys].head(1).assign(_state=[merged(rows)])
+    @F.pandas_udf("array<double>")
+    def some(found: pd.Series) -> pd.Series:
+        return found.map(merged)
 
-    def final(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[keys].head(1).assign(**{n: [float(v)] for n, v in zip(names, finish(np.array(merged(rows))))})
+    @F.pandas_udf(", ".join(f"c{n} double" for n in range(len(names))))
+    def final(found: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([[float(v) for v in finish(np.array(merged(f)))] for f in found], columns=[f"c{n}" for n in range(len(names))])
 
     parts = df.mapInPandas(states, f"{key_fields}, _state array<double>").withColumn("_salt", F.pmod(F.hash("_state"), L(salts)))
-    parts = parts.groupBy(*keys, "_salt").applyInPandas(some, f"{key_fields}, _state array<double>")
-    return parts.groupBy(*keys).applyInPandas(final, key_fields + "".join(f", `{n}` double" for n in names))
+    parts = parts.groupBy(*keys, "_salt").agg(F.collect_list("_state").alias("_states")).select(*keys, some("_states").alias("_state"))
+    done = parts.groupBy(*keys).agg(F.collect_list("_state").alias("_states")).select(*keys, final("_states").alias("_done"))
+    return done.select(*keys, *(C(f"_done.c{n}").alias(name) for n, name in enumerate(names)))
 
 
 # --- UD5, UD6 ----------------------------------------------------------------------------------

@@ -90,3 +90,22 @@ def test_custom_aggregate_merges_states(spark, rows):
     got = plugins.custom_aggregate(df, ["g"], lambda p: [len(p), p["v"].sum()], lambda s: s.sum(axis=0), lambda s: [s[1] / s[0]], ["mean"])
     want = df.groupBy("g").agg(F.avg("v").alias("mean"))
     assert {r["g"]: round(r["mean"], 9) for r in got.collect()} == {r["g"]: round(r["mean"], 9) for r in want.collect()}
+
+
+def small_batches(spark, batch_rows, build):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch_rows))
+    try:
+        return build().collect()
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_custom_aggregate_forms_few_states(spark):
+    """The state counts the calls for a key: one a task, though a batch holds few rows of it."""
+    df = spark.range(2000).selectExpr("IF(id % 5 = 0, NULL, id % 5) AS g", "CAST(id AS DOUBLE) AS v").repartition(2)
+    build = lambda: plugins.custom_aggregate(df, ["g"], lambda p: [1, p["v"].sum()], lambda s: s.sum(axis=0), lambda s: s, ["calls", "total"])
+    got = {r["g"]: (r["calls"], r["total"]) for r in small_batches(spark, 10, build)}
+    assert {g: t for g, (_, t) in got.items()} == {g or None: float(sum(range(g, 2000, 5))) for g in range(5)}
+    assert max(n for n, _ in got.values()) <= 2
