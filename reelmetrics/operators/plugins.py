@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import UserDefinedTableFunction
 
+from ..session import dealt
 from .generate import frame_chunks
 from .sequence import Seq
 from .timeline import lagged
@@ -164,18 +165,35 @@ def process_chunks(frames: DataFrame, keys: tuple[str, ...], frame_no: str, tota
     """UD6: apply ``fn`` to overlapping chunks of a video and keep the core rows of each chunk.
 
     A chunk holds ``size`` frames at most; ``fn`` gets them in order and must keep ``frame_no``.  The
-    core of a chunk is its first ``size - overlap`` frames; the overlap only gives context.
+    core of a chunk is its first ``size - overlap`` frames; the overlap only gives context.  A task gets its
+    chunks in order, many in a batch; whole numbers are floats where a batch holds nulls among them.
     """
     stride = size - overlap
     spread = frames.join(totals, list(keys)).select(*frames.columns, F.explode(frame_chunks(C(frame_no), C("total_frames"), size, overlap)).alias("_chunk"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(pdf["_chunk"].iloc[0])
-        out = fn(pdf.sort_values(frame_no, ignore_index=True).drop(columns="_chunk"))
-        first = chunk * stride
+    def done(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        own = rows.drop(columns="_chunk")
+        outs = [fn(own.iloc[a:b].reset_index(drop=True)) for a, b in zip(starts, ends)]
+        first = np.repeat(rows["_chunk"].to_numpy()[starts] * stride, [len(o) for o in outs])
+        out = pd.concat(outs, ignore_index=True)
         return out[(out[frame_no] >= first) & (out[frame_no] < first + stride)]
 
-    return spread.groupBy(*keys, "_chunk").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # the last chunk may go on in the next batch
+        for rows in batches:
+            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            new = np.zeros(len(rows), dtype=bool)
+            for c in (*keys, "_chunk"):
+                now, before = rows[c], rows[c].shift()
+                new |= ((now != before) & ~(now.isna() & before.isna())).to_numpy(dtype=bool)
+            starts = np.flatnonzero(new[1:]) + 1
+            if len(starts):
+                yield done(rows.iloc[: starts[-1]], np.append(0, starts[:-1]), starts)
+            rest = rows.iloc[starts[-1] if len(starts) else 0 :]
+        if rest is not None and len(rest):
+            yield done(rest, np.array([0]), np.array([len(rest)]))
+
+    return dealt(spread, *keys, "_chunk").sortWithinPartitions(*keys, "_chunk", frame_no).mapInPandas(run, schema)
 
 
 # --- UD9, UD10 ---------------------------------------------------------------------------------

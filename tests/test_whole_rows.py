@@ -109,3 +109,13 @@ def test_custom_aggregate_forms_few_states(spark):
     got = {r["g"]: (r["calls"], r["total"]) for r in small_batches(spark, 10, build)}
     assert {g: t for g, (_, t) in got.items()} == {g or None: float(sum(range(g, 2000, 5))) for g in range(5)}
     assert max(n for n, _ in got.values()) <= 2
+
+
+def test_chunks_share_batches_and_go_on_over_them(spark):
+    frames = spark.range(330).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS video", "id DIV 3 AS frame_no").where("video IS NOT NULL OR frame_no < 0")
+    totals = frames.groupBy("video").count().withColumnRenamed("count", "total_frames")
+    ahead = lambda p: p.assign(ahead=[int(p["frame_no"][k : k + 3].sum()) for k in range(len(p))])
+    out = plugins.process_chunks(frames, ("video",), "frame_no", totals, ahead, "video long, frame_no long, ahead long", 20, 4)
+    got = {(r["video"], r["frame_no"]): r["ahead"] for r in small_batches(spark, 7, lambda: out)}
+    assert got == {(v, k): sum(range(k, min(k + 3, 110))) for v in (1, 2) for k in range(110)}
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
