@@ -86,14 +86,19 @@ def _unpacked(data: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(data).read_pandas()
 
 
-class OrderedSteps(StatefulProcessor):
-    """Runs a step over the rows of a key in their order.
+#: Keys are dealt by hash over so many groups of the state store; calls to the state go by group and slot.
+KEY_GROUPS = 256
+
 
-    State of a key: ``waiting`` rows by (slot, part), ``parts`` of each slot, and the step's own ``state``
-    with the time until which it is kept.  A slot is a stretch of ``slot`` seconds.  Rows arrive piece by piece and are filed under their slots, so a key's batch is never held
-    whole.  With ``held`` a slot runs when a timer says that the watermark has passed its end: rows may
-    come in any order and in any micro-batch before that.  Otherwise all slots run at the end of the
-    micro-batch.  The state ends when the step returns none, or ``idle`` seconds after the last row.
+class OrderedSteps(StatefulProcessor):
+    """Runs a step over the rows of each key of a group of keys, in their order.
+
+    State of a group: ``waiting`` rows by (slot, part), ``parts`` of each slot, and by key (``g``) the step's own
+    ``state`` with the time until which it is kept.  A slot is a stretch of ``slot`` seconds.  Rows arrive piece by
+    piece and are filed under their slots, so a batch is never held whole, but one slot of a group is.  With ``held``
+    a slot runs when a timer says that the watermark has passed its end: rows may come in any order and in any
+    micro-batch before that.  Otherwise all slots run at the end of the micro-batch.  The state of a key ends when
+    the step returns none, or ``idle`` seconds after its last row.
     """
 
     def __init__(self, names, told, keys, order, inputs, keep, outputs, step, held, slot, idle):
@@ -105,30 +110,40 @@ class OrderedSteps(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "slot bigint, part int", "data binary")
         self.parts = handle.getMapState("parts", "slot bigint", "n int")
-        self.state = handle.getValueState("state", "s array<double>, until bigint")
+        self.state = handle.getMapState("state", "g string", "s array<double>, until bigint")
 
-    def _run(self, key, rows: pd.DataFrame, last_ms: int | None) -> pd.DataFrame:
+    def _run(self, rows: pd.DataFrame, last_ms: int | None) -> pd.DataFrame:
         rows = rows.sort_values(["_ms", *self.order], kind="stable", ignore_index=True)
-        old = self.state.get() if self.state.exists() else None
-        if self.held and self.idle is not None and old is not None and old[1] <= int(rows["_ms"].iloc[0]):
-            self.handle.deleteTimer(old[1])
-            self.state.clear()
-            old = None
-        new, after = self.step([rows[c].tolist() for c in self.inputs], None if old is None else list(old[0]))
-        if after is None:
-            if old is not None:
-                self.state.clear()
-        else:
-            until = 0 if self.idle is None else last_ms + int(self.idle * 1000)
-            if self.idle is not None and self.held:
-                # Ends of state lie one millisecond off the ends of slots.
-                until = -(-until // self._slot_ms()) * self._slot_ms() + 1
-            if self.idle is not None and (old is None or until > old[1]):
-                if old is not None and old[1]:
-                    self.handle.deleteTimer(old[1])
-                self.handle.registerTimer(until)
-            self.state.update(([float(x) for x in after], until))
-        return pd.concat([rows[[*self.keys, *self.keep]].set_axis(self.told, axis=1), pd.DataFrame(dict(zip(self.outputs, new)))], axis=1)
+        codes, found = pd.factorize(rows["_g"])
+        rows = rows.iloc[np.argsort(codes, kind="stable")].reset_index(drop=True)
+        ends = np.cumsum(np.bincount(codes)).tolist()
+        inputs, ms = [rows[c].tolist() for c in self.inputs], rows["_ms"].tolist()
+        until = 0 if self.idle is None else last_ms + int(self.idle * 1000)
+        if self.idle is not None and self.held:
+            # Ends of state lie one millisecond off the ends of slots.
+            until = -(-until // self._slot_ms()) * self._slot_ms() + 1
+        told, kept = [[] for _ in self.outputs], False
+        for g, first, end in zip(found, [0, *ends], ends):
+            old = before = self.state.getValue((g,))
+            if self.held and self.idle is not None and old is not None and old[1] <= ms[first]:
+                old = None
+            new, after = self.step([c[first:end] for c in inputs], None if old is None else list(old[0]))
+            for out, values in zip(told, new):
+                out.extend(values)
+            if after is not None:
+                last = until if old is None else max(until, old[1])
+                self.state.updateValue((g,), ([float(x) for x in after], last))
+                kept = True
+            elif before is not None:
+                self.state.removeKey((g,))
+        if self.idle is not None and kept:
+            self.handle.registerTimer(until)
+        return pd.concat([rows[[*self.keys, *self.keep]].set_axis(self.told, axis=1), pd.DataFrame(dict(zip(self.outputs, told)))], axis=1)
+
+    def _forget(self, now: int) -> None:
+        """End the states that are kept no longer."""
+        for g in [g for (g,), (_, until) in self.state.iterator() if until <= now]:
+            self.state.removeKey((g,))
 
     def _slot_ms(self) -> int:
         return max(2, int(self.slot * 1000))
@@ -137,7 +152,8 @@ class OrderedSteps(StatefulProcessor):
         slots = (rows["_ms"] // self._slot_ms()).to_numpy()
         found = np.unique(slots)
         for slot in found.tolist():
-            n = self.parts.getValue((slot,))[0] if self.parts.containsKey((slot,)) else 0
+            parts = self.parts.getValue((slot,))
+            n = 0 if parts is None else parts[0]
             self.waiting.updateValue((slot, n), (_packed(rows[slots == slot]),))
             self.parts.updateValue((slot,), (n + 1,))
             if self.held:
@@ -159,7 +175,7 @@ class OrderedSteps(StatefulProcessor):
         for piece in rows:
             piece = piece.set_axis(self.names, axis=1)
             if first is None and not slots and not self.held:
-                first = piece  # a key with one piece needs no filing
+                first = piece  # a group with one piece needs no filing
                 continue
             if first is not None:
                 slots |= self._file(first)
@@ -169,24 +185,22 @@ class OrderedSteps(StatefulProcessor):
             return
         now = timerValues.getCurrentProcessingTimeInMs() if self.idle is not None else None
         if first is not None:
-            yield self._run(key, first, now)
+            yield self._run(first, now)
         for slot in sorted(slots):
-            yield self._run(key, self._take(slot), now)
+            yield self._run(self._take(slot), now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
         if self.held and at % self._slot_ms() == 0:
             rows = self._take(at // self._slot_ms() - 1)
             if rows is not None:
-                yield self._run(key, rows, at)
+                yield self._run(rows, at)
             # A timer that is set now runs in the next batch, which may be long in coming.
-            if self.idle is not None and self.state.exists() and not self.parts.exists():
-                until = self.state.get()[1]
-                if until <= timerValues.getCurrentWatermarkInMs():
-                    self.handle.deleteTimer(until)
-                    self.state.clear()
-        elif self.state.exists() and self.state.get()[1] == at:
-            self.state.clear()
+            now = timerValues.getCurrentWatermarkInMs()
+            if self.idle is not None and not any((slot + 1) * self._slot_ms() <= now for (slot,) in self.parts.keys()):
+                self._forget(now)
+        else:
+            self._forget(at)
 
     def close(self) -> None:
         pass
@@ -215,6 +229,9 @@ def stateful(
 
     ``order`` must not contradict the time.  ``idle_s`` ends a key's state that many seconds after its last row: of event time with ``delay``
     (rounded up to a slot), else of processing time.  A key that comes back starts anew.
+
+    The state store groups keys by hash (``KEY_GROUPS``), so that its calls and Python's grow with groups and slots;
+    a checkpoint of another number of groups cannot be gone on from.
     """
     time_col = event_time or order[0]
     kind = lambda c: stream.schema[c].dataType.simpleString()
@@ -223,10 +240,11 @@ def stateful(
     timed = isinstance(stream.schema[time_col].dataType, (T.TimestampType, T.TimestampNTZType))
     ms = F.unix_millis(C(time_col).cast("timestamp")) if timed else F.floor(C(time_col) * 1000).cast("long")
     # Columns travel under plain names: pandas renames those that begin with an underscore.  Keys travel as
-    # text and are grouped as one value, so that nulls among them make a key like others.
+    # text and are told apart as one value, so that nulls among them make a key like others.
     plain = {c: f"c{k}" for k, c in enumerate(needed)}
     texts = [C(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys)]
-    rows = stream.select(F.to_json(F.struct(*texts)).alias("g"), *texts, *(C(c).alias(n) for c, n in plain.items()), ms.alias("ms"))
+    key = F.to_json(F.struct(*texts))
+    rows = stream.select(F.pmod(F.xxhash64(key), L(KEY_GROUPS)).alias("b"), key.alias("g"), *texts, *(C(c).alias(n) for c, n in plain.items()), ms.alias("ms"))
     if delay:
         known = L(True)
         for c in order:
@@ -236,10 +254,10 @@ def stateful(
         rows = rows.withWatermark(time, delay).where(C(time).isNotNull() & (known | C(time).isNull()))
     packed = [f"k{n}" for n in range(len(keys))]
     told = [*packed, *(f"c{n}" for n in range(len(keep)))]
-    processor = OrderedSteps(["g", *packed, *needed, "_ms"], told, packed, order, inputs, keep, outs, step, delay is not None, slot_s, idle_s)
+    processor = OrderedSteps(["_b", "_g", *packed, *needed, "_ms"], told, packed, order, inputs, keep, outs, step, delay is not None, slot_s, idle_s)
     mode = "EventTime" if delay else "None" if idle_s is None else "ProcessingTime"
     schema = ", ".join([*(f"{k} string" for k in packed), *(f"c{n} {kind(c)}" for n, c in enumerate(keep)), outputs])
-    done = rows.groupBy("g").transformWithStateInPandas(processor, T._parse_datatype_string(schema), "Append", mode)
+    done = rows.groupBy("b").transformWithStateInPandas(processor, T._parse_datatype_string(schema), "Append", mode)
     return done.select(*(C(n).cast(stream.schema[k].dataType).alias(k) for n, k in zip(packed, keys)), *(C(f"c{n}").alias(c) for n, c in enumerate(keep)), *outs)
 
 

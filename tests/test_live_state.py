@@ -234,3 +234,19 @@ def test_many_files_are_one_scan(spark, tmp_path):
     left = live.ready_files(found, spark.read.parquet(f"{tmp_path}/done"), now)
     assert sorted(r["path"].rsplit("/", 1)[1] for r in left.collect()) == ["a.json", "b.json"]
     assert live.read_ready(spark, left.limit(0), "x long", "json").count() == 0
+
+
+def test_keys_share_the_calls_of_a_group_of_the_state(spark, tmp_path):
+    """Four thousand keys wait in no more groups of the state store than there are, and stay apart."""
+    df = spark.range(12000).selectExpr("CAST(id % 4000 AS INT) AS job", "id AS frame_no", "timestamp_seconds(id + 1000000) AS ts", "id % 4000 % 3 > 0 OR id < 4000 AS bad")
+    df.repartition(2).write.parquet(f"{tmp_path}/in")
+    build = lambda s: live.failure_stream(s, ["job"], ["ts", "frame_no"], "frame_no", "bad", 2, delay="1 minute", slot_s=1000.0)
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    live.run_available(build(stream), f"{tmp_path}/work")
+    parts = spark.read.format("statestore").option("path", f"{tmp_path}/work/state").option("stateVarName", "parts").load()
+    assert 0 < parts.select("key").distinct().count() <= live.KEY_GROUPS
+    end = spark.createDataFrame([(None, None, 2 * 10**6, None)], "job int, frame_no long, s long, bad boolean").selectExpr("job", "frame_no", "timestamp_seconds(s) AS ts", "bad")
+    end.write.mode("append").parquet(f"{tmp_path}/in")
+    out = live.run_available(build(stream), f"{tmp_path}/work")
+    got = {r["frame_no"]: (r["job"], r["consecutive_failures"], r["aborted"]) for r in out.collect()}
+    assert got == {i: (i % 4000, n, n > 2) for i in range(12000) for n in [i // 4000 + 1 if i % 4000 % 3 else int(i < 4000)]}
