@@ -13,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .folds import by_group
-from .sequence import Seq, adjacent, framed, key_join, neighbours, number_rows, running, segments
+from .sequence import (
+    BLOCK, PART, Seq, adjacent, framed, key_join, neighbours, number_rows, running, segments, settle, with_block,
+)
 
 
 def lagged(df: DataFrame, seq: Seq, cols: dict[str, Column | str], step: int = 1) -> DataFrame:
@@ -222,13 +224,42 @@ def main_content_bounds(segs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, seq: Seq, start: str, end: str) -> DataFrame:
-    """W9 (1-D): union of overlapping or touching intervals; ``seq`` orders by start."""
-    reach = running(df, seq, {"_reach": ("max", F.col(end))}, inclusive=False)
-    fresh = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
-    out = segments(
-        reach, seq, fresh, {"end": ("max", F.col(end)), "n": ("count", F.lit(1))}, "start"
+    """W9 (1-D): union of overlapping or touching intervals; ``seq`` orders by start, nulls last.
+
+    Only block, start and end of a row are shuffled, once: where every interval ends at or after its
+    start, the order of equal starts does not matter (a look at the rows, while the plan is built, tells).
+    A block is merged by itself; what the blocks before it reach closes its first groups into theirs, so
+    that at most two rows a block travel on.
+    """
+    df, seq = settle(df, seq)
+    sound = F.coalesce(F.col(end) >= F.col(start), F.lit(False))
+    order = [start] if df.where(~sound).isEmpty() else list(seq.order)
+    rows = with_block(df, seq).select(PART, *order, end)
+    by_order = W.partitionBy(PART).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+
+    def fresh(reach: str) -> Column:
+        return F.coalesce(F.col(reach).isNull() | (F.col(start) > F.col(reach)), F.lit(False))
+
+    reach = F.max(end).over(by_order.rowsBetween(W.unboundedPreceding, -1))
+    local = rows.withColumn("_reach", reach).withColumn(
+        "_g", F.sum(fresh("_reach").cast("long")).over(by_order.rowsBetween(W.unboundedPreceding, 0))
     )
-    return out.select(*seq.keys, F.col("start").alias(start), F.col("end").alias(end), "n")
+    total = [F.min(start).alias(start), F.max(end).alias(end)]
+    groups = local.groupBy(PART, "_g").agg(*total, F.count(F.lit(1)).alias("n"))
+    key = [F.col(f"{PART}.{k}").alias(k) for k in seq.keys]
+    if seq.width is None:
+        return groups.select(*key, start, end, "n")
+
+    by_block = W.partitionBy(*[F.col(f"{PART}.{k}") for k in seq.keys]).orderBy(F.col(f"{PART}.{BLOCK}").asc_nulls_last())
+    edges = groups.groupBy(PART).agg(F.max(end).alias("_e"), F.max("_g").alias("_last"))
+    edges = edges.select(PART, "_last", F.max("_e").over(by_block.rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    groups = groups.join(edges, PART).withColumn("_fresh", fresh("_before"))
+    closed = F.col("_fresh") & (F.col("_g") < F.col("_last"))
+    pieces = groups.where(~closed).groupBy(PART, "_fresh").agg(*total, F.sum("n").alias("n"))
+    in_turn = by_block.orderBy(F.col(f"{PART}.{BLOCK}").asc_nulls_last(), "_fresh").rowsBetween(W.unboundedPreceding, 0)
+    pieces = pieces.select(*key, start, end, "n", F.sum(F.col("_fresh").cast("long")).over(in_turn).alias("_g"))
+    stitched = pieces.groupBy(*seq.keys, "_g").agg(*total, F.sum("n").alias("n")).drop("_g")
+    return groups.where(closed).select(*key, start, end, "n").unionByName(stitched)
 
 
 def text_cues(df: DataFrame, seq: Seq, text: str, confidence: str, totals: DataFrame, fps: float, min_confidence: float = 0.6) -> DataFrame:

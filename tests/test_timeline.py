@@ -127,3 +127,31 @@ def test_periodic_motion_takes_all_lags(spark):
     for options in ({}, {"block": 7}, {"block": 64}):
         got = {r["video_id"]: r["periodic"] for r in tl.periodic_motion(df, Seq(("video_id",), ("frame_no",), 100), "dy", **options).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("width", [4, 50, None])
+def test_merge_intervals_over_blocks_and_odd_rows(spark, rows, width):
+    seq = Seq(("v",), ("s", "tie"), width)
+    ddl = "v int, s long, e long, tie string"
+    long = [(1, 0, 30, "a"), (1, 5, 6, "b"), (1, 14, 15, "c"), (1, 30, 31, "d"), (1, 32, 33, "e"), (None, 3, 3, "f")]
+    out = tl.merge_intervals(spark.createDataFrame(long, ddl), seq, "s", "e")
+    assert rows(out, "v", "s", "e", "n") == [(1, 0, 31, 4), (1, 32, 33, 1), (None, 3, 3, 1)]
+    # An interval that ends before its start opens a group of its own unless an earlier row reaches it; a row
+    # without a start comes last.
+    odd = [(1, 10, 5, "a"), (1, 10, 12, "b"), (1, 10, 7, "c"), (1, 20, None, "d"), (1, None, None, "e")]
+    out = tl.merge_intervals(spark.createDataFrame(odd, ddl), seq, "s", "e")
+    assert rows(out, "v", "s", "e", "n") == [(1, 10, 12, 2), (1, 10, 5, 1), (1, 20, None, 2)]
+
+
+def test_merge_intervals_shuffles_no_tie_columns(spark):
+    tie = F.md5(F.col("id").cast("string"))
+    df = spark.range(40_000).select((F.col("id") % 7).alias("v"), "id", (F.col("id") + 3).alias("e"), tie.alias("tie"))
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    assert tl.merge_intervals(df, Seq(("v",), ("id", "tie"), 10_000), "id", "e").count() == 40_000
+    assert shuffled() - before < 40_000 * 32
