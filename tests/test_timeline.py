@@ -155,3 +155,23 @@ def test_merge_intervals_shuffles_no_tie_columns(spark):
     before = shuffled()
     assert tl.merge_intervals(df, Seq(("v",), ("id", "tie"), 10_000), "id", "e").count() == 40_000
     assert shuffled() - before < 40_000 * 32
+
+
+def test_missing_numbers_of_long_gaps_come_in_pieces(spark):
+    ends = [(1, 0), (1, 5000), (1, 5002), (2, 7), (2, 9), (2, 9), (None, 1), (None, 3)]
+    out = tl.missing_numbers(spark.createDataFrame(ends, "v int, frame_no long"), Seq(("v",), ("frame_no",), 64))
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert got == sorted([(1, n) for n in range(1, 5000)] + [(1, 5001), (2, 8), (None, 2)], key=repr)
+
+
+def test_missing_numbers_lie_close_together_in_a_task(spark):
+    rows = spark.range(200).select((F.col("id") / 2).cast("long").alias("v"), ((F.col("id") % 2) * 300 + F.col("id") * 50).alias("n"))
+    out = tl.missing_numbers(rows, Seq(("v",), ("n",))).withColumn("task", F.spark_partition_id())
+    spans = out.groupBy("task").agg((F.max("missing_frame") - F.min("missing_frame")).alias("w")).collect()
+    assert len(spans) > 1 and max(r["w"] for r in spans) < 6000
+
+
+def test_gaps_of_any_length_are_found(spark):
+    df = spark.createDataFrame([(1, 0), (1, 2**33)], "v int, frame_no long")
+    gaps = tl.frame_gaps(df, Seq(("v",), ("frame_no",)), None).collect()
+    assert [r["gap_size"] for r in gaps] == [2**33 - 1]
