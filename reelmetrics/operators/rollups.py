@@ -413,7 +413,8 @@ def validation_pass(issues: DataFrame, keys: Sequence[str], severity: str = "sev
 def profile_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Duration-weighted utilisation, peaks and the bottleneck stage (first wins ties)."""
     total = F.sum("duration_s")
-    longest = F.max_by("stage", F.struct(C("duration_s"), -C("stage_pos")))
+    # Sums of doubles that are equal differ in their last digits by the order of their rows.
+    longest = F.max_by("stage", F.struct(F.round("duration_s", 9), -C("stage_pos")))
     return df.groupBy(*keys).agg(
         total.alias("total_seconds"),
         F.sum("frames").alias("total_frames"),

@@ -130,3 +130,10 @@ def test_timecode_round_trip(spark):
     assert plain.where("id <> back").count() == 0
     row = spark.range(1).select(tc.timecode_to_frames(F.lit("00:01:00;02"), 29.97).alias("a"), tc.timecode_to_frames(F.lit("00:10:00;00"), 29.97).alias("b")).first()
     assert row["a"] == 60 * 29 + 2 - 2 and row["b"] == 600 * 29 - 18
+
+
+def test_bottleneck_of_equal_sums_is_the_first_stage(spark):
+    data = [(1, 1, "a", 0.3), (1, 2, "b", 0.1 + 0.2), (2, 1, "a", 0.3), (2, 2, "b", 0.31)]
+    df = spark.createDataFrame(data, "run int, stage_pos int, stage string, duration_s double").selectExpr("*", "1L AS frames", "1D AS peak_memory_mb", "1D AS gpu_util")
+    got = {r["run"]: r["bottleneck_stage"] for r in rollups.profile_summary(df, ["run"]).collect()}
+    assert got == {1: "a", 2: "b"}
