@@ -100,10 +100,12 @@ def transition_types(df: DataFrame, seq: Seq, cut: Column, window: int = 10) ->
     """``transition`` of every cut from the differences within ``window`` frames around it."""
 
     def exprs(frame, _order):
-        diffs = F.collect_list("hist_diff").over(frame)
+        # A missing difference counts as one in the run of differences and belongs at its end, up or down.
+        diffs = F.collect_list(F.coalesce(F.col("hist_diff"), F.lit(-1.0))).over(frame)
+        rising = F.transform(diffs, lambda x: F.when(x < 0, float("inf")).otherwise(x))
         avg, top = F.avg("hist_diff").over(frame), F.max("hist_diff").over(frame)
         d, s = F.col("hist_diff"), F.col("ssim")
-        monotone = (F.sort_array(diffs) == diffs) | (F.sort_array(diffs, asc=False) == diffs)
+        monotone = (F.sort_array(rising) == rising) | (F.sort_array(diffs, asc=False) == diffs)
         kind = (
             F.when(F.col(seq.first) < window, "hard_cut")
             .when((d > 0.6) & (d / F.greatest(avg, F.lit(0.01)) > 3.0), "hard_cut")
