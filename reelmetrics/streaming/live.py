@@ -447,6 +447,12 @@ def start_snapshots(progress: DataFrame, path: str, checkpoint: str, every: str
         return writer.outputMode("append").trigger(**trigger).start()
 
 
+def with_table(stream: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """Rows of a stateful stream with the columns of a table. They are merged whatever Spark takes their size to be:
+    a micro-batch without new rows counts as empty, and what its timers let out would be broadcast."""
+    return stream.hint("merge").join(table, on)
+
+
 def snapshot_stream(progress: DataFrame, table: KeyedTable, order: list[str], history: int, checkpoint: str, every: str | None = "5 seconds", mode: str = "append"):
     """ST7: every few seconds, or for all there is now (``every=None``), merge the new progress rows into
     ``table``: the current row of each key is replaced, at most ``history`` older ones are kept.  A batch

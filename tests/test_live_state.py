@@ -250,3 +250,15 @@ def test_keys_share_the_calls_of_a_group_of_the_state(spark, tmp_path):
     out = live.run_available(build(stream), f"{tmp_path}/work")
     got = {r["frame_no"]: (r["job"], r["consecutive_failures"], r["aborted"]) for r in out.collect()}
     assert got == {i: (i % 4000, n, n > 2) for i in range(12000) for n in [i // 4000 + 1 if i % 4000 % 3 else int(i < 4000)]}
+
+
+def test_rows_that_timers_let_out_are_not_broadcast(spark, monkeypatch):
+    # The last micro-batch of a run has no new rows; all rows of its result come from timers.
+    from reelmetrics.plans import QUERIES
+
+    started, start = [], live.snapshot_stream
+    monkeypatch.setattr(live, "snapshot_stream", lambda *a, **b: started.append(start(*a, **b)) or started[-1])
+    assert QUERIES["ST7_progress_snapshots"](spark, "/root/testdata/sf0.001").count() == 45
+    for query in started:
+        plan = query._jsq.explainInternal(False)
+        assert "LocalTableScan <empty>" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
