@@ -47,6 +47,12 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files that no frame refers to any more; else they stay until the driver happens to
+    collect its garbage. Those of the last job may still be in use: call it a step later."""
+    spark._jvm.System.gc()
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
 

@@ -10,6 +10,9 @@ share many elements, so the join looks for sets that occur often enough in each
    stays when its count reaches ``l`` less the long lists either set is in. Long lists are skipped;
    only sets with at least ``l`` long lists could meet in nothing else, and long lists tie those
    together. Connected pairs and ties are candidate groups: no link leaves a group.
+   Short sets that share common lines are tied without a link, and their group grows with the table. A
+   group of more than ``FINER`` shingles is therefore divided again by step 3, with lists of the elements
+   that fewest of its sets hold, taken from the whole sets.
 4. A group's texts go to one task, which runs DivideSkip over the whole sets: short lists are merged,
    sets that occur at least ``T - L`` times are probed in the ``L`` longest lists by binary search, and
    the exact overlap decides. It searches breadth first and only among sets not reached yet, so a
@@ -38,12 +41,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, components, cut, drop_table, table
+from .common import by_batch, components, cut, drop_table, release, table
 from .registry import query
 
 WORDS, PERCENT = 4, 85
 SLACK = 20
 SHORT = 32
+FINER = 1 << 18
 BLOCK = 1 << 21
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _LONG_WORD = 4096
@@ -144,6 +148,7 @@ def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.count("*").alias("longs"), F.first("n").alias("n"), F.max_by("token", F.struct("m", "token")).alias("main"), F.collect_list("token").alias("tokens")
     )
     long_lists = cut(long_lists, "longs")
+    release(sets.sparkSession)
     longs = long_lists.select("id", "longs")
     # Short lists: at most SHORT sets each, merged into counts a pair.
     short = lists.where(F.col("m") <= SHORT).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("own"))
@@ -271,23 +276,69 @@ def _search_groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.groupBy("component", "block").applyInArrow(fn, "a long, b long")
 
 
-def link_components(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(node, component) of every class of sets (id, doc_id, tag, key, n, prefix) that links with another
-    one; ``id`` numbers the classes, ``doc_id`` and ``tag`` say which document stands for it."""
-    groups = components(candidate_edges(sets, percent))
+def finer_edges(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges like those of :func:`candidate_edges` between the sets of each component (component, node, key, text).
+
+    What holds for the smallest hashes of two linked sets holds in any order of the elements. Here the ones that
+    fewest sets of the component hold come first, so a line that many sets share counts only in sets that have
+    little else. Elements that no other set holds take their places in the order but need no list.
+    """
+
+    def fn(batch):
+        ids, sets = [], []
+        for node, component, key, text in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "key", "text"))):
+            own = shingle_set(text, words)
+            if set_key(own) == key:
+                ids.append(node)
+                # Components share no elements.
+                sets.append(_mix(own ^ _mix(np.array([component], dtype=np.int64).view(np.uint64))).view(np.int64))
+        ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))
+        return pa.record_batch([pa.array(ids, pa.int64()), lists], ["id", "tokens"])
+
+    whole = by_batch(texts.select("node", "component", "key", "text"), fn, "id long, tokens array<long>")
+    whole = cut(whole.groupBy("id").agg(F.first("tokens").alias("tokens")), "whole")
+    posts = whole.select("id", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    lengths = posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    shared = posts.join(lengths, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "token"))).alias("shared"))
+    # As many places as in the prefix of shingle_sets.
+    places = F.col("n") - F.ceil(F.col("n") * percent / 100) + slack_column(F.col("n")) - (F.col("n") - F.size("shared"))
+    listed = F.transform(F.slice("shared", F.lit(1), F.col("places").cast("int")), lambda x: x["token"])
+    sets = cut(shared.withColumn("places", places).where("places > 0").select("id", "n", listed.alias("prefix")), "rare")
+    drop_table(whole)
+    return candidate_edges(sets, percent)
+
+
+def place(groups: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Groups (node, component) with what finds a node's text, shingles of the component, and the blocks a node is in."""
     sized = groups.join(sets.select(F.col("id").alias("node"), "doc_id", "tag", "key", "n"), "node")
     totals = sized.groupBy("component").agg(
         F.sum("n").alias("total"), F.min_by("node", F.xxhash64("node")).alias("first"), F.max_by("node", F.xxhash64("node")).alias("last")
     )
     # A table of its own: the join's exchange is then its own too, and a large component can be split.
     totals = cut(totals, "totals")
+    release(sets.sparkSession)
     blocks = F.ceil(F.col("total") / F.lit(block)).cast("int")
     shared = F.col("node").isin(F.col("first"), F.col("last")) & (blocks > 1)
     own = F.when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
-    placed = cut(sized.join(totals, "component").select("node", "component", "key", F.col("doc_id").alias("of"), F.col("tag").alias("text_tag"), blocks.alias("blocks"), own.alias("own")), "placed")
+    return cut(sized.join(totals, "component").select("node", "component", "total", "key", F.col("doc_id").alias("of"), F.col("tag").alias("text_tag"), blocks.alias("blocks"), own.alias("own")), "placed")
+
+
+def link_components(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(node, component) of every class of sets (id, doc_id, tag, key, n, prefix) that links with another
+    one; ``id`` numbers the classes, ``doc_id`` and ``tag`` say which document stands for it."""
+    placed = place(components(candidate_edges(sets, percent)), sets, block)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag(F.col("text")).alias("tag"), "text")
     texts = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("text_tag"))).drop("of", "doc_id", "tag", "text_tag")
     texts = cut(texts, "texts")
+    wide = texts.where(F.col("total") > FINER)
+    divide = not wide.isEmpty()
+    release(docs.sparkSession)
+    if divide:
+        again = place(components(finer_edges(wide, words, percent)), sets, block).drop("key", "of", "text_tag")
+        divided = cut(texts.where(F.col("total") <= FINER).unionByName(wide.select("node", "key", "text").join(again, "node")), "texts")
+        drop_table(texts)
+        texts = divided
     inside = texts.select("component", F.explode("own").alias("block"), "node", "key", "text", F.lit(False).alias("asked"))
     edges = cut(_search_groups(inside, words, percent), "links")
     large = texts.where("blocks > 1")

@@ -62,6 +62,28 @@ def test_ngram_components(documents, monkeypatch, block, short, local):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("block,short", [(1 << 21, 32), (1 << 21, 3), (400, 3)])
+def test_ngram_components_of_groups_that_are_divided_again(documents, monkeypatch, block, short):
+    texts = family(random.Random(6), 250) + [None, "", "one", "one two"]
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "FINER", 20)
+    rows = ngram_join.ngram_components(documents(texts, clash=True), block=block).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(list(enumerate(texts)))
+
+
+def test_texts_that_share_a_common_line_are_not_one_group(documents, monkeypatch):
+    rng = random.Random(4)
+    line = " ".join(f"common{k}" for k in range(12))
+    texts = [f"{line} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(10 + i % 40)) for i in range(400)]
+    texts += [t + " end" for t in texts[:50:2]]
+    sizes, search = [], ngram_join._search_groups
+    monkeypatch.setattr(ngram_join, "FINER", 2000)
+    monkeypatch.setattr(ngram_join, "_search_groups", lambda rows, *a: sizes.append(rows.groupBy("component").count().agg({"count": "max"}).first()[0]) or search(rows, *a))
+    rows = ngram_join.ngram_components(documents(texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(list(enumerate(texts)))
+    assert max(sizes) < 20
+
+
 def test_ngram_without_rows_and_with_null_ids(documents):
     assert ngram_join.ngram_components(documents([])).count() == 0
     rows = ngram_join.ngram_components(documents([(None, "a b c d e"), (4, "a b c d e"), (None, "q r s t u"), (None, None)])).collect()
