@@ -171,6 +171,27 @@ def test_missing_numbers_lie_close_together_in_a_task(spark):
     assert len(spans) > 1 and max(r["w"] for r in spans) < 6000
 
 
+def test_missing_numbers_of_odd_rows(spark):
+    block, top = tl.MISSING_BLOCK, 2**31 - 1
+    data = [(1, n) for n in (-block - 3, -block, -1, 0, 0, 0, 2, block - 1, block, block + 2, 5 * block)] + [(1, None), (2, top), (2, top - 2), (2, top), (3, 4), (4, None), (None, 255), (None, 257), (None, 3 * block - 1)]
+    own = {}
+    for v, n in data:
+        if n is not None:
+            own.setdefault(v, set()).add(n)
+    want = sorted(((v, n) for v, ns in own.items() for n in range(min(ns), max(ns)) if n not in ns), key=repr)
+    out = tl.missing_numbers(spark.createDataFrame(data, "v int, n int").repartition(3), Seq(("v",), ("n",)))
+    assert out.dtypes == [("v", "int"), ("missing_frame", "int")]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == want
+
+
+def test_missing_numbers_take_little_room_in_files(spark, tmp_path):
+    rows = spark.range(120_000).select((F.col("id") % 200).alias("v"), F.pmod(F.xxhash64("id"), F.lit(20_000)).alias("n"))
+    out = tl.missing_numbers(rows, Seq(("v",), ("n",)))
+    out.write.parquet(str(tmp_path / "out"))
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert size < 0.8 * spark.read.parquet(str(tmp_path / "out")).count()
+
+
 def test_gaps_of_any_length_are_found(spark):
     df = spark.createDataFrame([(1, 0), (1, 2**33)], "v int, frame_no long")
     gaps = tl.frame_gaps(df, Seq(("v",), ("frame_no",)), None).collect()
